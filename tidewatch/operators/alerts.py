@@ -62,7 +62,7 @@ def alert_filter(alerts: DataFrame, f: AlertFilter, scored: DataFrame | None = N
         pattern = F.lit(f.search.lower())
         hit = F.lit(False)
         for name in ("entity_id", "source_ip", "resource_accessed"):
-            hit = hit | F.lower(F.col(name).cast("string")).rlike(pattern)
+            hit = hit | F.rlike(F.lower(F.col(name).cast("string")), pattern)
         out = out.filter(hit)
     return out
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch import constants as C
 from tidewatch.functions import geo, scalars as S
@@ -175,17 +175,15 @@ def low_slow(
 
 def privilege_growth(events: DataFrame) -> DataFrame:
     """Per entity: resources added after its first seven days, relative to those of that week."""
-    first = events.groupBy("entity_id", "resource_accessed").agg(F.min("event_us").alias("first_us"))
-    return footprint_growth(first)
+    return footprint_growth(first_seen(events))
 
 
 def footprint_growth(first: DataFrame) -> DataFrame:
-    """Growth from the first uses: counted per entity and day, then compared with the first day."""
-    # The entity's first event is the earliest first use of any of its resources.
-    start = first.groupBy("entity_id").agg(F.min("first_us").alias("start_us"))
+    """Growth from the first uses; an entity begins with its earliest first use."""
+    start = F.min("first_us").over(Window.partitionBy("entity_id"))
     early = F.col("first_us") <= F.col("start_us") + 7 * DAY
     counted = (
-        first.join(start, "entity_id")
+        first.withColumn("start_us", start)
         .groupBy("entity_id")
         .agg(F.count_if(early).alias("early"), F.count_if(~early).alias("later"))
     )
@@ -245,13 +243,19 @@ def find_hot(events: DataFrame) -> dict[str, HotKeys | None]:
 
 
 def entity_context(
-    events: DataFrame, rates: DataFrame, s: Settings = Settings(), hot: HotKeys | None = None
+    events: DataFrame,
+    rates: DataFrame,
+    s: Settings = Settings(),
+    hot: HotKeys | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Previous event, failure counts, new resources, off-hours trend and footprint.
 
     All counts share one sweep: one exchange and one sort by entity and time.
+    ``source`` is the same frame before any derived columns; first uses are read
+    from it so that earlier steps are not planned twice.
     """
-    first = first_seen(events)
+    first = first_seen(events if source is None else source)
     steps = failure_steps(s.fail_window) + off_hours_steps(s)
     markers = first_seen_markers(first, s.breadth_window)
     places = located(events)

@@ -26,7 +26,7 @@ def score_events(
     """
     hot = features.find_hot(frame)
     on_ip = features.ip_concurrency(frame, s.ip_window, hot=hot["ip"], hot_pairs=hot["pairs"])
-    context = features.entity_context(on_ip, sequences.rates, s, hot["entity"])
+    context = features.entity_context(on_ip, sequences.rates, s, hot["entity"], frame)
     stepped = sequence.markov_last_transition(context, sequences, hot["entity"])
     based = scoring.baseline_scores(stepped, model, s, hot["entity"])
     combined = scoring.sequence_score(F.col("markov_raw"), F.col("low_slow_raw"))
