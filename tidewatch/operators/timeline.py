@@ -71,7 +71,7 @@ def find_hot_keys(df: DataFrame, keys: Sequence[str], time_us: str = "event_us")
     )
     table = heavy.join(widest, list(keys), "left").select(
         *keys,
-        (F.coalesce("width", F.lit(SLICE_MINUTES[0])) * F.lit(MINUTE)).cast("long").alias("slice_us"),
+        (F.coalesce("width", F.lit(SLICE_MINUTES[0])).cast("long") * MINUTE).alias("slice_us"),
         F.ceil(F.col("n_rows") / F.lit(limit)).cast("int").alias("n_salts"),
     )
     return HotKeys(materialize(table, "hot"), tuple(keys), limit)
