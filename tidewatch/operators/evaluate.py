@@ -85,26 +85,29 @@ def budget_precision_estimate(budget_table: DataFrame) -> DataFrame:
 def metrics_summary(scored: DataFrame, alerts: DataFrame) -> DataFrame:
     """Every evaluation number as ``metric, key, value``."""
 
-    def row(df: DataFrame, metric: str, key: Column, value: Column) -> DataFrame:
-        return df.select(F.lit(metric).alias("metric"), key.alias("key"), value.cast("double").alias("value"))
-
-    budgets = precision_at_budget(scored)
-    name = F.concat(F.lit("top_"), F.format_string("%.1f", F.col("budget") * 100), F.lit("%"))
-    slices = cold_warm_slice(scored)
+    def rows(df: DataFrame, key: Column, **metrics: Column) -> DataFrame:
+        entries = [
+            F.struct(F.lit(m).alias("metric"), key.alias("key"), v.cast("double").alias("value"))
+            for m, v in metrics.items()
+        ]
+        return df.select(F.inline(F.array(*entries)))
+
+    n, nothing = F.count(F.lit(1)).alias("n"), F.lit("")
+    share = F.concat(F.lit("top_"), F.format_string("%.1f", F.col("budget") * 100), F.lit("%"))
     kind = F.when(F.col("is_cold_start"), "cold_start").otherwise("warm")
-    nothing = F.lit("")
-    total = scored.agg(F.count(F.lit(1)).alias("n"))
     parts = [
-        row(total, "total_test_events", nothing, F.col("n")),
-        row(alerts.agg(F.count(F.lit(1)).alias("n")), "total_alerts_generated", nothing, F.col("n")),
-        row(pr_auc(scored), "pr_auc", nothing, S.round4(F.col("pr_auc"))),
-        row(budgets, "top_k_count", name, F.col("top_k_count")),
-        row(budgets, "budget_precision", name, F.col("precision")),
-        row(budgets, "budget_recall", name, F.col("recall")),
-        row(slices, "slice_events", kind, F.col("n_events")),
-        row(slices, "slice_precision", kind, F.col("precision")),
-        row(slices, "slice_recall", kind, F.col("recall")),
-    ]
+        rows(scored.agg(n), nothing, total_test_events=F.col("n")),
+        rows(alerts.agg(n), nothing, total_alerts_generated=F.col("n")),
+        rows(pr_auc(scored), nothing, pr_auc=S.round4(F.col("pr_auc"))),
+        rows(
+            precision_at_budget(scored), share,
+            top_k_count=F.col("top_k_count"), budget_precision=F.col("precision"), budget_recall=F.col("recall"),
+        ),
+        rows(
+            cold_warm_slice(scored), kind,
+            slice_events=F.col("n_events"), slice_precision=F.col("precision"), slice_recall=F.col("recall"),
+        ),
+    ]
     shares = attack_distribution(scored)
     parts.append(shares.select(F.concat(F.lit("attack_distribution_"), "side").alias("metric"),
                                F.col("value").alias("key"), F.col("n").cast("double").alias("value")))

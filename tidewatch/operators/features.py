@@ -9,6 +9,7 @@ from tidewatch.functions import geo, scalars as S
 from tidewatch.operators.timeline import (
     AFTER, BEFORE, SELF, HotKeys, Step, find_hot_keys, join_by_key, running, sweep,
 )
+from tidewatch.session import together
 from tidewatch.settings import DAY, Settings
 
 ORDER = ["event_us", "session_id"]
@@ -234,9 +235,11 @@ def ip_concurrency(
 
 def find_hot(events: DataFrame) -> dict[str, HotKeys | None]:
     """Measure entities, addresses and (only if an address is hot) their pairs."""
-    ip = find_hot_keys(events, ["source_ip"])
+    entity, ip = together(
+        lambda: find_hot_keys(events, ["entity_id"]), lambda: find_hot_keys(events, ["source_ip"])
+    )
     pairs = find_hot_keys(events, ["source_ip", "entity_id"]) if ip else None
-    return {"entity": find_hot_keys(events, ["entity_id"]), "ip": ip, "pairs": pairs}
+    return {"entity": entity, "ip": ip, "pairs": pairs}
 
 
 # --- all entity-based context in one sweep -------------------------------------

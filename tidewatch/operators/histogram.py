@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from tidewatch import constants as C
 from tidewatch.functions import scalars as S
 
-TIE_BUCKETS = 4096
+TIE_BUCKETS = 8192
+NARROWINGS = 2
 
 
 def is_attack(label: Column) -> Column:
@@ -75,8 +76,9 @@ def precision_at_budget(
 
     Events above the k-th score count whole.  Of those that share the k-th
     score, the ones with the smallest id fill the remaining places.  They are
-    found by bucketing the ids of that score and sorting one bucket only, so
-    even a score shared by a third of all events needs no global sort.
+    found by counting the ids of that score in buckets, twice, and sorting what
+    is left of one bucket only, so even a score shared by a third of all events
+    needs no global sort.
     """
     hist = score_histogram(scored, score)
     everything = Window.partitionBy()
@@ -111,29 +113,36 @@ def precision_at_budget(
 
 def _first_of_ties(tied: DataFrame, tie_type: T.DataType) -> DataFrame:
     """``budget, tp_tied``: attacks among the first ``places`` tied rows by id."""
-    if isinstance(tie_type, T.NumericType):
-        low, high = F.min("tie"), F.max("tie") + 1
-        span = tied.groupBy("budget").agg(low.alias("low"), high.alias("high"))
-        bucketed = tied.join(F.broadcast(span), "budget").withColumn(
-            "bucket", F.width_bucket(F.col("tie"), F.col("low"), F.col("high"), F.lit(TIE_BUCKETS))
-        )
-    else:
-        # Text ids are ranked by hash first: any fixed order of equals will do.
-        bucketed = tied.withColumn("bucket", F.pmod(F.xxhash64("tie"), F.lit(TIE_BUCKETS)))
+    if not isinstance(tie_type, T.NumericType):
+        # Text ids rank by hash: any fixed order of equals will do.
+        tied = tied.withColumn("tie", F.xxhash64("tie"))
+    hits = []
+    for _ in range(NARROWINGS):
+        whole, tied = _narrow(tied)
+        hits.append(whole)
+    order = Window.partitionBy("budget").orderBy("tie")
+    last = tied.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("places"))
+    hits.append(last.select("budget", F.col("tp").alias("hit")))
+    out = hits[0]
+    for more in hits[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("budget").agg(F.sum("hit").alias("tp_tied"))
+
+
+def _narrow(tied: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Attacks in the id buckets that fit whole, and the rows of the bucket that does not."""
+    span = tied.groupBy("budget").agg(
+        F.min("tie").cast("double").alias("low"), F.max("tie").cast("double").alias("high")
+    )
+    spread = (F.col("tie") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1.0))
+    # At most three rows, one per budget.
+    bucketed = tied.join(F.broadcast(span), "budget").withColumn("bucket", F.floor(spread * TIE_BUCKETS))
     counts = bucketed.groupBy("budget", "places", "bucket").agg(
         F.count(F.lit(1)).alias("n"), F.sum("tp").alias("tp")
     )
-    rising = Window.partitionBy("budget").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.withColumns(
-        {"n_before": F.coalesce(F.sum("n").over(rising), F.lit(0))}
-    ).withColumn("left", F.col("places") - F.col("n_before"))
+    earlier = Window.partitionBy("budget").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("left", F.col("places") - F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     whole = placed.filter(F.col("left") >= F.col("n")).select("budget", F.col("tp").alias("hit"))
     cut = placed.filter((F.col("left") > 0) & (F.col("left") < F.col("n"))).select("budget", "bucket", "left")
-    order = Window.partitionBy("budget").orderBy("tie")
-    partial = (
-        bucketed.join(F.broadcast(cut), ["budget", "bucket"])
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= F.col("left"))
-        .select("budget", F.col("tp").alias("hit"))
-    )
-    return whole.unionByName(partial).groupBy("budget").agg(F.sum("hit").alias("tp_tied"))
+    rest = bucketed.join(F.broadcast(cut), ["budget", "bucket"])
+    return whole, rest.select("budget", "tie", "tp", F.col("left").alias("places"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidewatch import constants as C
 from tidewatch.functions import scalars as S
 from tidewatch.operators.timeline import HotKeys, join_by_key
-from tidewatch.session import materialize
+from tidewatch.session import materialize, together
 from tidewatch.settings import DAY, Settings
 
 # Value sets up to this size travel inside the profile row; larger ones stay in
@@ -105,10 +105,13 @@ def _merge(moments: DataFrame, key: str, kept: list[Column]) -> DataFrame:
     )
 
 
+def _first_type() -> Column:
+    return F.min_by("entity_type", F.struct("first_us", "entity_type")).alias("entity_type")
+
+
 def entity_numeric(events: DataFrame) -> DataFrame:
     """One row per entity.  The type of an entity is that of its first event."""
-    first_type = F.min_by("entity_type", F.struct("first_us", "entity_type")).alias("entity_type")
-    return _merge(_moments(events), "entity_id", [first_type])
+    return _merge(_moments(events), "entity_id", [_first_type()])
 
 
 def type_numeric(events: DataFrame) -> DataFrame:
@@ -282,24 +285,29 @@ def _with_sets(numeric: DataFrame, values: DataFrame, key: str) -> DataFrame:
 
 def fit_profiles(normal_events: DataFrame) -> ProfileModel:
     """Learn the profiles once and keep them as tables."""
-    values = materialize(profile_values(normal_events), "profile_values")
-    entity_values = values_by(values, "entity_id")
-    type_values = materialize(values_by(values, "entity_type"), "type_values")
-    moments = materialize(_moments(normal_events), "moments")
-    first_type = F.min_by("entity_type", F.struct("first_us", "entity_type")).alias("entity_type")
-    entities = materialize(
-        _with_sets(_merge(moments, "entity_id", [first_type]), entity_values, "entity_id"), "entities"
+    values, moments = together(
+        lambda: materialize(profile_values(normal_events), "profile_values"),
+        lambda: materialize(_moments(normal_events), "moments"),
+    )
+    entity_values, type_values = values_by(values, "entity_id"), values_by(values, "entity_type")
+    by_entity = _with_sets(_merge(moments, "entity_id", [_first_type()]), entity_values, "entity_id")
+    by_type = _with_sets(_merge(moments, "entity_type", []), type_values, "entity_type")
+    entities, types, type_values = together(
+        lambda: materialize(by_entity, "entities"),
+        lambda: materialize(by_type, "types"),
+        lambda: materialize(type_values, "type_values"),
     )
-    types = materialize(_with_sets(_merge(moments, "entity_type", []), type_values, "entity_type"), "types")
     return load_model_tables(entities, types, entity_values, type_values)
 
 
 def load_model_tables(entities, types, entity_values, type_values) -> ProfileModel:
     """A model over stored tables; notes which attributes have large sets."""
-    large = set()
-    for level, table in (("entity", entities), ("type", types)):
+
+    def oversized(level: str, table: DataFrame) -> set[tuple[str, str]]:
         row = table.agg(*[F.bool_or(F.col(f"{a}_counts").isNull()).alias(a) for a in PACKED]).first()
-        large |= {(level, a) for a in PACKED if row[a]}
+        return {(level, a) for a in PACKED if row[a]}
+
+    large = set().union(*together(lambda: oversized("entity", entities), lambda: oversized("type", types)))
     return ProfileModel(entities, types, entity_values, type_values, frozenset(large))
 
 

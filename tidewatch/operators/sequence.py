@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch import constants as C
 from tidewatch.functions import scalars as S
 from tidewatch.operators.features import ORDER, off_hours_rate
 from tidewatch.operators.timeline import HotKeys, find_hot_keys, rows_back, running
-from tidewatch.session import materialize
+from tidewatch.session import materialize, together
 
 N = C.SEQUENCE_LENGTH
 
@@ -90,14 +90,15 @@ class SequenceTables:
 
 
 def fit_sequences(normal_events: DataFrame, hot: HotKeys | None = None) -> SequenceTables:
-    pairs = materialize(transitions(normal_events, hot), "transitions")
-    state = materialize(states(pairs), "states")
-    return SequenceTables(
-        pairs,
-        state,
-        materialize(model_stats(state), "stats"),
-        materialize(off_hours_rate(normal_events), "rates"),
+    pairs, rates = together(
+        lambda: materialize(transitions(normal_events, hot), "transitions"),
+        lambda: materialize(off_hours_rate(normal_events), "rates"),
     )
+    state, stats = together(
+        lambda: materialize(states(pairs), "states"),
+        lambda: materialize(model_stats(states(pairs)), "stats"),
+    )
+    return SequenceTables(pairs, state, stats, rates)
 
 
 def lazy_sequences(normal_events: DataFrame, hot: HotKeys | None = None) -> SequenceTables:
@@ -222,13 +223,19 @@ def arrays_nll(recent: DataFrame, model: SequenceTables) -> DataFrame:
 
     For at most ten resources per row, so the explosion is bounded.
     """
-    steps = recent.select("session_id", "entity_type", F.size("recent").alias("length"), F.posexplode("recent")).select(
-        "session_id", "entity_type", "length", "pos", F.col("col").alias("resource_accessed")
+    at = lambda i: F.element_at("recent", i)
+    steps = F.transform(
+        F.sequence(F.lit(1), F.size("recent")),
+        lambda i: F.struct(
+            F.when(i > 1, at(F.greatest(i - 1, F.lit(1)))).alias("prev_resource"), at(i).alias("resource_accessed")
+        ),
     )
-    back = Window.partitionBy("session_id").orderBy("pos")
-    paired = steps.withColumn("prev_resource", F.lag("resource_accessed").over(back))
+    paired = recent.select(
+        "session_id", "entity_type", F.size("recent").alias("length"), F.explode(steps).alias("s")
+    ).select("session_id", "entity_type", "length", "s.*")
     looked_up = transition_lookup(paired, model)
-    cost = F.when(F.col("pos") == 0, F.col("log_start")).otherwise(F.col("log_trans"))
+    cost = F.when(F.col("prev_resource").isNull(), F.col("log_start")).otherwise(F.col("log_trans"))
     length = F.max("length")
     nll = F.when((length >= 2) & F.sum(cost).isNotNull(), -F.sum(cost) / length).otherwise(0.0)
-    return looked_up.groupBy("session_id").agg(nll.alias("_nll")).withColumns(markov_columns(F.col("_nll"))).drop("_nll")
+    summed = looked_up.groupBy("session_id").agg(nll.alias("_nll"))
+    return summed.withColumns(markov_columns(F.col("_nll"))).drop("_nll")

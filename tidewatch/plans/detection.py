@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.functions import scalars as S
 from tidewatch.operators import alerts as A, classify as K, explain, features, profiles, scoring, sequence
-from tidewatch.session import materialize
+from tidewatch.session import materialize, together
 from tidewatch.settings import Settings
 
 
@@ -54,9 +54,10 @@ class Detection:
 
 
 def fit_tables(train: DataFrame):
+    """Profiles and sequence model of the normal events among the training events."""
     normal = profiles.label_filter(train)
     hot = features.find_hot_keys(normal, ["entity_id"])
-    return profiles.fit_profiles(normal), sequence.fit_sequences(normal, hot)
+    return together(lambda: profiles.fit_profiles(normal), lambda: sequence.fit_sequences(normal, hot))
 
 
 def training_scores(train: DataFrame, model, sequences, s: Settings) -> DataFrame:
@@ -75,8 +76,10 @@ def detect(events: DataFrame, s: Settings = Settings(), learn: bool = True) -> D
     classifier = K.fit_classifier(training_scores(train, model, sequences, s)) if learn else None
     scored = score_events(test, model, sequences, s)
     explained = explain.explanations(K.classify(scored, classifier))
-    scored = materialize(explained, "scored_events")
     end = test.agg(F.max("event_us")).scalar()
-    drift = materialize(profiles.drift_flags(events, model, end, s), "drift")
+    flags = profiles.drift_flags(events, model, end, s)
+    scored, drift = together(
+        lambda: materialize(explained, "scored_events"), lambda: materialize(flags, "drift")
+    )
     picked = A.with_drift(A.select_alerts(scored), drift)
     return Detection(events, scored, picked, drift, model, sequences, classifier)
