@@ -36,8 +36,14 @@ def round4(value: Column) -> Column:
     return round_to(value, 4)
 
 
+def at_most(value: Column, cap: float) -> Column:
+    """Cap a value; unlike ``least``, null stays null."""
+    return F.when(value > cap, cap).otherwise(value)
+
+
 def clip01(value: Column) -> Column:
-    return F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))
+    """Limit to 0..1; null stays null."""
+    return F.when(value < 0, 0.0).otherwise(at_most(value, 1.0))
 
 
 def ip_prefix(ip: Column) -> Column:

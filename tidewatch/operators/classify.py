@@ -93,6 +93,9 @@ def fit_classifier(scored: DataFrame) -> Classifier | None:
         return None
     weights = F.broadcast(class_weights(attacks))  # one row per label, at most seven
     rows = feature_matrix(attacks).join(weights, "label").withColumn("target", label_index(F.col("label")))
+    # The forest passes over its rows once per level: use every core for that.
+    cores = scored.sparkSession.sparkContext.defaultParallelism
+    rows = rows.repartition(cores, "session_id")
     forest = RandomForestClassifier(
         featuresCol="features", labelCol="target", weightCol="weight",
         numTrees=100, maxDepth=10, minInstancesPerNode=2, seed=42,

@@ -58,6 +58,7 @@ def _moments(events: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.sum(hour).alias("sum_h"),
         F.sum(hour * hour).alias("sum_h2"),
+        F.count(duration).alias("n_d"),
         F.avg(duration).alias("mean_d"),
         F.var_pop(duration).alias("var_d"),
         F.min("event_us").alias("first_us"),
@@ -67,11 +68,12 @@ def _moments(events: DataFrame) -> DataFrame:
 
 def _merge(moments: DataFrame, key: str, kept: list[Column]) -> DataFrame:
     """Combine moments of disjoint groups, then derive the profile numbers."""
-    n, mean, var = F.col("n"), F.col("mean_d"), F.col("var_d")
+    n, mean, var = F.col("n_d"), F.col("mean_d"), F.col("var_d")
     merged = moments.groupBy(key).agg(
         F.sum("n").alias("n_observed_events"),
         F.sum("sum_h").alias("sum_h"),
         F.sum("sum_h2").alias("sum_h2"),
+        F.sum(n).alias("n_d"),
         F.try_divide(F.sum(n * mean), F.sum(n)).alias("mean_d"),
         F.sum(n * var).alias("within"),
         F.sum(n * mean * mean).alias("raw"),
@@ -86,9 +88,9 @@ def _merge(moments: DataFrame, key: str, kept: list[Column]) -> DataFrame:
     std_h = F.sqrt(F.greatest(F.lit(0.0), F.col("sum_h2") / total - mean_h * mean_h))
     single = F.col("parts") == 1
     mean_d = F.when(single, F.col("only_mean")).otherwise(F.col("mean_d"))
-    between = F.greatest(F.lit(0.0), F.col("raw") - total * F.col("mean_d") * F.col("mean_d"))
+    between = F.greatest(F.lit(0.0), F.col("raw") - F.col("n_d") * F.col("mean_d") * F.col("mean_d"))
     squares = F.col("within") + F.when(single, 0.0).otherwise(between)
-    std_d = F.sqrt(F.try_divide(squares, total - 1))
+    std_d = F.sqrt(F.try_divide(squares, F.col("n_d") - 1))
     one = F.lit(1.0)
     return merged.select(
         key,

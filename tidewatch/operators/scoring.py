@@ -16,12 +16,12 @@ def hour_zscore(hour: Column, mean: Column, std: Column) -> Column:
     """Distance from the usual hour around the clock, in standard deviations."""
     gap = F.abs(hour - mean)
     z = F.least(gap / std, F.abs(F.lit(24) - gap) / std)
-    return F.least(F.when(std < 0.5, 0.0).otherwise(z) / C.Z_CAP, F.lit(1.0))
+    return S.at_most(F.when(std < 0.5, 0.0).otherwise(z) / C.Z_CAP, 1.0)
 
 
 def duration_zscore(duration: Column, mean: Column, std: Column) -> Column:
     z = F.abs(duration - mean) / std
-    return F.least(F.when(std < 1.0, 0.0).otherwise(z) / C.Z_CAP, F.lit(1.0))
+    return S.at_most(F.when(std < 1.0, 0.0).otherwise(z) / C.Z_CAP, 1.0)
 
 
 def unseen(count: Column) -> Column:

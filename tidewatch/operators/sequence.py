@@ -183,7 +183,7 @@ def transition_lookup(events: DataFrame, model: SequenceTables) -> DataFrame:
 
 
 def markov_columns(nll: Column) -> dict[str, Column]:
-    score = F.least(nll / C.MAX_NLL, F.lit(1.0))
+    score = S.at_most(nll / C.MAX_NLL, 1.0)
     return {"markov_nll": S.round4(nll), "markov_raw": score, "markov_score": S.round4(score)}
 
 
