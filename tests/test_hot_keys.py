@@ -58,6 +58,7 @@ def test_entity_counts(skewed, small_slices, rows):
     hot = lambda: find_hot_keys(skewed, ["entity_id"])
     both(small_slices, rows, lambda: X.failed_auth_counts(skewed, DAY, hot()))
     both(small_slices, rows, lambda: X.resource_breadth(skewed, HOUR, hot()))
+    both(small_slices, rows, lambda: X.first_seen_resource(skewed, hot()))
     both(small_slices, rows, lambda: X.geo_velocity(skewed, hot()))
 
 

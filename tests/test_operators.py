@@ -176,8 +176,8 @@ def test_accounts_per_address(spark):
 def test_new_resources(spark):
     use = lambda r: {"resource_accessed": r}
     df = events(spark, (T0, use("a")), (T0 + HOUR, use("b")), (T0 + HOUR, use("a")), (T0 + 3 * HOUR, use("b")))
-    got = by_id(X.resource_breadth(df, HOUR), "resource_breadth_new_1hr", "first_seen_resource")
-    assert got == [(1, 1), (2, 1), (2, 0), (0, 0)]
+    assert by_id(X.resource_breadth(df, HOUR), "resource_breadth_new_1hr") == [1, 2, 2, 0]
+    assert by_id(X.first_seen_resource(df), "first_seen_resource") == [1, 1, 0, 0]
 
 
 def test_footprint_growth(spark):

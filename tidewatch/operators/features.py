@@ -89,48 +89,49 @@ def off_hours_steps(s: Settings) -> list[Step]:
     return steps
 
 
-def first_seen(events: DataFrame) -> DataFrame:
-    """First event of every (entity, resource): ``first_us, first_id``."""
+def first_uses(events: DataFrame) -> DataFrame:
+    """When each entity first used each resource: ``first_us``."""
+    return events.groupBy("entity_id", "resource_accessed").agg(F.min("event_us").alias("first_us"))
+
+
+def first_events(events: DataFrame) -> DataFrame:
+    """The first event of every (entity, resource): ``first_us, session_id``."""
     first = F.min(F.struct("event_us", "session_id")).alias("first")
     return (
         events.groupBy("entity_id", "resource_accessed")
         .agg(first)
-        .select(
-            "entity_id",
-            "resource_accessed",
-            F.col("first.event_us").alias("first_us"),
-            F.col("first.session_id").alias("first_id"),
-        )
+        .select("entity_id", F.col("first.event_us").alias("first_us"), F.col("first.session_id").alias("session_id"))
     )
 
 
-def first_seen_markers(first: DataFrame, window: int) -> DataFrame:
-    """Sweep rows of the first-seen events.
+def _markers(first: DataFrame, count: str, *marks: tuple[Column, int, int, int]) -> DataFrame:
+    """Sweep rows ``(time, place, sub, amount)`` for every row of the first uses.
 
-    ``new_n`` is raised for everything within ``window`` after the first use;
-    ``first_n`` only for the first event itself.  The markers come from the
-    aggregated pairs, so no join back to the events is needed.
+    They come from the aggregated pairs, so no join back to the events is needed.
     """
-    at, zero = F.col("first_us"), F.lit(0).cast("long")
-
-    def mark(time: Column, place: int, sub: int, new: int, own: int) -> Column:
-        return F.struct(
-            time.alias("event_us"),
-            F.lit(place).alias("_place"),
-            F.lit(sub).alias("_sub"),
-            (zero + new).alias("new_n"),
-            (zero + own).alias("first_n"),
-        )
-
-    marks = F.array(
-        mark(at, BEFORE, 1, +1, 0),
-        mark(at + window, AFTER, 1, -1, 0),
-        mark(at, SELF, 0, 0, +1),
-        mark(at, SELF, 2, 0, -1),
-    )
-    return first.select("entity_id", F.col("first_id").alias("session_id"), F.explode(marks).alias("m")).select(
-        "entity_id", "session_id", "m.*"
-    )
+    rows = F.array(
+        *[
+            F.struct(
+                at.alias("event_us"), F.lit(place).alias("_place"), F.lit(sub).alias("_sub"),
+                F.lit(amount).cast("long").alias(count),
+            )
+            for at, place, sub, amount in marks
+        ]
+    )
+    kept = [c for c in first.columns if c in {"entity_id", "session_id"}]
+    return first.select(*kept, F.explode(rows).alias("m")).select(*kept, "m.*")
+
+
+def new_resource_markers(uses: DataFrame, window: int) -> DataFrame:
+    """``new_n`` is raised for everything within ``window`` after a first use."""
+    at = F.col("first_us")
+    return _markers(uses, "new_n", (at, BEFORE, 1, +1), (at + window, AFTER, 1, -1))
+
+
+def first_event_markers(first: DataFrame) -> DataFrame:
+    """``first_n`` is 1 at the first event itself and nowhere else."""
+    at = F.col("first_us")
+    return _markers(first, "first_n", (at, SELF, 0, +1), (at, SELF, 2, -1))
 
 
 # --- single features -----------------------------------------------------------
@@ -143,12 +144,16 @@ def failed_auth_counts(events: DataFrame, window: int, hot: HotKeys | None = Non
 
 
 def resource_breadth(events: DataFrame, window: int, hot: HotKeys | None = None) -> DataFrame:
-    """``resource_breadth_new_1hr`` and ``first_seen_resource``."""
-    markers = first_seen_markers(first_seen(events), window)
+    """New resources within the trailing ``window``."""
+    markers = new_resource_markers(first_uses(events), window)
     swept = sweep(events, ["entity_id"], [], markers=markers, hot=hot)
-    return swept.withColumnsRenamed(
-        {"new_n": "resource_breadth_new_1hr", "first_n": "first_seen_resource"}
-    )
+    return swept.withColumnRenamed("new_n", "resource_breadth_new_1hr")
+
+
+def first_seen_resource(events: DataFrame, hot: HotKeys | None = None) -> DataFrame:
+    """1 where the entity has never used the resource before."""
+    swept = sweep(events, ["entity_id"], [], markers=first_event_markers(first_events(events)), hot=hot)
+    return swept.withColumnRenamed("first_n", "first_seen_resource")
 
 
 def low_slow_score(count: Column, rate: Column, s: Settings) -> Column:
@@ -176,7 +181,7 @@ def low_slow(
 
 def privilege_growth(events: DataFrame) -> DataFrame:
     """Per entity: resources added after its first seven days, relative to those of that week."""
-    return footprint_growth(first_seen(events))
+    return footprint_growth(first_uses(events))
 
 
 def footprint_growth(first: DataFrame) -> DataFrame:
@@ -211,12 +216,11 @@ def ip_concurrency(
     the number of intervals over an instant is the number of distinct entities.
     Addresses with fewer than ``min_events`` events give 0.
     """
-    if hot is None:
-        # One exchange serves both windows below.
-        events = events.repartition("source_ip")
     time = F.col("event_us")
+    # Without hot addresses, one exchange serves both windows below.
+    placed = events.repartition("source_ip") if hot is None else events
     present = running(
-        events, ["source_ip", "entity_id"], ORDER, lasts={"_seen": time}, hot=hot_pairs
+        placed, ["source_ip", "entity_id"], ORDER, lasts={"_seen": time}, hot=hot_pairs
     )
     start = F.greatest(time - window, F.coalesce(F.col("_seen") + window + 1, time - window))
     end = time + window
@@ -224,13 +228,15 @@ def ip_concurrency(
         Step("present", +1, start <= end, BEFORE, start),
         Step("present", -1, start <= end, AFTER, end),
     ]
-    # The third event of an address proves that it has enough of them.
     swept = sweep(present, ["source_ip"], steps, hot=hot).drop("_seen")
+    name = "distinct_entities_from_ip_5min"
+    if min_events <= 1:
+        return swept.withColumnRenamed("present", name)
     counts = events.groupBy("source_ip").agg(F.count(F.lit(1)).alias("_on_ip"))
     thin = counts.filter(F.col("_on_ip") < min_events)
-    marked = join_by_key(swept, thin, "source_ip", hot) if min_events > 1 else swept.withColumn("_on_ip", F.lit(None))
+    marked = join_by_key(swept, thin, "source_ip", hot)
     count = F.when(F.col("_on_ip").isNull(), F.col("present")).otherwise(0)
-    return marked.withColumn("distinct_entities_from_ip_5min", count).drop("present", "_on_ip")
+    return marked.withColumn(name, count).drop("present", "_on_ip")
 
 
 def find_hot(events: DataFrame) -> dict[str, HotKeys | None]:
@@ -258,24 +264,27 @@ def entity_context(
     ``source`` is the same frame before any derived columns; first uses are read
     from it so that earlier steps are not planned twice.
     """
-    first = first_seen(events if source is None else source)
+    source = events if source is None else source
     steps = failure_steps(s.fail_window) + off_hours_steps(s)
-    markers = first_seen_markers(first, s.breadth_window)
-    places = located(events)
-    swept = sweep(places, ["entity_id"], steps, lasts=previous_values(), markers=markers, hot=hot)
+    if s.breadth == "window":
+        markers, breadth = new_resource_markers(first_uses(source), s.breadth_window), "new_n"
+    else:
+        markers, breadth = first_event_markers(first_events(source)), "first_n"
+    swept = sweep(
+        located(events), ["entity_id"], steps, lasts=previous_values(), markers=markers, hot=hot
+    )
     per_entity = join_by_key(swept, rates, "entity_id", hot)
     if s.footprint == "first_week":
-        per_entity = join_by_key(per_entity, footprint_growth(first), "entity_id", hot)
+        per_entity = join_by_key(per_entity, footprint_growth(first_uses(source)), "entity_id", hot)
         growth = F.coalesce(F.col("privilege_footprint_growth_30d"), F.lit(0.0))
     else:
         growth = F.lit(0.0)
-    breadth = F.col("new_n") if s.breadth == "window" else F.col("first_n")
     trend = low_slow_score(F.col("off_hours_n"), F.col("off_hours_rate"), s)
     return per_entity.withColumns(
         {
             "failed_auth_count_5min": F.when(failed(), F.col("fails")).otherwise(0).cast("double"),
-            "resource_breadth_new_1hr": breadth.cast("double"),
+            "resource_breadth_new_1hr": F.col(breadth).cast("double"),
             "privilege_footprint_growth_30d": growth,
             "low_slow_raw": trend,
         }
-    ).drop("fails", "off_hours_n", "off_hours_rate", "new_n", "first_n")
+    ).drop("fails", "off_hours_n", "off_hours_rate", breadth)

@@ -353,7 +353,7 @@ def value_counts_joined(
 ) -> DataFrame:
     """Counts of an event's value from the long table (existence join).
 
-    Events that use the other level get a key of their own that matches
+    Events that need no lookup here get a key of their own that matches
     nothing, so they spread evenly instead of piling up on one null key.
     """
     key = "entity_id" if level == "entity" else "entity_type"
@@ -362,7 +362,8 @@ def value_counts_joined(
         key, F.col("value").alias("_wanted"), F.col("n").alias(f"_{level}_{attr}_n")
     )
     apart = F.concat(F.lit("\0"), F.col("session_id").cast("string"))
-    wanted = F.when(F.col("profile_source") == level, F.col(column)).otherwise(apart)
+    open_ = (F.col("profile_source") == level) & F.col(f"{attr}_n").isNull()
+    wanted = F.when(open_, F.col(column)).otherwise(apart)
     return looked_up.withColumn("_wanted", wanted).join(mine, [key, "_wanted"], "left").drop("_wanted")
 
 
@@ -372,21 +373,20 @@ def value_counts(looked_up: DataFrame, model: ProfileModel) -> DataFrame:
     Sets inside the profile row need no further join.  The long table is joined
     only for the attributes and levels that have sets above the limit.
     """
-    out = looked_up
     columns = {"geo": "geo_location", "device": "device_fingerprint", "resource": "resource_accessed"}
-    for level, attr in sorted(model.large):
-        out = value_counts_joined(out, model, attr, columns[attr], level)
     found = {}
     for attr, column in columns.items():
         packed = F.col(f"{attr}_counts")
-        count = F.when(packed.isNotNull(), F.try_element_at(packed, F.col(column)))
-        for level in ("entity", "type"):
-            if (level, attr) in model.large:
-                here = packed.isNull() & (F.col("profile_source") == level)
-                count = F.coalesce(count, F.when(here, F.col(f"_{level}_{attr}_n")))
-        found[f"{attr}_n"] = F.coalesce(count, F.lit(0))
-    extra = [f"_{level}_{attr}_n" for level, attr in model.large]
-    return out.withColumns(found).drop(*extra, *[f"{a}_counts" for a in PACKED])
+        inside = F.coalesce(F.try_element_at(packed, F.col(column)), F.lit(0))
+        found[f"{attr}_n"] = F.when(packed.isNotNull(), inside)
+    # The sets leave the rows before any further exchange.
+    out = looked_up.withColumns(found).drop(*[f"{a}_counts" for a in PACKED])
+    extra = []
+    for level, attr in sorted(model.large):
+        out = value_counts_joined(out, model, attr, columns[attr], level)
+        extra.append(f"_{level}_{attr}_n")
+        out = out.withColumn(f"{attr}_n", F.coalesce(f"{attr}_n", extra[-1]))
+    return out.drop(*extra).fillna(0, subset=list(found))
 
 
 # --- drift ---------------------------------------------------------------------

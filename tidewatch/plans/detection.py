@@ -27,10 +27,11 @@ def score_events(
     hot = features.find_hot(frame)
     on_ip = features.ip_concurrency(frame, s.ip_window, hot=hot["ip"], hot_pairs=hot["pairs"])
     context = features.entity_context(on_ip, sequences.rates, s, hot["entity"], frame)
-    stepped = sequence.markov_last_transition(context, sequences, hot["entity"])
-    based = scoring.baseline_scores(stepped, model, s, hot["entity"])
+    # Lookups by entity come first, while the rows are still partitioned by it.
+    based = scoring.baseline_scores(context, model, s, hot["entity"])
+    stepped = sequence.markov_last_transition(based, sequences, hot["entity"])
     combined = scoring.sequence_score(F.col("markov_raw"), F.col("low_slow_raw"))
-    scored = based.withColumns(
+    scored = stepped.withColumns(
         {
             "sequence_score": S.round4(combined),
             "low_slow_score": S.round4(F.col("low_slow_raw")),

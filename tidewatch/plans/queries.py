@@ -622,7 +622,7 @@ def resource_breadth_new_1hr(spark, sf):
 def first_seen_resource(spark, sf):
     """On orders, where many events share a day."""
     events = order_events(spark, sf)
-    found = X.resource_breadth(events, HOUR, find_hot_keys(events, ["entity_id"]))
+    found = X.first_seen_resource(events, find_hot_keys(events, ["entity_id"]))
     return found.select("session_id", col("first_seen_resource").alias("first_seen"))
 
 

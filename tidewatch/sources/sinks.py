@@ -13,8 +13,13 @@ METRICS_SCHEMA = "metric string, key string, value double"
 
 
 def write_events(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Parquet by day, so that queries on a time range read only its days."""
-    df.withColumn("event_date", F.to_date("event_time")).write.mode(mode).partitionBy("event_date").parquet(path)
+    """Parquet by day, so that queries on a time range read only its days.
+
+    Rebalancing gathers each day's rows into files of a fair size and splits
+    days that are too large for one task.
+    """
+    dated = df.withColumn("event_date", F.to_date("event_time")).hint("rebalance", "event_date")
+    dated.write.mode(mode).partitionBy("event_date").parquet(path)
 
 
 def write_outputs(scored: DataFrame, alerts: DataFrame, exported_profiles: DataFrame, path: str) -> dict[str, str]:
