@@ -109,3 +109,24 @@ def test_value_sets_above_the_limit(skewed, monkeypatch):
     model = P.fit_profiles(normal)
     assert model.large
     assert table(Z.baseline_scores(test, model, s)) == packed
+
+
+def test_rows_without_a_key_are_one_group(skewed, small_slices):
+    """Missing addresses and entities may be as frequent as any hot key."""
+    odd = F.col("session_id") % 2 == 1
+    gaps = skewed.withColumns(
+        {
+            "source_ip": F.when(~odd, F.col("source_ip")),
+            "entity_id": F.when(F.col("session_id") % 5 > 1, F.col("entity_id")),
+        }
+    )
+    hot = lambda: find_hot_keys(gaps, ["entity_id"])
+    both(small_slices, 60, lambda: X.failed_auth_counts(gaps, DAY, hot()))
+    rates = X.off_hours_rate(gaps)
+    both(small_slices, 60, lambda: X.low_slow(gaps, rates, S, hot()))
+
+    def addresses():
+        found = X.find_hot(gaps)
+        return X.ip_concurrency(gaps, 30 * MINUTE, hot=found["ip"], hot_pairs=found["pairs"])
+
+    both(small_slices, 60, addresses)

@@ -2,9 +2,9 @@
 
 A window partitioned by entity (or address) puts a whole key in one task.  Keys
 above a row limit are therefore cut into time slices: windows run per
-``(key, slice)``, each slice's totals are aggregated separately, and the totals
-of the earlier slices are joined back and added.  Results are the same as those
-of the plain window.  The slice width is chosen per key from its own time
+``(key, slice)``, each slice's totals are aggregated separately, and every slice
+starts from the totals of the earlier ones.  Results are the same as those of
+the plain window.  The slice width is chosen per key from its own time
 histogram, so bursts are cut more finely.
 """
 
@@ -16,11 +16,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.session import materialize
-from tidewatch.settings import MINUTE
+from tidewatch.settings import SECOND
 
 DEFAULT_SLICE_ROWS = 5_000_000
 MAX_HOT_KEYS = 100_000
-SLICE_MINUTES = [1, 5, 15, 60, 360, 1440, 10080]
+SLICE_SECONDS = [1, 10, 60, 300, 900, 3600, 21600, 86400, 604800]
 
 BEFORE, SELF, AFTER = 0, 1, 2
 
@@ -42,6 +42,15 @@ def slice_rows(df: DataFrame) -> int:
     return int(conf)
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join in which null keys match each other, as they do in windows and groups."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    matches = F.lit(True)
+    for k in keys:
+        matches = matches & left[k].eqNullSafe(renamed[f"_r_{k}"])
+    return left.join(renamed, matches, "left").drop(*[f"_r_{k}" for k in keys])
+
+
 def find_hot_keys(df: DataFrame, keys: Sequence[str], time_us: str = "event_us") -> HotKeys | None:
     """Measure the keys; ``None`` when no key exceeds the limit.
 
@@ -53,15 +62,16 @@ def find_hot_keys(df: DataFrame, keys: Sequence[str], time_us: str = "event_us")
     if sizes.isEmpty():
         return None
     heavy = materialize(sizes.orderBy(F.desc("n_rows")).limit(MAX_HOT_KEYS), "heavy")
-    minute = F.floor(F.col(time_us) / MINUTE)
-    per_minute = (
-        df.join(F.broadcast(heavy), list(keys))
-        .groupBy(*keys, minute.alias("minute"))
+    second = F.floor(F.col(time_us) / SECOND)
+    per_second = (
+        join_null_safe(df, F.broadcast(heavy), keys)
+        .filter(F.col("n_rows").isNotNull())
+        .groupBy(*keys, second.alias("second"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     widest = (
-        per_minute.withColumn("width", F.explode(F.array(*map(F.lit, SLICE_MINUTES))))
-        .groupBy(*keys, "width", F.floor(F.col("minute") / F.col("width")).alias("slice"))
+        per_second.withColumn("width", F.explode(F.array(*map(F.lit, SLICE_SECONDS))))
+        .groupBy(*keys, "width", F.floor(F.col("second") / F.col("width")).alias("slice"))
         .agg(F.sum("n").alias("n"))
         .groupBy(*keys, "width")
         .agg(F.max("n").alias("n"))
@@ -69,9 +79,9 @@ def find_hot_keys(df: DataFrame, keys: Sequence[str], time_us: str = "event_us")
         .groupBy(*keys)
         .agg(F.max("width").alias("width"))
     )
-    table = heavy.join(widest, list(keys), "left").select(
+    table = join_null_safe(heavy, widest, keys).select(
         *keys,
-        (F.coalesce("width", F.lit(SLICE_MINUTES[0])).cast("long") * MINUTE).alias("slice_us"),
+        (F.coalesce("width", F.lit(SLICE_SECONDS[0])).cast("long") * SECOND).alias("slice_us"),
         F.ceil(F.col("n_rows") / F.lit(limit)).cast("int").alias("n_salts"),
     )
     return HotKeys(materialize(table, "hot"), tuple(keys), limit)
@@ -81,7 +91,7 @@ def with_slice(df: DataFrame, hot: HotKeys, time_us: str) -> DataFrame:
     """Add ``_slice`` (0 for ordinary keys) and ``_hot``."""
     widths = F.broadcast(hot.table.select(*hot.keys, "slice_us"))
     return (
-        df.join(widths, list(hot.keys), "left")
+        join_null_safe(df, widths, hot.keys)
         .withColumn("_hot", F.col("slice_us").isNotNull())
         .withColumn("_slice", F.coalesce(F.floor(F.col(time_us) / F.col("slice_us")), F.lit(0)))
         .drop("slice_us")
@@ -106,27 +116,30 @@ def running(
     if hot is None:
         return df.withColumns(_over(Window.partitionBy(*keys).orderBy(*order), sums, lasts))
 
-    cut = with_slice(df, hot, order[0])
-    local = cut.withColumns(_over(Window.partitionBy(*keys, "_slice").orderBy(*order), sums, lasts))
-    totals = {f"_sum_{name}": F.sum(value) for name, value in sums.items()}
-    totals |= {
-        f"_last_{name}": F.max_by(value, F.when(value.isNotNull(), F.struct(*order)))
-        for name, value in lasts.items()
-    }
-    per_slice = (
-        cut.filter("_hot").groupBy(*keys, "_slice").agg(*[agg.alias(name) for name, agg in totals.items()])
-    )
+    # Each slice of a hot key starts with one extra row that carries the totals
+    # of the slices before it, so the window continues where they ended.
+    added = {f"_s_{n}": v for n, v in sums.items()} | {f"_l_{n}": v for n, v in lasts.items()}
+    cut = with_slice(df, hot, order[0]).withColumns(added | {"_carry": F.lit(False)})
+    totals = [F.sum(f"_s_{n}").alias(f"_s_{n}") for n in sums]
+    totals += [
+        F.max_by(f"_l_{n}", F.when(F.col(f"_l_{n}").isNotNull(), F.struct(*order))).alias(f"_l_{n}")
+        for n in lasts
+    ]
+    per_slice = cut.filter("_hot").groupBy(*keys, "_slice").agg(*totals)
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = per_slice.select(
         *keys,
         "_slice",
-        *[F.sum(f"_sum_{name}").over(earlier).alias(f"_sum_{name}") for name in sums],
-        *[F.last(f"_last_{name}", True).over(earlier).alias(f"_last_{name}") for name in lasts],
+        *[F.sum(f"_s_{n}").over(earlier).alias(f"_s_{n}") for n in sums],
+        *[F.last(f"_l_{n}", True).over(earlier).alias(f"_l_{n}") for n in lasts],
+        F.lit(True).alias("_carry"),
+    )
+    rows = cut.unionByName(carried, allowMissingColumns=True)
+    window = Window.partitionBy(*keys, "_slice").orderBy(F.desc("_carry"), *order)
+    values = {n: F.col(f"_s_{n}") for n in sums}, {n: F.col(f"_l_{n}") for n in lasts}
+    return rows.withColumns(_over(window, *values)).filter(~F.col("_carry")).drop(
+        "_slice", "_hot", "_carry", *added
     )
-    joined = local.join(carried, [*keys, "_slice"], "left")
-    combined = {name: F.col(name) + F.coalesce(F.col(f"_sum_{name}"), F.lit(0)) for name in sums}
-    combined |= {name: F.coalesce(F.col(name), F.col(f"_last_{name}")) for name in lasts}
-    return joined.withColumns(combined).drop("_slice", "_hot", *totals)
 
 
 def _over(window, sums, lasts) -> dict[str, Column]:
@@ -278,7 +291,7 @@ def join_by_key(events: DataFrame, table: DataFrame, key: str, hot: HotKeys | No
         .drop("n_salts")
     )
     salted = (
-        events.join(salts, key, "left")
+        join_null_safe(events, salts, [key])
         .withColumn("_salt", F.pmod(F.xxhash64("session_id"), F.coalesce("n_salts", F.lit(1))).cast("int"))
         .drop("n_salts")
     )
