@@ -102,3 +102,9 @@ def test_scores_stay_within_bounds(spark, sf):
         outside = outside | ~F.col(name).between(0.0, 1.0) | F.col(name).isNull()
     assert d.scored.filter(outside).count() == 0
     assert P.cold_start_census(d.profiles.entities).first().n_cold >= 0
+
+
+def test_export_of_a_model_is_that_of_its_events(spark, sf):
+    model, _ = R.access_model(spark, sf)
+    rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    assert rows(P.export_model(model)) == rows(P.profile_export(R.access_normal(spark, sf)))

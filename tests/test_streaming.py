@@ -64,6 +64,18 @@ def test_profile_score(spark, pieces, learned):
     same(out, Z.baseline_scores(events, model, Settings(use_velocity=False)), "baseline_score")
 
 
+def test_risk_over_batches(spark, pieces, learned):
+    """All state in one step gives the same as the separate batch operators."""
+    events, model, sequences = learned
+    names = ["geo_velocity_kmh", "baseline_score", "markov_nll", "low_slow_score"]
+    score = lambda batch: O.score_remembered(batch, model, sequences).select("session_id", *names)
+    schema = "session_id long, " + ", ".join(f"{n} double" for n in names)
+    out = O.run_batches(O.entity_memory(access_stream(spark, pieces)), "risk", score, schema)
+    same(out, Z.baseline_scores(events, model), "geo_velocity_kmh", "baseline_score")
+    same(out, Q.markov_window(events, sequences), "markov_nll")
+    same(out, X.low_slow(events, sequences.rates, Settings(low_slow="trailing")), "low_slow_score")
+
+
 def test_late_rows_are_dropped_and_counted(spark, tmp_path, sf):
     table = pq.read_table(f"{sf}/events.parquet").sort_by("ts")
     # A watermark takes effect on the batch after the one that follows it.

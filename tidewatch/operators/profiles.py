@@ -15,6 +15,7 @@ from tidewatch.settings import DAY, Settings
 # Value sets up to this size travel inside the profile row; larger ones stay in
 # the long table and are looked up there.
 PACK_LIMIT = 256
+PACKED = ("geo", "device", "resource")
 
 PROFILED_ATTRIBUTES = {
     "resource": "resource_accessed",
@@ -39,7 +40,10 @@ def split_point(events: DataFrame, days: int) -> Column:
 
 def time_split(events: DataFrame, days: int) -> tuple[DataFrame, DataFrame]:
     """(train, test): the first ``days`` days and the rest."""
-    cut = split_point(events, days)
+    return split_at(events, split_point(events, days))
+
+
+def split_at(events: DataFrame, cut: Column) -> tuple[DataFrame, DataFrame]:
     return events.filter(F.col("event_us") < cut), events.filter(F.col("event_us") >= cut)
 
 
@@ -205,8 +209,16 @@ def entity_population(events: DataFrame) -> DataFrame:
 
 def profile_export(events: DataFrame) -> DataFrame:
     """One row per entity with its value sets as JSON and numbers to two decimals."""
-    numeric = entity_numeric(events)
-    values = values_by(profile_values(events), "entity_id")
+    return export_table(entity_numeric(events), values_by(profile_values(events), "entity_id"))
+
+
+def export_model(model: "ProfileModel") -> DataFrame:
+    """The same table from a fitted model."""
+    return export_table(model.entities, model.entity_values)
+
+
+def export_table(numeric: DataFrame, values: DataFrame) -> DataFrame:
+    numeric = numeric.drop("primary_auth_method", *[f"{a}_counts" for a in PACKED])
 
     def names(attr: str) -> Column:
         found = F.collect_set(F.when(F.col("attr") == attr, F.col("value")))
@@ -262,9 +274,6 @@ class ProfileModel:
     large: frozenset[tuple[str, str]]
 
 
-PACKED = ("geo", "device", "resource")
-
-
 def _packed(values: DataFrame, key: str) -> DataFrame:
     """Value sets within the limit; the row number bounds what is collected."""
     rank = F.row_number().over(Window.partitionBy(key, "attr").orderBy("value"))
@@ -302,6 +311,11 @@ def fit_profiles(normal_events: DataFrame) -> ProfileModel:
     return load_model_tables(entities, types, entity_values, type_values)
 
 
+def fit_rolling(events: DataFrame, reference_us: Column, s: Settings = Settings()) -> ProfileModel:
+    """Learn from the normal events of the trailing window only."""
+    return fit_profiles(label_filter(rolling_window(events, reference_us, s.rolling_days)))
+
+
 def load_model_tables(entities, types, entity_values, type_values) -> ProfileModel:
     """A model over stored tables; notes which attributes have large sets."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidewatch.functions import scalars as S
 from tidewatch.operators import alerts as A, classify as K, explain, features, profiles, scoring, sequence
 from tidewatch.session import materialize, together
-from tidewatch.settings import Settings
+from tidewatch.settings import DAY, Settings
 
 
 def score_events(
@@ -72,13 +72,16 @@ def detect(events: DataFrame, s: Settings = Settings(), learn: bool = True) -> D
     ``learn=False`` leaves out the forest: flagged events that no rule decides
     then stay normal, as they do when there are too few attacks to learn from.
     """
-    train, test = profiles.time_split(events, s.train_days)
+    # One pass for the bounds; as literals they cost the many later actions nothing.
+    begin, end = events.agg(F.min("event_us"), F.max("event_us")).first()
+    if begin is None:
+        raise ValueError("there are no events to learn from")
+    train, test = profiles.split_at(events, F.lit(begin + s.train_days * DAY))
     model, sequences = fit_tables(train)
     classifier = K.fit_classifier(training_scores(train, model, sequences, s)) if learn else None
     scored = score_events(test, model, sequences, s)
     explained = explain.explanations(K.classify(scored, classifier))
-    end = test.agg(F.max("event_us")).scalar()
-    flags = profiles.drift_flags(events, model, end, s)
+    flags = profiles.drift_flags(events, model, F.lit(end), s)
     scored, drift = together(
         lambda: materialize(explained, "scored_events"), lambda: materialize(flags, "drift")
     )

@@ -39,7 +39,7 @@ def scan_events(spark, sf):
  UNION ALL SELECT 'entity_profiles', count(*) FROM a_num_e""")
 def write_outputs(spark, sf):
     d = R.detection(spark, sf)
-    profiles = P.profile_export(R.access_normal(spark, sf))
+    profiles = P.export_model(d.profiles)
     paths = sinks.write_outputs(d.scored, d.alerts, profiles, new_path(spark, "outputs"))
     counts = [
         spark.read.parquet(path).agg(F.count(lit(1)).alias("n")).select(lit(name).alias("name"), "n")
@@ -863,8 +863,8 @@ def drift_flag_orders(spark, sf):
 @query("fit_rolling", f"""SELECT entity_id, count(*)::BIGINT AS n_observed_events, {r('avg(hr)')} AS hour_mean, {r('sum(dur)', 2)} AS duration_total, min(us) AS first_us, max(us) AS last_us FROM a_recent GROUP BY entity_id""")
 def fit_rolling(spark, sf):
     events = access_events(spark, sf)
-    recent = P.label_filter(P.rolling_window(events, events.agg(F.max("event_us")).scalar(), 14))
-    return _numbers(P.entity_numeric(recent), "entity_id").drop("hour_std", "duration_std")
+    model = P.fit_rolling(events, events.agg(F.max("event_us")).scalar(), R.ACCESS)
+    return _numbers(model.entities, "entity_id").drop("hour_std", "duration_std")
 
 
 # === learning, evaluation ======================================================

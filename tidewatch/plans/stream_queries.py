@@ -73,3 +73,19 @@ def stream_profile_score(spark, sf):
  GROUP BY entity_id, run HAVING max(us)+{6 * HOUR}<={_CLOSED.format(source="access")}""")
 def stream_sessions(spark, sf):
     return O.run_to_table(O.sessions(access_stream(spark, sf)), "sessions")
+
+
+_ONLINE = "0.7::DOUBLE*least(nll/15.0,1.0::DOUBLE)+0.3::DOUBLE*ls"
+
+
+@query("stream_risk_score", f"""SELECT session_id, geo_velocity_kmh, baseline_score, sequence_score, {r(clip("0.55::DOUBLE*baseline_score+0.45::DOUBLE*sequence_score"))} AS risk_score
+ FROM (SELECT session_id, geo_velocity_kmh, baseline_score, {r(_ONLINE)} AS sequence_score FROM a_base JOIN a_window_nll USING (session_id) JOIN a_ls_7d USING (session_id))""")
+def stream_risk_score(spark, sf):
+    """Score every event of the days after training as it comes, from state and profiles."""
+    model, sequences = R.access_model(spark, sf)
+    start = access_events(spark, sf).agg(F.min("event_us")).first()[0] + R.ACCESS.train_days * 24 * HOUR
+    names = ["session_id", "geo_velocity_kmh", "baseline_score", "sequence_score", "risk_score"]
+    score = lambda batch: O.score_remembered(batch, model, sequences, R.ACCESS).select(*names)
+    remembered = O.entity_memory(access_stream(spark, sf).filter(col("event_us") >= start))
+    schema = "session_id bigint, " + ", ".join(f"{n} double" for n in names[1:])
+    return O.run_batches(remembered, "risk", score, schema).select(*names)

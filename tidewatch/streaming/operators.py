@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewatch import constants as C
-from tidewatch.functions import geo, scalars as S
+from tidewatch.functions import scalars as S
 from tidewatch.operators import features, scoring, sequence
 from tidewatch.operators.profiles import ProfileModel
 from tidewatch.session import ROCKSDB, new_path
@@ -25,34 +25,48 @@ WATERMARK = "1 hour"
 # --- per-entity state ----------------------------------------------------------
 
 
+def _placed(stream: DataFrame) -> DataFrame:
+    """Coordinates as plain columns, so that state and rows hold numbers only."""
+    located = features.located(stream)
+    return located.withColumns({"lat": F.col("at.lat"), "lon": F.col("at.lon")}).drop("at")
+
+
+def _points(rows: DataFrame) -> DataFrame:
+    """Back to the point columns the batch expressions use."""
+    known = lambda name: F.nanvl(F.col(name), F.lit(None).cast("double"))
+    points = {
+        "at": F.struct(known("lat").alias("lat"), known("lon").alias("lon")),
+        "prev_at": F.struct(known("prev_lat").alias("lat"), known("prev_lon").alias("lon")),
+    }
+    return rows.withColumns(points).drop("lat", "lon", "prev_lat", "prev_lon")
+
+
 def geo_velocity(stream: DataFrame) -> DataFrame:
     """Speed since the entity's previous event; 0 for rows that arrive out of order."""
-    at = geo.coordinates(F.col("geo_location"))
-    placed = stream.select("session_id", "entity_id", "event_us", at.alias("at")).select(
-        "session_id", "entity_id", "event_us", F.col("at.lat").alias("lat"), F.col("at.lon").alias("lon")
-    )
-    seen = state.remember(placed, state.PreviousEvent())
-    known = lambda name: F.nanvl(F.col(name), F.lit(None).cast("double"))
-    km = geo.haversine_km(known("prev_lat"), known("prev_lon"), known("lat"), known("lon"))
-    kmh = geo.travel_kmh(km, F.col("event_us") - F.col("prev_us"))
-    return seen.select("session_id", "entity_id", S.round_to(kmh, 2).alias("geo_velocity_kmh"))
+    placed = _placed(stream).select("session_id", "entity_id", "event_us", "lat", "lon")
+    moved = features.travelled(_points(state.remember(placed, state.PreviousEvent)))
+    return moved.select("session_id", "entity_id", S.round_to(F.col("kmh"), 2).alias("geo_velocity_kmh"))
 
 
 def recent_resources(stream: DataFrame) -> DataFrame:
     wanted = stream.select("session_id", "entity_id", "entity_type", "event_us", "resource_accessed")
-    return state.remember(wanted, state.RecentResources())
+    return state.remember(wanted, state.RecentResources)
 
 
 def low_slow_7d(stream: DataFrame, rates: DataFrame, s: Settings = Settings()) -> DataFrame:
-    wanted = stream.select(
-        "session_id", "entity_id", "event_us", "hour", S.is_off_hours(F.col("hour")).alias("off_hours")
-    )
-    counted = state.remember(wanted, state.OffHoursCount())
+    wanted = stream.select("session_id", "entity_id", "event_us", "hour", features.off_hours().alias("off_hours"))
+    counted = state.remember(wanted, state.OffHoursCount)
     rated = counted.join(rates, "entity_id", "left")
     score = features.low_slow_score(F.col("off_hours_n"), F.col("off_hours_rate"), s)
     return rated.select("session_id", "entity_id", "off_hours_n", S.round4(score).alias("low_slow_score"))
 
 
+def entity_memory(stream: DataFrame) -> DataFrame:
+    """Every event with all that is remembered of its entity, in one stateful step."""
+    wanted = _placed(stream).withColumn("off_hours", features.off_hours())
+    return state.remember(wanted, state.EntityMemory)
+
+
 # --- windowed aggregations -----------------------------------------------------
 
 
@@ -108,6 +122,28 @@ def score_recent(batch: DataFrame, model: sequence.SequenceTables) -> DataFrame:
     return sequence.arrays_nll(batch, model)
 
 
+def score_remembered(
+    batch: DataFrame, model: ProfileModel, sequences: sequence.SequenceTables, s: Settings = Settings()
+) -> DataFrame:
+    """Baseline, sequence and risk scores of a micro-batch of :func:`entity_memory`.
+
+    The sequence part is the likelihood of the last ten resources and the
+    off-hours trend of the last seven days.
+    """
+    based = scoring.baseline_scores(_points(batch), model, s.with_(use_velocity=True))
+    nll = sequence.arrays_nll(based.select("session_id", "entity_type", "recent"), sequences)
+    joined = based.join(nll, "session_id").join(sequences.rates, "entity_id", "left")
+    trend = features.low_slow_score(F.col("off_hours_n"), F.col("off_hours_rate"), s)
+    scored = joined.withColumns(
+        {
+            "low_slow_score": S.round4(trend),
+            "sequence_score": S.round4(scoring.sequence_score(F.col("markov_raw"), trend)),
+        }
+    )
+    risk = scoring.risk_score(F.col("baseline_score"), F.col("sequence_score"))
+    return scored.withColumn("risk_score", risk)
+
+
 # --- running -------------------------------------------------------------------
 
 
@@ -135,14 +171,19 @@ def run_batches(stream: DataFrame, name: str, on_batch: Callable[[DataFrame], Da
     """Like :func:`run_to_table`, with a batch step in between.
 
     Each micro-batch overwrites its own directory, so a repeated one leaves no
-    duplicates.
+    duplicates.  It is persisted while in use: a step that reads it twice must
+    not run the stateful operators twice.
     """
     spark = stream.sparkSession
     prepare(spark)
     path, checkpoint = new_path(spark, name), new_path(spark, f"{name}-checkpoint")
 
     def write(batch: DataFrame, number: int) -> None:
-        on_batch(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.persist()
+        try:
+            on_batch(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        finally:
+            batch.unpersist()
 
     query = (
         stream.writeStream.foreachBatch(write)

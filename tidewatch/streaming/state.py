@@ -21,81 +21,86 @@ def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(["event_us", "session_id"])
 
 
-class PreviousEvent(StatefulProcessor):
-    """Emits time and coordinates of the entity's previous event."""
+class Memory(StatefulProcessor):
+    """Base of the processors: rows in, the same rows with remembered values out."""
 
-    OUTPUT = (
-        "session_id bigint, entity_id bigint, event_us bigint, lat double, lon double, "
-        "prev_us bigint, prev_lat double, prev_lon double"
-    )
+    ADDED: str
+    _kept: list[str]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "us bigint, lat double, lon double")
+    def __init__(self, stream: DataFrame) -> None:
+        """The stream's own columns are passed through."""
+        kept = [f for f in stream.schema.fields if f.name != "entity_id"]
+        key = stream.schema["entity_id"].dataType.simpleString()
+        self._kept = [f.name for f in kept]
+        own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
+        self.OUTPUT = f"entity_id {key}, {own}, {self.ADDED}"
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _in_order(rows)
-        seen = self.last.get() if self.last.exists() else (None, None, None)
-        earlier = batch[["event_us", "lat", "lon"]].shift(1)
-        earlier.columns = ["prev_us", "prev_lat", "prev_lon"]
-        earlier["prev_us"] = earlier["prev_us"].astype("Int64")
-        if seen[0] is not None:
-            earlier.iloc[0, 0] = seen[0]
-            earlier.iloc[0, 1] = float("nan") if seen[1] is None else seen[1]
-            earlier.iloc[0, 2] = float("nan") if seen[2] is None else seen[2]
-        newest = batch.iloc[-1]
-        place = [None if pd.isna(newest[c]) else float(newest[c]) for c in ("lat", "lon")]
-        self.last.update((int(newest["event_us"]), *place))
-        out = pd.concat([batch[["session_id", "event_us", "lat", "lon"]], earlier], axis=1)
-        out.insert(1, "entity_id", key[0])
+        out = batch[self._kept].reset_index(drop=True)
+        out.insert(0, "entity_id", key[0])
+        for name, values in self.look_back(batch).items():
+            out[name] = values
         yield out
 
+    def look_back(self, batch: pd.DataFrame) -> dict[str, object]:
+        raise NotImplementedError
+
     def close(self) -> None:
         pass
 
 
-class RecentResources(StatefulProcessor):
-    """Emits the entity's last ten resources, the current one last."""
+class PreviousEvent(Memory):
+    """Adds time and coordinates of the entity's previous event."""
 
-    OUTPUT = "session_id bigint, entity_id bigint, entity_type string, recent array<string>"
+    ADDED = "prev_us bigint, prev_lat double, prev_lon double"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "us bigint, lat double, lon double")
+
+    def look_back(self, batch):
+        seen = self.last.get() if self.last.exists() else (None, None, None)
+        times = [seen[0], *batch["event_us"].tolist()]
+        lats, lons = ([seen[i], *batch[c].tolist()] for i, c in ((1, "lat"), (2, "lon")))
+        known = [None if v is None or pd.isna(v) else float(v) for v in (lats[-1], lons[-1])]
+        self.last.update((int(times[-1]), *known))
+        return {
+            "prev_us": pd.array(times[:-1], dtype="Int64"),
+            "prev_lat": pd.array(lats[:-1], dtype="Float64"),
+            "prev_lon": pd.array(lons[:-1], dtype="Float64"),
+        }
+
+
+class RecentResources(Memory):
+    """Adds the entity's last ten resources, the current one last."""
+
+    ADDED = "recent array<string>"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.recent = handle.getListState("recent", "resource string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _in_order(rows)
+    def look_back(self, batch):
         before = [row[0] for row in self.recent.get()]
         path = before + batch["resource_accessed"].tolist()
-        ends = range(len(before) + 1, len(path) + 1)
-        recent = [path[max(0, end - SEQUENCE_LENGTH) : end] for end in ends]
         self.recent.put([(resource,) for resource in path[-SEQUENCE_LENGTH:]])
-        yield pd.DataFrame(
-            {
-                "session_id": batch["session_id"].values,
-                "entity_id": key[0],
-                "entity_type": batch["entity_type"].values,
-                "recent": recent,
-            }
-        )
-
-    def close(self) -> None:
-        pass
+        ends = range(len(before) + 1, len(path) + 1)
+        return {"recent": [path[max(0, end - SEQUENCE_LENGTH) : end] for end in ends]}
 
 
-class OffHoursCount(StatefulProcessor):
-    """Emits how many off-hours events the entity had within the last seven days.
+class OffHoursCount(Memory):
+    """Adds how many off-hours events the entity had within the last seven days.
 
     Times are kept per hour, oldest hours first to go, so a micro-batch reads
     only the hour that is arriving and the hour that is leaving the window.
     """
 
-    OUTPUT = "session_id bigint, entity_id bigint, hour int, off_hours_n bigint"
+    ADDED = "off_hours_n bigint"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.span = handle.getValueState("span", "n bigint, oldest bigint")
         self.times = handle.getMapState("times", "hour bigint", "us array<bigint>")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _in_order(rows)
+    def look_back(self, batch):
         n, oldest = self.span.get() if self.span.exists() else (0, None)
         open_hours: dict[int, list[int]] = {}
 
@@ -131,20 +136,32 @@ class OffHoursCount(StatefulProcessor):
                 self.times.removeKey((h,))
         if oldest is not None:
             self.span.update((n, oldest))
-        yield pd.DataFrame(
-            {
-                "session_id": batch["session_id"].values,
-                "entity_id": key[0],
-                "hour": batch["hour"].values,
-                "off_hours_n": counts,
-            }
-        )
+        return {"off_hours_n": counts}
 
-    def close(self) -> None:
-        pass
+
+class EntityMemory(Memory):
+    """All three memories of an entity in one pass, for scoring events as they come."""
+
+    PARTS = (PreviousEvent, RecentResources, OffHoursCount)
+    ADDED = ", ".join(part.ADDED for part in PARTS)
+
+    def __init__(self, stream: DataFrame) -> None:
+        super().__init__(stream)
+        self.parts = [part(stream) for part in self.PARTS]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        for part in self.parts:
+            part.init(handle)
+
+    def look_back(self, batch):
+        found = {}
+        for part in self.parts:
+            found |= part.look_back(batch)
+        return found
 
 
-def remember(stream: DataFrame, processor: StatefulProcessor) -> DataFrame:
+def remember(stream: DataFrame, kind: type[Memory]) -> DataFrame:
+    processor = kind(stream)
     return stream.groupBy("entity_id").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=processor.OUTPUT, outputMode="Append", timeMode="None"
     )
