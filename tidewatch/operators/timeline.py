@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidewatch.session import materialize
 from tidewatch.settings import SECOND
 
-DEFAULT_SLICE_ROWS = 5_000_000
+DEFAULT_SLICE_ROWS = 2_000_000
 MAX_HOT_KEYS = 100_000
 SLICE_SECONDS = [1, 10, 60, 300, 900, 3600, 21600, 86400, 604800]
 
