@@ -23,8 +23,15 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a fresh local one only where none is named."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _local_dir()).rstrip("/")
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Only a session that runs in one process may go without it; elsewhere a local
+    folder would scatter the files over the executors, so that is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.conf.get("spark.master", "").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (named or _local_dir()).rstrip("/")
 
 
 @lru_cache(maxsize=1)
