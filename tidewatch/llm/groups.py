@@ -16,61 +16,49 @@ def link_by_key(rows: DataFrame, similar: Callable[[np.ndarray, np.ndarray], np.
     Without ``similar`` every node of a key is linked to the key's first node. With
     it a node is linked to the earliest node of its key whose sketch is similar,
     among those that were similar to none before. A task streams its keys in
-    sorted order and holds one key's leaders at most, never pairs.
+    sorted order and holds the leaders of one open key, never pairs.
     """
     names = ["key", "node"] + ["sketch"] * sketch
     dealt = rows.select(*names).repartition("key").sortWithinPartitions("key", "node")
     return dealt.mapInArrow(lambda batches: _stream(batches, similar), "a long, b long")
 
 
-def _stream(batches: Iterator[pa.RecordBatch], similar) -> Iterator[pa.RecordBatch]:
-    key, leaders, sketches, last = None, np.zeros(0, np.int64), np.zeros(0, np.uint64), None
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[pa.Table]:
+    """Batches put together until they have enough rows for work on whole arrays."""
+    held, n = [], 0
     for batch in batches:
-        n = batch.num_rows
-        if n == 0:
-            continue
-        keys, nodes = batch.column("key").to_numpy(), batch.column("node").to_numpy()
-        if similar is None:
-            # The first node of each key, carried over from the batch before where a key goes on.
-            first = np.concatenate(([keys[0] != key], keys[1:] != keys[:-1]))
-            start = np.maximum.accumulate(np.where(first, np.arange(n), -1))
-            lead = np.where(start >= 0, nodes[start], last if last is not None else 0)
-            key, last = keys[-1], lead[-1]
-            a, b = lead[lead != nodes], nodes[lead != nodes]
-        else:
-            marks = batch.column("sketch").to_numpy().view(np.uint64)
-            cut = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-            bounds = np.concatenate(([0], cut, [n]))
-            many = np.flatnonzero(np.diff(bounds) > 1).tolist()
-            # Keys that one row has alone are passed over, but those at the ends may go on.
-            todo = sorted({0, len(bounds) - 2, *many})
-            out = []
-            for k in todo:
-                lo, hi = bounds[k], bounds[k + 1]
-                if keys[lo] != key:
-                    key, leaders, sketches = keys[lo], np.zeros(0, np.int64), np.zeros(0, np.uint64)
-                leaders, sketches = _to_leaders(nodes[lo:hi], marks[lo:hi], leaders, sketches, similar, out)
-            a = np.concatenate([x for x, _ in out] or [np.zeros(0, np.int64)])
-            b = np.concatenate([y for _, y in out] or [np.zeros(0, np.int64)])
-        if len(a):
-            pairs = np.unique(np.stack([a, b], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _to_leaders(nodes, marks, leaders, sketches, similar, out):
-    """Link nodes to known leaders; the rest choose new leaders among themselves."""
-    left = np.ones(len(nodes), bool)
-    k = 0
-    while left.any():
-        if k == len(leaders):
-            fresh = np.flatnonzero(left)[0]
-            leaders, sketches = np.append(leaders, nodes[fresh]), np.append(sketches, marks[fresh])
-            left[fresh] = False
-        open_ = np.flatnonzero(left)
-        near = open_[similar(marks[open_], sketches[k])]
-        if len(near):
-            other = near[nodes[near] != leaders[k]]
-            out.append((np.full(len(other), leaders[k]), nodes[other]))
-            left[near] = False
-        k += 1
-    return leaders, sketches
+def _stream(batches: Iterator[pa.RecordBatch], similar) -> Iterator[pa.RecordBatch]:
+    open_rows = None  # leaders of the key that the part before ended in
+    for part in gathered(batches):
+        rows = [part.column(c).to_numpy() for c in part.column_names]
+        if open_rows is not None:
+            rows = [np.concatenate(pair) for pair in zip(open_rows, rows, strict=True)]
+        keys, nodes = rows[0], rows[1]
+        alone = np.concatenate(([True], keys[1:] != keys[:-1])) & np.concatenate((keys[1:] != keys[:-1], [True]))
+        leads = np.zeros(len(keys), bool)
+        left = np.flatnonzero(~alone | (keys == keys[-1]))
+        found = []
+        while len(left):
+            # The first row left of each key leads; the rows like it are linked to it and leave.
+            first = np.concatenate(([True], keys[left[1:]] != keys[left[:-1]]))
+            lead = left[np.maximum.accumulate(np.where(first, np.arange(len(left)), 0))]
+            leads[left[first]] = True
+            near = first | (similar(rows[2][left].view(np.uint64), rows[2][lead].view(np.uint64)) if similar else True)
+            other = near & (nodes[lead] != nodes[left])
+            found.append(np.stack([nodes[lead[other]], nodes[left[other]]], axis=1))
+            left = left[~near]
+        pairs = np.unique(np.concatenate(found), axis=0)
+        last = np.flatnonzero(leads & (keys == keys[-1]))
+        open_rows = [x[last] for x in rows]
+        if len(pairs):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])

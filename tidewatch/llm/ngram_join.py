@@ -113,14 +113,14 @@ def jaccard_components(
                 right = set_ids(values, counts) == part.column("node").to_numpy()
                 offsets = np.concatenate(([0], np.cumsum(counts) * 8)).astype(np.int32)
                 sets = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
-                out = pa.RecordBatch.from_arrays([part.column("cluster"), part.column("node"), sets], ["cluster", "node", "tokens"])
+                out = pa.RecordBatch.from_arrays([part.column("cluster"), part.column("node"), sets], ["cluster", "node", "content"])
                 yield out.filter(pa.array(right))
 
     sized = materialize(rows.mapInArrow(sizes, "doc_id long, n long, node long"), "sizes")
     near = components(link_by_key(rows.mapInArrow(keys, "key long, node long")))
     leads = sized.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("lead"))
     wanted = near.join(leads, "node").select(F.coalesce("lead", F.lit(NO_ID)).alias("id"), F.col("root").alias("cluster"), "node")
-    items = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text").join(wanted, "id").mapInArrow(tokens, "cluster long, node long, tokens binary")
+    items = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text").join(wanted, "id").mapInArrow(tokens, "cluster long, node long, content binary")
     linked = verified_components(materialize(items, "items"), num, den)
     lead = leads.join(linked, "node", "left").select("node", "lead", F.coalesce("root", "node").alias("root"))
     names = lead.groupBy("root").agg(F.min("lead").alias("component_id"))

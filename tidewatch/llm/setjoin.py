@@ -10,7 +10,7 @@ are left are compared exactly, unless links found before already connect them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +24,21 @@ BLOCK_ITEMS, BLOCK_BYTES = 2_000, 16_000_000
 CHUNK = 100_000
 
 
-def verified_components(items: DataFrame, num: int, den: int) -> DataFrame:
+def hashes_of(content: pa.Array) -> list[np.ndarray]:
+    """Token sets that are stored as bytes of sorted 64-bit hashes."""
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in content]
+
+
+def verified_components(items: DataFrame, num: int, den: int, unpack: Callable[[pa.Array], list[np.ndarray]] = hashes_of) -> DataFrame:
     """node and root of items whose sets are linked, directly or over others.
 
-    ``items`` has ``cluster``, ``node`` (long) and ``tokens`` (binary: sorted
-    distinct 64-bit hashes). Two items of one cluster are linked if their Jaccard
+    ``items`` has ``cluster``, ``node`` (long) and ``content`` (binary), which
+    ``unpack`` turns into sorted distinct 64-bit hashes. Two items of one cluster are linked if their Jaccard
     similarity is at least num / den. Clusters with more items or bytes than one
     tile holds are dealt in blocks by the hash of their node, and every pair of
     blocks makes a tile of its own.
     """
-    size = items.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("tokens")).alias("bytes"))
+    size = items.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("bytes"))
     large = size.where((F.col("n") > BLOCK_ITEMS) | (F.col("bytes") > BLOCK_BYTES)).select(
         "cluster", F.ceil(F.greatest(F.col("n") / BLOCK_ITEMS, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
     )
@@ -42,17 +47,17 @@ def verified_components(items: DataFrame, num: int, den: int) -> DataFrame:
         .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("k", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("cluster", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), "k", "node", "tokens")
+        .select("cluster", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), "k", "node", "content")
     )
     edges = (
         dealt.repartition("cluster", "i", "j")
         .sortWithinPartitions("cluster", "i", "j", "node")
-        .mapInArrow(lambda batches: _tiles(batches, num, den), "a long, b long")
+        .mapInArrow(lambda batches: _tiles(batches, num, den, unpack), "a long, b long")
     )
     return components(edges)
 
 
-def _tiles(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+def _tiles(batches: Iterator[pa.RecordBatch], num: int, den: int, unpack) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     key = None
     for batch in batches:
@@ -65,13 +70,13 @@ def _tiles(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa
         for lo, hi in zip(bounds, bounds[1:], strict=False):
             now = tuple(keys[:, lo].tolist())
             if now != key and held:
-                out.append(_links(held, num, den))
+                out.append(_links(held, num, den, unpack))
                 held = []
             key = now
             held.append(batch.slice(lo, hi - lo))
         yield from _edges(out)
     if held:
-        yield from _edges([_links(held, num, den)])
+        yield from _edges([_links(held, num, den, unpack)])
 
 
 def _edges(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -81,11 +86,11 @@ def _edges(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
 
-def _links(held: list[pa.RecordBatch], num: int, den: int) -> np.ndarray:
+def _links(held: list[pa.RecordBatch], num: int, den: int, unpack) -> np.ndarray:
     rows = pa.Table.from_batches(held).combine_chunks()
     nodes = rows["node"].to_numpy()
     first = np.concatenate(([True], nodes[1:] != nodes[:-1]))  # rows of one node have one set
-    tokens = [np.frombuffer(rows["tokens"][k].as_buffer(), np.uint64) for k in np.flatnonzero(first).tolist()]
+    tokens = unpack(rows["content"].combine_chunks().filter(pa.array(first)))
     nodes = nodes[first]
     if len(nodes) < 2:
         return np.zeros((0, 2), np.int64)
