@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import bpe, lines, ngram_join, tokenfiles
+from tidewatch.llm import bpe, decontaminate, lines, ngram_join, tokenfiles
 from tidewatch.llm.frames import table
 from tidewatch.plans.registry import CHECKS, QUERIES
 
@@ -29,6 +29,11 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.round_trip(table(spark, sf_dir, "documents"))
 
 
+@corpus_query("op3_decontaminate", decontaminate.SQL)
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @corpus_query("op8_ngram_join")
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
