@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import bpe, decontaminate, lines, ngram_join, tokenfiles
+from tidewatch.llm import bpe, chat, decontaminate, lines, ngram_join, secrets, tokenfiles
 from tidewatch.llm.frames import table
 from tidewatch.plans.registry import CHECKS, QUERIES
 
@@ -34,6 +34,16 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@corpus_query("op4_chat", chat.SQL)
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.round_trip(chat.with_probe(table(spark, sf_dir, "conversations")))
+
+
+@corpus_query("op6_secrets")
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 @corpus_query("op8_ngram_join")
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
