@@ -9,18 +9,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def link_by_key(rows: DataFrame, similar: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, sketch: bool = False) -> DataFrame:
+def link_by_key(
+    rows: DataFrame, similar: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, sketch: bool = False, place: bool = False
+) -> DataFrame:
     """Edges ``a, b`` between nodes that share a key.
 
-    ``rows`` has ``key`` and ``node`` (long), and with ``sketch`` a 64-bit sketch.
+    ``rows`` has ``key`` and ``node`` (long), with ``sketch`` a 64-bit sketch and with
+    ``place`` a long that the edges carry on, as ``pa`` and ``pb`` beside the key.
     Without ``similar`` every node of a key is linked to the key's first node. With
     it a node is linked to the earliest node of its key whose sketch is similar,
     among those that were similar to none before. A task streams its keys in
     sorted order and holds the leaders of one open key, never pairs.
     """
-    names = ["key", "node"] + ["sketch"] * sketch
+    names = ["key", "node"] + ["sketch"] * sketch + ["place"] * place
+    schema = "a long, b long" + ", key long, pa long, pb long" * place
     dealt = rows.select(*names).repartition("key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(lambda batches: _stream(batches, similar), "a long, b long")
+    return dealt.mapInArrow(lambda batches: _stream(batches, similar, place), schema)
 
 
 def gathered(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[pa.Table]:
@@ -37,7 +41,7 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _stream(batches: Iterator[pa.RecordBatch], similar) -> Iterator[pa.RecordBatch]:
+def _stream(batches: Iterator[pa.RecordBatch], similar, place: bool) -> Iterator[pa.RecordBatch]:
     open_rows = None  # leaders of the key that the part before ended in
     for part in gathered(batches):
         rows = [part.column(c).to_numpy() for c in part.column_names]
@@ -55,10 +59,20 @@ def _stream(batches: Iterator[pa.RecordBatch], similar) -> Iterator[pa.RecordBat
             leads[left[first]] = True
             near = first | (similar(rows[2][left].view(np.uint64), rows[2][lead].view(np.uint64)) if similar else True)
             other = near & (nodes[lead] != nodes[left])
-            found.append(np.stack([nodes[lead[other]], nodes[left[other]]], axis=1))
+            found.append(np.stack([lead[other], left[other]]))
             left = left[~near]
-        pairs = np.unique(np.concatenate(found), axis=0)
+        a, b = np.concatenate(found, axis=1)
         last = np.flatnonzero(leads & (keys == keys[-1]))
         open_rows = [x[last] for x in rows]
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+        if not len(a):
+            continue
+        if place:
+            columns = {"a": nodes[a], "b": nodes[b], "key": keys[a], "pa": rows[-1][a], "pb": rows[-1][b]}
+        else:
+            pairs = np.unique(np.stack([nodes[a], nodes[b]]), axis=1)
+            columns = {"a": pairs[0], "b": pairs[1]}
+        yield pa_batch(columns)
+
+
+def pa_batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns.values()], list(columns))

@@ -90,14 +90,15 @@ def part_keys(values: np.ndarray, counts: np.ndarray, num: int, den: int) -> tup
 def jaccard_components(
     docs: DataFrame, num: int = NUM, den: int = DEN, width: int = WIDTH, id_column: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
-    rows = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text].alias("text"))
+    """doc_id, n_shingles, component_id of every row, and ``print``, the hash of its text."""
+    rows = docs.select(docs[id_column].cast("long").alias("doc_id"), F.xxhash64(docs[text]).alias("print"), docs[text].alias("text"))
 
     def sizes(batches):
         for batch in batches:
             for part in A.pieces_of(batch, "text"):
                 values, counts = shingle_sets(part.column("text"), width)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), pa.array(set_ids(values, counts))], ["doc_id", "n", "node"])
+                columns = [part.column("doc_id"), part.column("print"), pa.array(counts), pa.array(set_ids(values, counts))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "print", "n", "node"])
 
     def keys(batches):
         for batch in batches:
@@ -116,8 +117,8 @@ def jaccard_components(
                 out = pa.RecordBatch.from_arrays([part.column("cluster"), part.column("node"), sets], ["cluster", "node", "content"])
                 yield out.filter(pa.array(right))
 
-    sized = materialize(rows.mapInArrow(sizes, "doc_id long, n long, node long"), "sizes")
-    near = components(link_by_key(rows.mapInArrow(keys, "key long, node long")))
+    sized = materialize(rows.mapInArrow(sizes, "doc_id long, print long, n long, node long"), "sizes")
+    near = components(link_by_key(rows.select("text").mapInArrow(keys, "key long, node long")))
     leads = sized.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("lead"))
     wanted = near.join(leads, "node").select(F.coalesce("lead", F.lit(NO_ID)).alias("id"), F.col("root").alias("cluster"), "node")
     items = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text").join(wanted, "id").mapInArrow(tokens, "cluster long, node long, content binary")
@@ -126,12 +127,14 @@ def jaccard_components(
     names = lead.groupBy("root").agg(F.min("lead").alias("component_id"))
     name = lead.join(names, "root").select("node", "component_id")
     return sized.join(name.withColumn("some", F.lit(True)), "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("some"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("some"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "print"
     )
 
 
-def keep_one(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
-    """The documents without those that are linked to one with a smaller id."""
-    found = jaccard_components(docs, id_column=id_column, **options)
-    gone = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias(id_column)).distinct()
-    return docs.join(gone, id_column, "left_anti")
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents without those that are linked to one with a smaller id; rows without id stay."""
+    found = jaccard_components(docs, id_column=id_column, text=text, **options)
+    gone = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("__id"), F.col("print").alias("__print")).distinct()
+    marked = docs.withColumn("__mark", F.xxhash64(text))
+    same = (marked[id_column].cast("long") == gone["__id"]) & (marked["__mark"] == gone["__print"])
+    return marked.join(gone, same, "left_anti").select(*docs.columns)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import bpe, chat, decontaminate, lines, ngram_join, secrets, tokenfiles
+import corpus_pipeline
+from tidewatch.llm import bpe, chat, decontaminate, language, lines, ngram_join, passages, secrets, tokenfiles, topk
 from tidewatch.llm.frames import table
 from tidewatch.plans.registry import CHECKS, QUERIES
 
@@ -39,16 +40,36 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.round_trip(chat.with_probe(table(spark, sf_dir, "conversations")))
 
 
+@corpus_query("op5_passages")
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @corpus_query("op6_secrets")
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+@corpus_query("op7_language")
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 @corpus_query("op8_ngram_join")
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents")).drop("print")
 
 
 @corpus_query("op9_bpe")
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
+
+
+@corpus_query("op10_topk", topk.SQL)
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+@corpus_query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
