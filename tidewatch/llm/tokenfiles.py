@@ -22,6 +22,7 @@ only). Texts may have any length; a block holds at least one document whole.
 
 from __future__ import annotations
 
+import os
 import uuid
 from functools import lru_cache
 
@@ -38,6 +39,7 @@ from tidewatch.session import new_path
 END_ID = 2
 SHARD_CHARS = 16_000_000  # text per shard
 BLOCK_IDS = 100_000  # ids per block, unless one document has more
+WORDS = 2_000  # words per call of the library
 GROUP_KEYS = 20_000  # keys per perfect hash
 NULL_KEY = -(2**63)
 PAYLOAD = "shard int, block int, payload binary"
@@ -47,13 +49,17 @@ PLACE = "doc_id long, shard int, block int, offset long, n_tokens long"
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> Encoder:
     library = Tokenizer.from_file(path)
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core
     library.no_truncation()
     library.no_padding()
 
     def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        rows = [e.ids for e in library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        return np.fromiter((k for r in rows for k in r), np.int64, int(sizes.sum())), sizes
+        ids, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(0, len(words), WORDS):  # the library's results take far more memory than the ids
+            rows = [e.ids for e in library.encode_batch_fast([w.decode() for w in words[k : k + WORDS]], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, rows), np.int64, len(rows)))
+            ids.append(np.fromiter((x for r in rows for x in r), np.int64, int(sizes[-1].sum())))
+        return np.concatenate(ids), np.concatenate(sizes)
 
     special = {t.content: k for k, t in library.get_added_tokens_decoder().items()}
     return Encoder(encode, special)
