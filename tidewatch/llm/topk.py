@@ -17,7 +17,7 @@ Null vectors, and those with a null or non-finite component, take no part, nor d
 rows without an id. Only vectors of equal length are compared. Equal scores go to
 the smaller id. Every row is its own query or candidate, also where an id is
 repeated; a query never meets rows of its own id. Scores beyond 64 bits are set
-to the nearest long. Other columns are ignored.
+to the nearest long before they are ranked; vectors whose length is 0 score 0. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ _EXACT = float(2**52)
 
 
 def _vectors(column: pa.Array, dim: int) -> np.ndarray:
+    if dim == 0:
+        return np.zeros((len(column), 1))
     return np.floor(SCALE * column.flatten().to_numpy(zero_copy_only=False).astype(float)).reshape(len(column), dim)
 
 
@@ -57,7 +59,8 @@ def tile_top(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray,
     """Query positions, candidate positions and exact scores of the k best of every query."""
     if not len(v) or not len(q):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    exact = np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * max(1, q.shape[1]) < _EXACT
+    with np.errstate(over="ignore"):
+        exact = np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * max(1, q.shape[1]) < _EXACT
     if not exact:
         return _big_top(q, q_ids, v, v_ids, k)
     coarse, fine = (_stats(v, s) for s in SEGMENTS)
@@ -93,11 +96,15 @@ def _big_top(q, q_ids, v, v_ids, k):
     whole = [[int(x) for x in row] for row in v.tolist()]
     for i, row in enumerate(q.tolist()):
         query = [int(x) for x in row]
-        found = [(-sum(a * b for a, b in zip(query, w, strict=True)), int(v_ids[j]), j) for j, w in enumerate(whole) if v_ids[j] != q_ids[i]]
+        found = []
+        for j, other in enumerate(whole):
+            if v_ids[j] != q_ids[i]:
+                score = sum(a * b for a, b in zip(query, other, strict=True))
+                found.append((-max(-(2**63), min(2**63 - 1, score)), int(v_ids[j]), j))
         for score, _, j in sorted(found)[:k]:
             rows.append(i)
             cols.append(j)
-            scores.append(max(-(2**63), min(2**63 - 1, -score)))
+            scores.append(-score)
     return np.array(rows, np.int64), np.array(cols, np.int64), np.array(scores, np.int64)
 
 
