@@ -51,7 +51,9 @@ class AlertFilter:
 
 def alert_filter(alerts: DataFrame, f: AlertFilter, scored: DataFrame | None = None) -> DataFrame:
     out = alerts
-    if f.top_pct is not None and scored is not None:
+    if f.top_pct is not None:
+        if scored is None:
+            raise ValueError("a top share needs the scored events it refers to")
         threshold = top_pct_threshold(scored, f.top_pct).select("threshold").scalar()
         out = out.filter(F.col("risk_score") >= threshold)
     if f.min_risk > 0:

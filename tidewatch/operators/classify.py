@@ -93,9 +93,7 @@ def fit_classifier(scored: DataFrame) -> Classifier | None:
         return None
     weights = F.broadcast(class_weights(attacks))  # one row per label, at most seven
     rows = feature_matrix(attacks).join(weights, "label").withColumn("target", label_index(F.col("label")))
-    # The forest passes over its rows once per level: use every core for that.
-    cores = scored.sparkSession.sparkContext.defaultParallelism
-    rows = rows.repartition(cores, "session_id")
+    rows = rows.repartition("session_id")
     forest = RandomForestClassifier(
         featuresCol="features", labelCol="target", weightCol="weight",
         numTrees=100, maxDepth=10, minInstancesPerNode=2, seed=42,
@@ -153,18 +151,22 @@ def classify(
     """Adds ``predicted_type``, its confidence, ``rule_fired`` and ``top_features``.
 
     Flagged events take the rule's verdict, else the forest's; all others are
-    normal.  Without a forest, flagged events no rule decides stay normal.
+    normal.  Without a forest, flagged events no rule decides stay normal.  The
+    forest votes on open events only; ``scored`` should be a stored table then,
+    because the two parts are read apart.
     """
     rows = S.fill_features(scored, C.MODEL_FEATURES)
-    if classifier is not None:
-        rows = rf_predict(rows, classifier)
-        ml_type, ml_confidence = F.col("ml_type"), F.col("ml_confidence")
-        importances = importances or classifier.importances
-    else:
-        ml_type, ml_confidence = F.lit(None).cast("string"), F.lit(None).cast("double")
     flagged = flag_gate(F.col("baseline_score"), F.col("sequence_score"))
     rule = F.col("_rule")
     ruled = rows.withColumn("_rule", F.when(flagged, rule_verdict())).withColumn("is_flagged", flagged)
+    nobody = {"ml_type": F.lit(None).cast("string"), "ml_confidence": F.lit(None).cast("double")}
+    if classifier is not None:
+        open_ = F.coalesce(flagged & rule["type"].isNull(), F.lit(False))
+        importances = importances or classifier.importances
+        ruled = rf_predict(ruled.filter(open_), classifier).unionByName(ruled.filter(~open_).withColumns(nobody))
+    else:
+        ruled = ruled.withColumns(nobody)
+    ml_type, ml_confidence = F.col("ml_type"), F.col("ml_confidence")
     kind = F.when(flagged, F.coalesce(rule["type"], ml_type))
     confidence = F.when(flagged, F.coalesce(rule["confidence"], ml_confidence))
     decided = ruled.withColumns(

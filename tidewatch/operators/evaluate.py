@@ -10,12 +10,17 @@ from tidewatch.operators.histogram import is_attack, pr_auc, precision_at_budget
 
 
 def confusion_matrix(scored: DataFrame) -> DataFrame:
-    """Counts per (truth, predicted); predictions that are no true label are dropped."""
-    truths = scored.select(F.col("label").alias("predicted")).distinct()
+    """Counts per (truth, predicted) over all true labels, empty cells included.
+
+    Predictions that are no true label are dropped.
+    """
     pairs = scored.groupBy(F.col("label").alias("truth"), F.col("predicted_type").alias("predicted")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    return pairs.join(truths, "predicted", "left_semi").select("truth", "predicted", "n")
+    # A handful of labels, so every pair of them fits in one row.
+    labels = pairs.agg(F.sort_array(F.collect_set("truth")).alias("labels"))
+    cells = labels.select(F.explode("labels").alias("truth"), "labels").select("truth", F.explode("labels").alias("predicted"))
+    return cells.join(pairs, ["truth", "predicted"], "left").select("truth", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def ratio4(hits: Column, of: Column) -> Column:
@@ -25,11 +30,17 @@ def ratio4(hits: Column, of: Column) -> Column:
 def cold_warm_slice(scored: DataFrame, threshold: float = C.SLICE_THRESHOLD) -> DataFrame:
     """Precision and recall at the threshold, for cold and warm events apart."""
     attack, alarm = is_attack(F.col("label")) == 1, F.col("risk_score") > threshold
-    both, alarms, attacks = F.count_if(attack & alarm), F.count_if(alarm), F.count_if(attack)
-    return scored.groupBy("is_cold_start").agg(
-        F.count(F.lit(1)).alias("n_events"),
-        ratio4(both, alarms).alias("precision"),
-        ratio4(both, attacks).alias("recall"),
+    counts = scored.groupBy("is_cold_start").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(attack & alarm).alias("both"),
+        F.count_if(alarm).alias("alarms"), F.count_if(attack).alias("attacks"),
+    )
+    # A slice without events is there with count 0.
+    slices = scored.sparkSession.createDataFrame([(False,), (True,)], "is_cold_start boolean")
+    return slices.join(counts, "is_cold_start", "left").select(
+        "is_cold_start",
+        F.coalesce("n", F.lit(0)).alias("n_events"),
+        ratio4(F.col("both"), F.col("alarms")).alias("precision"),
+        ratio4(F.col("both"), F.col("attacks")).alias("recall"),
     )
 
 

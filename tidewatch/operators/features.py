@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch import constants as C
 from tidewatch.functions import geo, scalars as S
 from tidewatch.operators.timeline import (
-    AFTER, BEFORE, SELF, HotKeys, Step, find_hot_keys, join_by_key, running, sweep,
+    AFTER, BEFORE, SELF, HotKeys, Step, find_hot_keys, join_by_key, join_null_safe, running, sweep,
 )
 from tidewatch.session import together
 from tidewatch.settings import DAY, Settings
@@ -27,13 +27,28 @@ def off_hours() -> Column:
 
 
 def previous_values() -> dict[str, Column]:
+    """The previous event as one value, so that its gaps are kept as gaps."""
     return {
-        "prev_us": F.col("event_us"),
-        "prev_at": F.col("at"),
-        "prev_resource": F.col("resource_accessed"),
+        "_prev": F.struct(
+            F.col("event_us").alias("us"), F.col("at").alias("at"), F.col("resource_accessed").alias("resource")
+        )
     }
 
 
+def unpacked(events: DataFrame) -> DataFrame:
+    """``prev_us``, ``prev_at`` and ``prev_resource`` from the previous event."""
+    return events.withColumns(
+        {"prev_us": F.col("_prev.us"), "prev_at": F.col("_prev.at"), "prev_resource": F.col("_prev.resource")}
+    ).drop("_prev")
+
+
+def with_previous_resource(events: DataFrame, hot: HotKeys | None = None) -> DataFrame:
+    """Add ``prev_resource``, null where the previous event has none."""
+    last = {"_prev": F.struct(F.col("resource_accessed").alias("resource"))}
+    seen = running(events, ["entity_id"], ORDER, lasts=last, hot=hot)
+    return seen.withColumn("prev_resource", F.col("_prev.resource")).drop("_prev")
+
+
 def located(events: DataFrame) -> DataFrame:
     """Add ``at``, the coordinates of the event's place, resolved once per row."""
     return events.withColumn("at", geo.coordinates(F.col("geo_location")))
@@ -41,8 +56,8 @@ def located(events: DataFrame) -> DataFrame:
 
 def with_previous(events: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Add ``at`` and the time and coordinates of the entity's previous event."""
-    lasts = {k: v for k, v in previous_values().items() if k != "prev_resource"}
-    return running(located(events), ["entity_id"], ORDER, lasts=lasts, hot=hot)
+    seen = running(located(events), ["entity_id"], ORDER, lasts=previous_values(), hot=hot)
+    return unpacked(seen).drop("prev_resource")
 
 
 def travelled(events: DataFrame) -> DataFrame:
@@ -186,10 +201,11 @@ def privilege_growth(events: DataFrame) -> DataFrame:
 
 def footprint_growth(first: DataFrame) -> DataFrame:
     """Growth from the first uses; an entity begins with its earliest first use."""
-    start = F.min("first_us").over(Window.partitionBy("entity_id"))
+    # Both aggregations combine before the shuffle; a join splits where a window cannot.
+    starts = first.groupBy("entity_id").agg(F.min("first_us").alias("start_us"))
     early = F.col("first_us") <= F.col("start_us") + 7 * DAY
     counted = (
-        first.withColumn("start_us", start)
+        join_null_safe(first, starts, ["entity_id"])
         .groupBy("entity_id")
         .agg(F.count_if(early).alias("early"), F.count_if(~early).alias("later"))
     )
@@ -273,7 +289,7 @@ def entity_context(
     swept = sweep(
         located(events), ["entity_id"], steps, lasts=previous_values(), markers=markers, hot=hot
     )
-    per_entity = join_by_key(swept, rates, "entity_id", hot)
+    per_entity = join_by_key(unpacked(swept), rates, "entity_id", hot)
     if s.footprint == "first_week":
         per_entity = join_by_key(per_entity, footprint_growth(first_uses(source)), "entity_id", hot)
         growth = F.coalesce(F.col("privilege_footprint_growth_30d"), F.lit(0.0))

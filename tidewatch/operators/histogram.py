@@ -7,13 +7,13 @@ sort or an unpartitioned row number over the events.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch import constants as C
 from tidewatch.functions import scalars as S
+from tidewatch.session import materialize
 
-TIE_BUCKETS = 8192
-NARROWINGS = 2
+TIE_ROWS = 1_000_000  # of equal score that one task puts in order
 
 
 def is_attack(label: Column) -> Column:
@@ -75,10 +75,9 @@ def precision_at_budget(
     """Precision and recall within the top k for each budget share.
 
     Events above the k-th score count whole.  Of those that share the k-th
-    score, the ones with the smallest id fill the remaining places.  They are
-    found by counting the ids of that score in buckets, twice, and sorting what
-    is left of one bucket only, so even a score shared by a third of all events
-    needs no global sort.
+    score, the ones with the smallest id fill the remaining places, numbers and
+    texts alike.  They are counted in ranges of the id, and one range is put in
+    order, so even a score shared by a third of all events needs no global sort.
     """
     hist = score_histogram(scored, score)
     everything = Window.partitionBy()
@@ -92,18 +91,25 @@ def precision_at_budget(
         ranked.withColumn("k", k)
         .filter((F.col("cum_n") >= F.col("k")) & (F.col("cum_n") - F.col("n") < F.col("k")))
         .select(
-            "budget", "k", "positives", F.col("score").alias("edge"),
+            "budget", "k", "positives", F.col("score").alias("edge"), "n",
             (F.col("cum_tp") - F.col("tp")).alias("tp_above"),
             (F.col("k") - (F.col("cum_n") - F.col("n"))).alias("places"),
         )
     )
-    tied = (
-        scored.select(F.col(score).alias("edge"), F.col(tie).alias("tie"), is_attack(F.col("label")).alias("tp"))
-        .join(F.broadcast(edge), "edge")
+    edges = edge.collect()  # one row per budget
+    spark = scored.sparkSession
+    places = spark.createDataFrame(edges, edge.schema)
+    ties = {r.edge: r.n for r in edges if r.places < r.n}
+    tied = scored.filter(F.col(score).isin(list(ties))).select(
+        F.col(score).alias("edge"), F.col(tie).alias("tie"), is_attack(F.col("label")).alias("tp")
     )
-    inside = _first_of_ties(tied, tie_type=scored.schema[tie].dataType)
+    whole = places.filter(F.col("places") == F.col("n")).join(
+        hist.select(F.col("score").alias("edge"), F.col("tp").alias("hit")), "edge"
+    ).select("budget", "hit")
+    cut = _first_of_ties(tied, places, sum(ties.values())) if ties else whole.limit(0)
+    inside = whole.unionByName(cut).groupBy("budget").agg(F.sum("hit").alias("tp_tied"))
     hits = F.col("tp_above") + F.coalesce(F.col("tp_tied"), F.lit(0))
-    return edge.join(inside, "budget", "left").select(
+    return places.join(inside, "budget", "left").select(
         "budget",
         F.col("k").alias("top_k_count"),
         S.round4(hits / F.col("k")).alias("precision"),
@@ -111,38 +117,27 @@ def precision_at_budget(
     )
 
 
-def _first_of_ties(tied: DataFrame, tie_type: T.DataType) -> DataFrame:
-    """``budget, tp_tied``: attacks among the first ``places`` tied rows by id."""
-    if not isinstance(tie_type, T.NumericType):
-        # Text ids rank by hash: any fixed order of equals will do.
-        tied = tied.withColumn("tie", F.xxhash64("tie"))
-    hits = []
-    for _ in range(NARROWINGS):
-        whole, tied = _narrow(tied)
-        hits.append(whole)
-    order = Window.partitionBy("budget").orderBy("tie")
-    last = tied.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("places"))
-    hits.append(last.select("budget", F.col("tp").alias("hit")))
-    out = hits[0]
-    for more in hits[1:]:
-        out = out.unionByName(more)
-    return out.groupBy("budget").agg(F.sum("hit").alias("tp_tied"))
-
-
-def _narrow(tied: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Attacks in the id buckets that fit whole, and the rows of the bucket that does not."""
-    span = tied.groupBy("budget").agg(
-        F.min("tie").cast("double").alias("low"), F.max("tie").cast("double").alias("high")
+def _first_of_ties(tied: DataFrame, places: DataFrame, rows: int) -> DataFrame:
+    """``budget, hit``: attacks among the first ``places`` rows of each budget's edge, by id.
+
+    The tied rows are stored once in ranges of the id, cut by its quantiles, so
+    every range holds about ``TIE_ROWS`` of them whatever the ids look like.
+    Ranges before the cut count whole; only the one that it divides is ordered.
+    """
+    ranges = max(1, -(-rows // TIE_ROWS))
+    stored = materialize(
+        tied.repartitionByRange(ranges, "edge", "tie").withColumn("range", F.spark_partition_id()), "ties"
     )
-    spread = (F.col("tie") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1.0))
-    # At most three rows, one per budget.
-    bucketed = tied.join(F.broadcast(span), "budget").withColumn("bucket", F.floor(spread * TIE_BUCKETS))
-    counts = bucketed.groupBy("budget", "places", "bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("tp").alias("tp")
+    counts = stored.groupBy("edge", "range").agg(F.count(F.lit(1)).alias("m"), F.sum("tp").alias("hit"))
+    earlier = Window.partitionBy("edge").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("before", F.coalesce(F.sum("m").over(earlier), F.lit(0)))
+    # A few rows on both sides: budgets, and ranges of the tied scores.
+    placed = before.join(F.broadcast(places.select("budget", "edge", "places")), "edge").withColumn(
+        "left", F.col("places") - F.col("before")
     )
-    earlier = Window.partitionBy("budget").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.withColumn("left", F.col("places") - F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    whole = placed.filter(F.col("left") >= F.col("n")).select("budget", F.col("tp").alias("hit"))
-    cut = placed.filter((F.col("left") > 0) & (F.col("left") < F.col("n"))).select("budget", "bucket", "left")
-    rest = bucketed.join(F.broadcast(cut), ["budget", "bucket"])
-    return whole, rest.select("budget", "tie", "tp", F.col("left").alias("places"))
+    whole = placed.filter(F.col("left") >= F.col("m")).select("budget", "hit")
+    cut = placed.filter((F.col("left") > 0) & (F.col("left") < F.col("m"))).select("budget", "edge", "range", "left")
+    rest = stored.join(F.broadcast(cut), ["edge", "range"])  # at most one row per budget
+    rank = F.row_number().over(Window.partitionBy("budget").orderBy("tie"))
+    last = rest.withColumn("rank", rank).filter(F.col("rank") <= F.col("left"))
+    return whole.unionByName(last.select("budget", F.col("tp").alias("hit")))

@@ -49,7 +49,7 @@ def baseline_scores(
 
     if s.use_velocity:
         found = travelled(found)
-        speed = F.when(F.col("is_cold_start"), 0.0).otherwise(F.col("kmh"))
+        speed = F.when(F.col("profile_source") == "entity", F.col("kmh")).otherwise(0.0)
         jump = is_impossible(speed, F.col("km"))
         geo_novelty = F.when(
             jump, F.greatest(unseen(F.col("geo_n")), F.lit(C.IMPOSSIBLE_GEO_NOVELTY))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch import constants as C
 from tidewatch.functions import scalars as S
-from tidewatch.operators.features import ORDER, off_hours_rate
-from tidewatch.operators.timeline import HotKeys, find_hot_keys, rows_back, running
+from tidewatch.operators.features import ORDER, off_hours_rate, with_previous_resource
+from tidewatch.operators.timeline import HotKeys, find_hot_keys, join_by_key, rows_back, running
 from tidewatch.session import materialize, together
 
 N = C.SEQUENCE_LENGTH
@@ -28,7 +28,6 @@ def session_chunks(normal_events: DataFrame, hot: HotKeys | None = None) -> Data
         normal_events, ["entity_id"], ORDER,
         sums={"row": F.lit(1)}, lasts={"prev_resource": F.col("resource_accessed")}, hot=hot,
     )
-    sizes = normal_events.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
     placed = numbered.withColumns(
         {
             "chunk": F.floor((F.col("row") - 1) / N),
@@ -36,6 +35,11 @@ def session_chunks(normal_events: DataFrame, hot: HotKeys | None = None) -> Data
         }
     )
     # Only the last row of an entity can be a run of its own.
+    if hot is None:
+        after = F.lead(F.lit(True)).over(Window.partitionBy("entity_id").orderBy(*ORDER))
+        seen = placed.withColumn("_more", after)
+        return seen.filter((F.col("position") > 0) | F.col("_more").isNotNull()).drop("_more")
+    sizes = normal_events.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
     lonely = sizes.filter((F.col("n") - 1) % N == 0).select("entity_id", F.col("n").alias("row"))
     return placed.join(lonely, ["entity_id", "row"], "left_anti")
 
@@ -49,11 +53,17 @@ def transitions(normal_events: DataFrame, hot: HotKeys | None = None) -> DataFra
     """
     numbered = running(
         normal_events, ["entity_id"], ORDER,
-        sums={"row": F.lit(1)}, lasts={"prev": F.col("resource_accessed")}, hot=hot,
-    )
+        sums={"row": F.lit(1)}, lasts={"_prev": F.struct(F.col("resource_accessed").alias("resource"))}, hot=hot,
+    ).withColumn("prev", F.col("_prev.resource"))
+    # All runs of an entity belong to the type of its first event.
+    typed = normal_events.groupBy("entity_id").agg(
+        F.min_by("entity_type", F.struct(*ORDER)).alias("_first_type")
+    )
     position = (F.col("row") - 1) % N
     return (
-        numbered.filter(position > 0)
+        join_by_key(numbered, typed, "entity_id", hot)
+        .withColumn("entity_type", F.coalesce("_first_type", "entity_type"))
+        .filter(position > 0)
         .groupBy("entity_type", "prev", F.col("resource_accessed").alias("cur"))
         .agg(F.count(F.lit(1)).alias("c"), F.count_if(position == 1).alias("c_start"))
     )
@@ -192,9 +202,7 @@ def markov_last_transition(
 ) -> DataFrame:
     """Negative log-likelihood of the step from the previous resource; 0 for the first."""
     if "prev_resource" not in events.columns:
-        events = running(
-            events, ["entity_id"], ORDER, lasts={"prev_resource": F.col("resource_accessed")}, hot=hot
-        )
+        events = with_previous_resource(events, hot)
     looked_up = transition_lookup(events, model)
     nll = F.coalesce(-F.col("log_trans"), F.lit(0.0))
     return looked_up.withColumns(markov_columns(nll)).drop("log_trans", "log_start")
@@ -203,9 +211,7 @@ def markov_last_transition(
 def markov_window(events: DataFrame, model: SequenceTables, hot: HotKeys | None = None) -> DataFrame:
     """Length-normalised NLL over the entity's last ten resources."""
     if "prev_resource" not in events.columns:
-        events = running(
-            events, ["entity_id"], ORDER, lasts={"prev_resource": F.col("resource_accessed")}, hot=hot
-        )
+        events = with_previous_resource(events, hot)
     looked_up = transition_lookup(events, model)
 
     def over_last_ten(window):

@@ -78,12 +78,16 @@ def detect(events: DataFrame, s: Settings = Settings(), learn: bool = True) -> D
         raise ValueError("there are no events to learn from")
     train, test = profiles.split_at(events, F.lit(begin + s.train_days * DAY))
     model, sequences = fit_tables(train)
-    classifier = K.fit_classifier(training_scores(train, model, sequences, s)) if learn else None
+    classifier = None
+    if learn:
+        classifier = K.fit_classifier(materialize(training_scores(train, model, sequences, s), "training"))
     scored = score_events(test, model, sequences, s)
+    if classifier is not None:
+        scored = materialize(scored, "scores")
     explained = explain.explanations(K.classify(scored, classifier))
     flags = profiles.drift_flags(events, model, F.lit(end), s)
     scored, drift = together(
         lambda: materialize(explained, "scored_events"), lambda: materialize(flags, "drift")
     )
-    picked = A.with_drift(A.select_alerts(scored), drift)
+    picked = materialize(A.with_drift(A.select_alerts(scored), drift), "alerts")
     return Detection(events, scored, picked, drift, model, sequences, classifier)

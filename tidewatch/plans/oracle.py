@@ -114,7 +114,7 @@ LEFT JOIN {p}_vals d ON d.pk=k.pk AND d.attr='device' AND d.value=k.device
 LEFT JOIN {p}_vals s ON s.pk=k.pk AND s.attr='resource' AND s.value=k.res"""
     b[f"{p}_moved"] = travel(f"{p}_test")
     b[f"{p}_parts"] = f"""
-SELECT f.*, CASE WHEN f.cold THEN 0.0 ELSE m.kmh END AS speed, m.km,
+SELECT f.*, CASE WHEN f.src='entity' THEN m.kmh ELSE 0.0 END AS speed, m.km,
   CASE WHEN hour_std<0.5 THEN 0.0 ELSE least(1.0::DOUBLE, least(abs(f.hr-hour_mean)/hour_std, abs(24-abs(f.hr-hour_mean))/hour_std)/4.0) END AS hz,
   CASE WHEN geo_n>0 THEN 0.0 ELSE 1.0 END::DOUBLE AS gn0,
   CASE WHEN f.cold THEN 0.5 ELSE 1.0 END::DOUBLE AS damp,
@@ -135,13 +135,19 @@ SELECT *, {r('hz')} AS hour_zscore, {r('gn')} AS geo_novelty, {r('rn')} AS resou
 def travel(source: str) -> str:
     return f"""
 SELECT session_id, entity_id, km, CASE WHEN gap>0 AND km IS NOT NULL THEN km/(gap/3600000000.0::DOUBLE) ELSE 0.0 END AS kmh FROM (
-  SELECT session_id, entity_id, gap, 12742.0::DOUBLE*asin(least(1.0::DOUBLE, sqrt(s1*s1+cos(radians(lat0))*cos(radians(lat))*s2*s2))) AS km FROM (
+  SELECT session_id, entity_id, gap, CASE WHEN s1 IS NOT NULL THEN 12742.0::DOUBLE*asin(least(1.0::DOUBLE, sqrt(s1*s1+cos(radians(lat0))*cos(radians(lat))*s2*s2))) END AS km FROM (
     SELECT session_id, entity_id, us-lag(us) OVER w AS gap, lat, lon, lag(lat) OVER w AS lat0,
       sin(radians(lat-lag(lat) OVER w)/2) AS s1, sin(radians(lon-lag(lon) OVER w)/2) AS s2
     FROM {source} WINDOW w AS (PARTITION BY entity_id ORDER BY us, session_id)))"""
 
 
+# The same events with every seventh place unknown.
+BLOCKS["lost"] = """
+SELECT * REPLACE (CASE WHEN k%7=0 THEN 'Atlantis, ZZ' ELSE geo END AS geo, CASE WHEN k%7<>0 THEN lat END AS lat,
+  CASE WHEN k%7<>0 THEN lon END AS lon) FROM access"""
 profile_blocks("a", "access", 20)
+profile_blocks("w", "lost", 20)
+BLOCKS["lost_moved"] = travel("lost")
 profile_blocks("o", "purchase", 1461)
 
 
@@ -166,6 +172,12 @@ SELECT entity_type, count(DISTINCT cur)::BIGINT AS v, (count(*) FILTER (WHERE po
 
 
 sequence_blocks("a", "a_norm")
+# Some entities change their type half-way; their runs stay with the first one.
+BLOCKS["mixed"] = f"""
+SELECT * REPLACE (first_value(kind) OVER (PARTITION BY entity_id ORDER BY us, session_id) AS entity_type) FROM (
+  SELECT *, CASE WHEN user_of%7=0 AND us-(SELECT min(us) FROM a_norm)>10*{DAY} THEN 'edge_device' ELSE entity_type END AS kind
+  FROM (SELECT *, entity_id AS user_of FROM a_norm))"""
+sequence_blocks("m", "mixed")
 BLOCKS["turns"] = """
 SELECT conv_id*1000+turn AS session_id, conv_id AS entity_id, 'conversation' AS entity_type, turn AS us, role AS res FROM conversations"""
 sequence_blocks("c", "turns")
@@ -251,20 +263,24 @@ for tag, source in (("all", "access"), ("t", "a_test")):
     BLOCKS[f"{tag}_breadth"] = breadth_block(f"{tag}_first")
     BLOCKS[f"{tag}_growth"] = growth_block(source)
 
-BLOCKS["scores"] = f"""
+SCORES = f"""
 SELECT b.*, {r('nll')} AS markov_nll, {r('least(nll/15.0,1.0::DOUBLE)')} AS markov_score, {r('ls')} AS low_slow_score,
   {r('0.7::DOUBLE*least(nll/15.0,1.0::DOUBLE)+0.3::DOUBLE*ls')} AS sequence_score,
   fails::DOUBLE AS failed_auth_count_5min, accounts::DOUBLE AS distinct_entities_from_ip_5min, breadth::DOUBLE AS resource_breadth_new_1hr,
   device_novelty AS fingerprint_mismatch, {r('ls')} AS offhours_access_trend_7d, growth AS privilege_footprint_growth_30d
-FROM a_base b JOIN a_nll USING (session_id) JOIN a_ls_cum USING (session_id) JOIN t_fail USING (session_id)
+FROM {{base}} b JOIN a_nll USING (session_id) JOIN a_ls_cum USING (session_id) JOIN t_fail USING (session_id)
 JOIN t_ip USING (session_id) JOIN t_breadth USING (session_id) JOIN t_growth USING (entity_id)"""
 
-BLOCKS["risky"] = f"""
+RISKY = f"""
 SELECT *, {r(clip('0.55::DOUBLE*baseline_score+0.45::DOUBLE*sequence_score'))} AS risk_score,
   (0.6::DOUBLE*baseline_score+0.4::DOUBLE*sequence_score)>0.15::DOUBLE AS flagged,
   CASE WHEN geo_velocity_kmh>1000 THEN 'geo_velocity_exceeded' WHEN failed_auth_count_5min>=4 THEN 'failed_auth_burst'
     WHEN distinct_entities_from_ip_5min>=3 THEN 'multi_entity_same_ip'
-    WHEN fingerprint_mismatch>0.5 AND baseline_score>0.3::DOUBLE THEN 'fingerprint_mismatch' END AS rule FROM scores"""
+    WHEN fingerprint_mismatch>0.5 AND baseline_score>0.3::DOUBLE THEN 'fingerprint_mismatch' END AS rule FROM {{scores}}"""
+
+for tag, base in (("", "a_base"), ("w_", "w_base")):
+    BLOCKS[f"{tag}scores"] = SCORES.format(base=base)
+    BLOCKS[f"{tag}risky"] = RISKY.format(scores=f"{tag}scores")
 
 BLOCKS["scored"] = """
 SELECT *, CASE WHEN flagged THEN rule END AS rule_fired,
@@ -312,10 +328,10 @@ SELECT b AS budget, k::BIGINT AS top_k_count, {r('hits/k::DOUBLE')} AS precision
   (SELECT unnest([0.005::DOUBLE,0.01::DOUBLE,0.03::DOUBLE]) AS b), LATERAL (SELECT greatest(1,floor(n*b)) AS k) GROUP BY b, k)"""
 
 BLOCKS["slices"] = f"""
-SELECT cold AS is_cold_start, count(*)::BIGINT AS n_events,
+SELECT c AS is_cold_start, (count(*) FILTER (WHERE session_id IS NOT NULL))::BIGINT AS n_events,
   {r("coalesce((count(*) FILTER (WHERE label<>'normal' AND risk_score>0.2::DOUBLE))/nullif(count(*) FILTER (WHERE risk_score>0.2::DOUBLE),0)::DOUBLE,0.0)")} AS precision,
   {r("coalesce((count(*) FILTER (WHERE label<>'normal' AND risk_score>0.2::DOUBLE))/nullif(count(*) FILTER (WHERE label<>'normal'),0)::DOUBLE,0.0)")} AS recall
-FROM scored GROUP BY cold"""
+FROM (VALUES (false),(true)) s(c) LEFT JOIN scored ON cold=c GROUP BY c"""
 
 BLOCKS["shares"] = f"""
 SELECT side, value, n::BIGINT AS n, {r("n*100.0/sum(n) OVER (PARTITION BY side)", 2)} AS pct FROM (

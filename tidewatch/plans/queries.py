@@ -15,7 +15,7 @@ from tidewatch.plans.registry import query
 from tidewatch.session import new_path
 from tidewatch.settings import HOUR, MINUTE
 from tidewatch.sources import sinks
-from tidewatch.sources.access import access_events, order_events, read_table, turn_events
+from tidewatch.sources.access import access_events, lost_events, order_events, read_table, turn_events
 
 col, lit = F.col, F.lit
 
@@ -89,16 +89,22 @@ def append_incidents(spark, sf):
     return spark.read.parquet(path).select("session_id", "entity_id", "auth_result", "risk_score", "predicted_type")
 
 
-@query("save_model")
+@query("save_model", "SELECT 'different verdicts' AS fact, 0::BIGINT AS n UNION ALL SELECT 'verdicts', count(*) FROM scored")
 def save_model(spark, sf):
-    """Save and load everything learned, then classify with what was loaded."""
+    """Save and load everything learned: what was loaded classifies as what was saved."""
     model, sequences = R.access_model(spark, sf)
     path = new_path(spark, "model")
     sinks.save_model(sinks.StoredModel(model, sequences, R.classifier(spark, sf)), path)
     loaded = sinks.load_model(spark, path)
-    return K.classify(R.detection(spark, sf).scored, loaded.classifier).groupBy("predicted_type").agg(
-        F.count(lit(1)).alias("n")
-    )
+    scored = R.detection(spark, sf).scored
+    verdict = ["session_id", "predicted_type", "predicted_type_confidence"]
+    before = K.classify(scored, R.classifier(spark, sf)).select(*verdict)
+    after = K.classify(scored, loaded.classifier).select(*verdict)
+    same = before.join(after.withColumnsRenamed({c: f"new_{c}" for c in verdict[1:]}), "session_id")
+    differ = ~(col("predicted_type").eqNullSafe(col("new_predicted_type")) & col("predicted_type_confidence").eqNullSafe(col("new_predicted_type_confidence")))
+    counts = same.agg(F.count_if(differ).alias("d"), F.count(lit(1)).alias("n"))
+    facts = F.array(F.struct(lit("different verdicts").alias("fact"), col("d").alias("n")), F.struct(lit("verdicts").alias("fact"), col("n")))
+    return counts.select(F.inline(facts))
 
 
 # === scalars, filters ==========================================================
@@ -309,11 +315,7 @@ def resource_frequency_lookup(spark, sf):
 def transition_lookup(spark, sf):
     _, sequences = R.access_model(spark, sf)
     test = R.access_test(spark, sf)
-    stepped = X.running(
-        test, ["entity_id"], X.ORDER, lasts={"prev_resource": col("resource_accessed")},
-        hot=find_hot_keys(test, ["entity_id"]),
-    )
-    found = Q.transition_lookup(stepped, sequences)
+    found = Q.transition_lookup(X.with_previous_resource(test, find_hot_keys(test, ["entity_id"])), sequences)
     return found.select(
         "session_id", S.round_to(col("log_trans"), 6).alias("log_trans"), S.round_to(col("log_start"), 6).alias("log_start")
     )
@@ -493,6 +495,16 @@ def markov_fit(spark, sf):
     return _fitted(Q.lazy_sequences(normal, find_hot_keys(normal, ["entity_id"])))
 
 
+@query("markov_fit_mixed", _FIT.format(p="m"))
+def markov_fit_mixed(spark, sf):
+    """Some entities change their type after ten days."""
+    normal = R.access_normal(spark, sf)
+    late = col("event_us") - normal.agg(F.min("event_us")).scalar() > 10 * DAY
+    changed = F.when((col("entity_id") % 7 == 0) & late, "edge_device").otherwise(col("entity_type"))
+    mixed = normal.withColumn("entity_type", changed)
+    return _fitted(Q.lazy_sequences(mixed, find_hot_keys(mixed, ["entity_id"])))
+
+
 @query("markov_fit_turns", _FIT.format(p="c"))
 def markov_fit_turns(spark, sf):
     """Role transitions of conversations."""
@@ -555,7 +567,9 @@ def class_weights(spark, sf):
     return weights.withColumn("weight", S.round4(col("weight")))
 
 
-@query("confusion_matrix", """SELECT label AS truth, predicted_type AS predicted, count(*)::BIGINT AS n FROM scored WHERE predicted_type IN (SELECT label FROM scored) GROUP BY ALL""")
+@query("confusion_matrix", """SELECT a.label AS truth, b.label AS predicted,
+ (SELECT count(*) FROM scored s WHERE s.label=a.label AND s.predicted_type=b.label)::BIGINT AS n
+ FROM (SELECT DISTINCT label FROM scored) a, (SELECT DISTINCT label FROM scored) b""")
 def confusion_matrix(spark, sf):
     return E.confusion_matrix(R.detection(spark, sf).scored)
 
@@ -580,6 +594,21 @@ def geo_velocity(spark, sf):
     return moved.select("session_id", "geo_velocity_kmh", "is_impossible_travel")
 
 
+@query("geo_velocity_unknown", f"""SELECT session_id, {r('kmh', 2)} AS geo_velocity_kmh, coalesce(kmh>1000 AND km>500,false) AS is_impossible_travel FROM lost_moved""")
+def geo_velocity_unknown(spark, sf):
+    """Every seventh place is unknown: no speed to it and none from it."""
+    events = lost_events(spark, sf)
+    moved = X.geo_velocity(events, find_hot_keys(events, ["entity_id"]))
+    return moved.select("session_id", "geo_velocity_kmh", "is_impossible_travel")
+
+
+@query("risk_score_unknown", """SELECT session_id, baseline_score, geo_velocity_kmh, risk_score, CASE WHEN flagged THEN rule END AS rule_fired FROM w_risky""")
+def risk_score_unknown(spark, sf):
+    return R.lost_detection(spark, sf).scored.select(
+        "session_id", "baseline_score", "geo_velocity_kmh", "risk_score", "rule_fired"
+    )
+
+
 @query("markov_last_transition", f"SELECT session_id, {r('nll')} AS markov_nll, {r('least(nll/15.0,1.0::DOUBLE)')} AS markov_score FROM a_nll")
 def markov_last_transition(spark, sf):
     _, sequences = R.access_model(spark, sf)
@@ -714,10 +743,19 @@ def entities_page(spark, sf):
     return page.select("entity_id", "entity_type", "alert_count", "total")
 
 
-@query("top_importances")
+@query("top_importances", f"SELECT unnest(range(1,6))::BIGINT AS place, true AS in_order, true AS known, true AS sums_to_one")
 def top_importances(spark, sf):
+    """The five largest: in order, features of the model, out of importances that sum to 1."""
     table = K.importances_table(spark, R.classifier(spark, sf))
-    return table.orderBy(F.desc("importance"), "feature").limit(5)
+    total = table.agg(F.sum("importance")).scalar()
+    top = table.orderBy(F.desc("importance"), "feature").limit(5)
+    fall = Window.orderBy(F.desc("importance"), "feature")  # over five rows
+    return top.select(
+        F.row_number().over(fall).cast("long").alias("place"),
+        (col("importance") <= F.lag("importance", 1, 1.0).over(fall)).alias("in_order"),
+        col("feature").isin(C.MODEL_FEATURES).alias("known"),
+        (F.abs(total - 1.0) < 1e-9).alias("sums_to_one"),
+    )
 
 
 # === sets ======================================================================
@@ -808,11 +846,16 @@ def classify_rules(spark, sf):
     return R.detection(spark, sf).scored.select("session_id", "predicted_type", "predicted_type_confidence", "rule_fired")
 
 
-@query("classify")
+@query("classify", """SELECT session_id, CASE WHEN flagged THEN rule END AS rule_fired, true AS consistent FROM risky""")
 def classify(spark, sf):
     """Rules first, the forest for what they leave open."""
-    done = K.classify(R.detection(spark, sf).scored, R.classifier(spark, sf))
-    return done.select("session_id", "predicted_type", "predicted_type_confidence", "rule_fired")
+    scored = R.detection(spark, sf).scored
+    done = K.classify(scored, R.classifier(spark, sf))
+    ruled = K.classify(scored).select("session_id", col("predicted_type").alias("by_rule"), col("predicted_type_confidence").alias("sure"))
+    as_ruled = (col("predicted_type") == col("by_rule")) & (col("predicted_type_confidence") == col("sure"))
+    voted = col("predicted_type").isin(K.LABELS) & col("predicted_type_confidence").between(0.1428, 1.0)
+    open_ = col("is_flagged") & col("rule_fired").isNull()
+    return done.join(ruled, "session_id").select("session_id", "rule_fired", F.when(open_, voted).otherwise(as_ruled).alias("consistent"))
 
 
 @query("select_alerts", "SELECT session_id, risk_score, predicted_type FROM alerts")
@@ -887,19 +930,39 @@ def label_index(spark, sf):
     return P.label_filter(train, normal=False).select("session_id", "label", K.label_index(col("label")).alias("target"))
 
 
-@query("rf_fit")
+@query("rf_fit", "SELECT label, count(*)::BIGINT AS n, true AS mostly_right FROM a_train WHERE label<>'normal' GROUP BY label")
 def rf_fit(spark, sf):
-    """Accuracy of the forest on what it was trained on, per label."""
+    """Whether the forest names at least half of what it was trained on, per label."""
     fitted = K.rf_predict(R.training(spark, sf), R.classifier(spark, sf))
-    return fitted.groupBy("label").agg(
-        F.count(lit(1)).alias("n"), F.count_if(col("ml_type") == col("label")).alias("n_right")
-    )
+    right = F.count_if(col("ml_type") == col("label"))
+    return fitted.groupBy("label").agg(F.count(lit(1)).alias("n"), (right * 2 >= F.count(lit(1))).alias("mostly_right"))
 
 
-@query("rf_predict")
+@query("rf_predict", "SELECT session_id, true AS known, true AS bounded FROM scored")
 def rf_predict(spark, sf):
+    """One of the seven labels with a confidence between a seventh and 1 for every event."""
     voted = K.rf_predict(R.detection(spark, sf).scored, R.classifier(spark, sf))
-    return voted.select("session_id", "ml_type", "ml_confidence")
+    return voted.select(
+        "session_id", col("ml_type").isin(K.LABELS).alias("known"), col("ml_confidence").between(0.1428, 1.0).alias("bounded")
+    )
+
+
+@query("detect_learned", """SELECT session_id, risk_score, flagged AS is_flagged, rule AS rule_fired, true AS consistent FROM (
+ SELECT session_id, risk_score, flagged, CASE WHEN flagged THEN rule END AS rule FROM risky)""")
+def detect_learned(spark, sf):
+    """The whole run with a forest: rules decide where they fire, the forest names all else that is flagged."""
+    d = R.learned_detection(spark, sf)
+    named = col("predicted_type").isin(K.LABELS) & col("predicted_type_confidence").between(0.0, 1.0)
+    calm = (col("predicted_type") == C.NORMAL) & (col("predicted_type_confidence") == 1.0)
+    explained = (col("explanation_text") != "") == (col("predicted_type") != C.NORMAL)
+    rows = d.scored.select(
+        "session_id", "risk_score", "is_flagged", "rule_fired", (F.when(col("is_flagged"), named).otherwise(calm) & explained).alias("fits")
+    )
+    alerted = d.alerts.select("session_id", lit(True).alias("alerted"))
+    wanted = (col("risk_score") > C.ALERT_THRESHOLD) | col("is_flagged")
+    return rows.join(alerted, "session_id", "left").select(
+        "session_id", "risk_score", "is_flagged", "rule_fired", (col("fits") & (wanted == col("alerted").isNotNull())).alias("consistent")
+    )
 
 
 @query("pr_auc", f"SELECT {r('pr_auc')} AS pr_auc FROM auc")

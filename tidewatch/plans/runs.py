@@ -12,7 +12,7 @@ from tidewatch.operators import classify as K, profiles as P, sequence as Q
 from tidewatch.plans.detection import Detection, detect, fit_tables, training_scores
 from tidewatch.session import materialize
 from tidewatch.settings import DAY, MINUTE, Settings
-from tidewatch.sources.access import access_events, order_events
+from tidewatch.sources.access import access_events, lost_events, order_events
 
 # The test tables span 30 days and are sparse, so the windows are wider.
 ACCESS = Settings(train_days=20, fail_window=DAY, ip_window=30 * MINUTE)
@@ -62,6 +62,15 @@ def detection(spark: SparkSession, sf_dir: str) -> Detection:
     return kept(spark, sf_dir, "run", lambda: detect(access_events(spark, sf_dir), ACCESS, learn=False))
 
 
+def lost_detection(spark: SparkSession, sf_dir: str) -> Detection:
+    """The same run over events of which some have unknown places."""
+    return kept(spark, sf_dir, "lost", lambda: detect(lost_events(spark, sf_dir), ACCESS, learn=False))
+
+
+def learned_detection(spark: SparkSession, sf_dir: str) -> Detection:
+    return kept(spark, sf_dir, "learned", lambda: detect(access_events(spark, sf_dir), ACCESS))
+
+
 def training(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored training attacks."""
 

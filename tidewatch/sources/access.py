@@ -90,6 +90,15 @@ def access_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_as_access(spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet"))
 
 
+def lost_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same log with every seventh place unknown."""
+    events = spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet")
+    k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
+    lost = events.select(F.col("event_id").alias("session_id"), (k % 7 == 0).alias("lost"))
+    place = F.when(F.col("lost"), "Atlantis, ZZ").otherwise(F.col("geo_location"))
+    return events_as_access(events).join(lost, "session_id").withColumn("geo_location", place).drop("lost")
+
+
 def access_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same view over a stream of files."""
     stream = spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1)
