@@ -84,6 +84,23 @@ DRIFT_MIN_EVENTS = 3
 DRIFT_RESOURCE_RATIO = 0.3
 FOOTPRINT_CAP = 5.0
 BUDGETS = [0.005, 0.01, 0.03]
+# Percentage points of precision per percent of budget, below and above the measured budgets.
+BUDGET_SLOPES = (15.0, 8.5 / 7.0)
+BUDGET_PRECISION_FLOOR = 2.5
+
+# --- fixed values: rules in order, with the type and confidence they decide for ----
+RULE_VERDICTS = {
+    "geo_velocity_exceeded": ("impossible_travel", 0.92),
+    "failed_auth_burst": ("brute_force", 0.95),
+    "multi_entity_same_ip": ("credential_stuffing", 0.90),
+    "fingerprint_mismatch": ("device_spoofing", 0.88),
+}
+RULE_TEXTS = {
+    "geo_velocity_exceeded": "Implied travel speed of {speed} km/h to reach {place} (impossible travel pattern)",
+    "failed_auth_burst": "{failures} failed authentication attempts from {address} in a 5-minute window (brute force pattern)",
+    "multi_entity_same_ip": "{accounts} different user accounts accessed from {address} in 5 minutes (credential stuffing pattern)",
+    "fingerprint_mismatch": "Device fingerprint '{device}...' does not match known devices for {entity} (device spoofing)",
+}
 
 # --- fixed values: classifier ------------------------------------------------
 BASELINE_FEATURES = [

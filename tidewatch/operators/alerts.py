@@ -10,6 +10,8 @@ from tidewatch import constants as C
 from tidewatch.functions import scalars as S
 from tidewatch.operators.histogram import top_pct_threshold
 
+MAX_PAGE = 200  # entities of one page, whose ids are broadcast
+
 ALERT_COLUMNS = [
     "session_id", "entity_id", "entity_type", "event_time", "source_ip", "geo_location",
     "resource_accessed", "auth_method", "auth_result", "session_duration", "device_fingerprint",
@@ -124,7 +126,9 @@ def entities_page(
     profiles: DataFrame, alerts: DataFrame, entity_type: str | None = None,
     search: str | None = None, page: int = 1, limit: int = 20,
 ) -> DataFrame:
-    """One page of entities.  Alerts are counted for the page's entities only."""
+    """One page of entities, 1 to ``MAX_PAGE`` of them.  Alerts are counted for these only."""
+    if not 1 <= limit <= MAX_PAGE:
+        raise ValueError(f"a page has 1 to {MAX_PAGE} entities")
     matching = entity_filter(profiles, entity_type, search)
     total = matching.agg(F.count(F.lit(1))).scalar()
     rows = page_of(matching, [F.col("entity_id")], page, limit)

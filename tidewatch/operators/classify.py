@@ -22,29 +22,23 @@ def rule_verdict() -> Column:
     Travel outranks failed logins; the other two apply only where neither fired.
     """
 
-    def verdict(kind: str, confidence: float, rule: str) -> Column:
-        return F.struct(
-            F.lit(kind).alias("type"), F.lit(confidence).alias("confidence"), F.lit(rule).alias("rule")
-        )
-
     mismatch = (F.col("fingerprint_mismatch") > C.RULE_MISMATCH) & (
         F.col("baseline_score") > C.RULE_MISMATCH_BASELINE
     )
-    return (
+    fires = {
+        "geo_velocity_exceeded": F.col("geo_velocity_kmh") > C.RULE_TRAVEL_KMH,
+        "failed_auth_burst": F.col("failed_auth_count_5min") >= C.RULE_FAILED_LOGINS,
+        "multi_entity_same_ip": F.col("distinct_entities_from_ip_5min") >= C.RULE_ENTITIES_PER_IP,
+        "fingerprint_mismatch": mismatch,
+    }
+    verdicts = [
         F.when(
-            F.col("geo_velocity_kmh") > C.RULE_TRAVEL_KMH,
-            verdict("impossible_travel", 0.92, "geo_velocity_exceeded"),
+            fires[rule],
+            F.struct(F.lit(kind).alias("type"), F.lit(sure).alias("confidence"), F.lit(rule).alias("rule")),
         )
-        .when(
-            F.col("failed_auth_count_5min") >= C.RULE_FAILED_LOGINS,
-            verdict("brute_force", 0.95, "failed_auth_burst"),
-        )
-        .when(
-            F.col("distinct_entities_from_ip_5min") >= C.RULE_ENTITIES_PER_IP,
-            verdict("credential_stuffing", 0.90, "multi_entity_same_ip"),
-        )
-        .when(mismatch, verdict("device_spoofing", 0.88, "fingerprint_mismatch"))
-    )
+        for rule, (kind, sure) in C.RULE_VERDICTS.items()
+    ]
+    return F.coalesce(*verdicts)
 
 
 # --- forest --------------------------------------------------------------------

@@ -78,19 +78,21 @@ def risk_timeline(scored: DataFrame, entity_id=None, threshold: float = C.SLICE_
 def budget_precision_estimate(budget_table: DataFrame) -> DataFrame:
     """Precision in percent over a grid of budgets from 0.1 % to 10 %.
 
-    Linear between the three measured points, with fixed slopes outside them.
+    Linear between the measured budgets, with fixed slopes outside them.
     """
-    at = lambda share: F.max(F.when(F.col("budget") == share, F.col("precision"))) * 100
-    points = budget_table.agg(at(0.005).alias("p05"), at(0.01).alias("p10"), at(0.03).alias("p30"))
+    shares = sorted(C.BUDGETS)
+    at = [F.max(F.when(F.col("budget") == b, F.col("precision"))) * 100 for b in shares]
+    points = budget_table.agg(*[p.alias(f"p{i}") for i, p in enumerate(at)])
     grid = points.select("*", F.explode(F.sequence(F.lit(1), F.lit(100))).alias("tenths"))
-    pct, p05, p10, p30 = F.col("tenths") / 10.0, F.col("p05"), F.col("p10"), F.col("p30")
-    estimate = (
-        F.when(pct <= 0.5, p05 + (0.5 - pct) * 15)
-        .when(pct <= 1.0, p05 - ((pct - 0.5) / 0.5) * (p05 - p10))
-        .when(pct <= 3.0, p10 - ((pct - 1.0) / 2.0) * (p10 - p30))
-        .otherwise(F.greatest(F.lit(2.5), p30 - ((pct - 3.0) / 7.0) * 8.5))
-    )
-    return grid.select(pct.alias("pct"), S.round4(estimate).alias("estimated_precision"))
+    pct = F.col("tenths") / 10.0
+    known = [(100 * b, F.col(f"p{i}")) for i, b in enumerate(shares)]
+    (first, first_p), (last, last_p) = known[0], known[-1]
+    below, above = C.BUDGET_SLOPES
+    estimate = F.when(pct <= first, first_p + (first - pct) * below)
+    for (x, p), (y, q) in zip(known, known[1:]):
+        estimate = estimate.when(pct <= y, p + (q - p) * ((pct - x) / (y - x)))
+    beyond = F.greatest(F.lit(C.BUDGET_PRECISION_FLOOR), last_p - (pct - last) * above)
+    return grid.select(pct.alias("pct"), S.round4(estimate.otherwise(beyond)).alias("estimated_precision"))
 
 
 def metrics_summary(scored: DataFrame, alerts: DataFrame) -> DataFrame:

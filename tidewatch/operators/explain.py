@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch import constants as C
@@ -9,43 +11,29 @@ from tidewatch.functions import scalars as S
 
 
 def rule_text() -> Column:
-    rule = F.col("rule_fired")
+    """The text of the rule that fired, with the event's own values in it."""
 
     def count(name: str) -> Column:
         return F.col(name).cast("long").cast("string")
 
-    return (
-        F.when(
-            rule == "failed_auth_burst",
-            F.concat(
-                count("failed_auth_count_5min"), F.lit(" failed authentication attempts from "),
-                F.col("source_ip"), F.lit(" in a 5-minute window (brute force pattern)"),
-            ),
-        )
-        .when(
-            rule == "geo_velocity_exceeded",
-            F.concat(
-                F.lit("Implied travel speed of "), S.whole_number(F.col("geo_velocity_kmh")),
-                F.lit(" km/h to reach "), F.col("geo_location"), F.lit(" (impossible travel pattern)"),
-            ),
-        )
-        .when(
-            rule == "multi_entity_same_ip",
-            F.concat(
-                count("distinct_entities_from_ip_5min"), F.lit(" different user accounts accessed from "),
-                F.col("source_ip"), F.lit(" in 5 minutes (credential stuffing pattern)"),
-            ),
-        )
-        .when(
-            rule == "fingerprint_mismatch",
-            F.concat(
-                F.lit("Device fingerprint '"), F.substring("device_fingerprint", 1, 30),
-                F.lit("...' does not match known devices for "), F.col("entity_id").cast("string"),
-                F.lit(" (device spoofing)"),
-            ),
-        )
-        .when(rule.isNotNull(), F.concat(F.lit("Rule '"), rule, F.lit("' triggered for this event")))
-    )
+    values = {
+        "speed": S.whole_number(F.col("geo_velocity_kmh")),
+        "place": F.col("geo_location"),
+        "failures": count("failed_auth_count_5min"),
+        "accounts": count("distinct_entities_from_ip_5min"),
+        "address": F.col("source_ip"),
+        "device": F.substring("device_fingerprint", 1, 30),
+        "entity": F.col("entity_id").cast("string"),
+    }
+    rule = F.col("rule_fired")
+    texts = []
+    for name, template in C.RULE_TEXTS.items():
+        parts = []
+        for text, field, _, _ in Formatter().parse(template):
+            parts += [F.lit(text)] + ([values[field]] if field else [])
+        texts.append(F.when(rule == name, F.concat(*parts)))
+    other = F.when(rule.isNotNull(), F.concat(F.lit("Rule '"), rule, F.lit("' triggered for this event")))
+    return F.coalesce(*texts, other)
 
 
 def feature_text(feature: Column, value: Column) -> Column:

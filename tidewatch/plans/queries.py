@@ -51,7 +51,9 @@ def write_outputs(spark, sf):
 EXPORT = A.AlertFilter(top_pct=40.0, min_risk=0.2, search="err.r/[12]|10\\.3\\.")
 
 
-@query("export_alerts", """SELECT session_id, entity_id, risk_score, predicted_type FROM alerts
+@query("export_alerts", """SELECT session_id, entity_id, entity_type, ip AS source_ip, geo AS geo_location, res AS resource_accessed, auth AS auth_method,
+ result AS auth_result, dur AS session_duration, device AS device_fingerprint, risk_score, predicted_type, confidence AS predicted_type_confidence,
+ cold AS is_cold_start, coalesce(is_drift_flagged,false) AS is_drift_flagged FROM alerts LEFT JOIN (SELECT entity_id, is_drift_flagged FROM a_drift) USING (entity_id)
  WHERE risk_score>=(SELECT min(risk_score) FROM (SELECT risk_score FROM scored ORDER BY risk_score DESC
    LIMIT (SELECT greatest(1,floor(count(*)*0.4))::BIGINT FROM scored)))
  AND risk_score>=0.2::DOUBLE AND (regexp_matches(entity_id::VARCHAR,'err.r/[12]|10\\.3\\.') OR regexp_matches(ip,'err.r/[12]|10\\.3\\.')
@@ -65,7 +67,7 @@ def export_alerts(spark, sf):
         for c in A.ALERT_COLUMNS
     )
     back = spark.read.schema(kinds).options(header=True, quote='"', escape='"').csv(path)
-    return back.select("session_id", "entity_id", "risk_score", "predicted_type")
+    return back.drop("timestamp", "event_time", "top_features", "explanation_text")
 
 
 @query("write_metrics", "SELECT metric, key, value FROM metrics")

@@ -19,6 +19,7 @@ class Settings:
     ``"trailing"`` (last seven days).  ``breadth`` is ``"window"`` (new
     resources within the last hour) or ``"first_seen"`` (this event's resource
     is new).  ``footprint`` is ``"first_week"`` or ``"none"`` (always 0).
+    ``watermark`` is how late a row of a stream may come.
     """
 
     train_days: int = 30
@@ -32,6 +33,7 @@ class Settings:
     low_slow: str = "cumulative"
     breadth: str = "window"
     footprint: str = "first_week"
+    watermark: str = "1 hour"
 
     def with_(self, **changes) -> "Settings":
         return replace(self, **changes)

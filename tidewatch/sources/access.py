@@ -99,9 +99,9 @@ def lost_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_as_access(events).join(lost, "session_id").withColumn("geo_location", place).drop("lost")
 
 
-def access_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same view over a stream of files."""
-    stream = spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1)
+def access_stream(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:
+    """The same view over a stream of files, ``files`` of them per micro-batch."""
+    stream = spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", files)
     return events_as_access(stream.parquet(f"{sf_dir}/event*.parquet"))
 
 

@@ -1,7 +1,7 @@
 """Streaming forms of the operators.
 
-Aggregations carry a watermark of one hour in append mode: later rows are
-dropped, and :func:`late_rows` reports how many.
+Aggregations carry a watermark in append mode, ``Settings.watermark`` unless one is
+given: later rows are dropped, and :func:`late_rows` reports how many.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from tidewatch.session import ROCKSDB, new_path
 from tidewatch.settings import Settings
 from tidewatch.streaming import state
 
-WATERMARK = "1 hour"
+WATERMARK = Settings().watermark
 
 
 # --- per-entity state ----------------------------------------------------------
@@ -70,25 +70,25 @@ def entity_memory(stream: DataFrame) -> DataFrame:
 # --- windowed aggregations -----------------------------------------------------
 
 
-def failed_auth(stream: DataFrame, width: str = "10 minutes", slide: str = "5 minutes") -> DataFrame:
+def failed_auth(stream: DataFrame, width: str = "10 minutes", slide: str = "5 minutes", watermark: str = WATERMARK) -> DataFrame:
     """Failures per entity in sliding windows."""
     return (
         stream.filter(features.failed())
-        .withWatermark("event_time", WATERMARK)
+        .withWatermark("event_time", watermark)
         .groupBy(F.window("event_time", width, slide), "entity_id")
         .agg(F.count(F.lit(1)).alias("n_fails"))
         .select(F.unix_micros("window.start").alias("start_us"), "entity_id", "n_fails")
     )
 
 
-def ip_concurrency(stream: DataFrame, width: str = "10 minutes", slide: str = "5 minutes") -> DataFrame:
+def ip_concurrency(stream: DataFrame, width: str = "10 minutes", slide: str = "5 minutes", watermark: str = WATERMARK) -> DataFrame:
     """Distinct entities per address in sliding windows.
 
     Two chained aggregations, first per entity and then per address, keep the
     count exact; streams have no distinct count of their own.
     """
     present = (
-        stream.withWatermark("event_time", WATERMARK)
+        stream.withWatermark("event_time", watermark)
         .groupBy(F.window("event_time", width, slide), "source_ip", "entity_id")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -99,10 +99,10 @@ def ip_concurrency(stream: DataFrame, width: str = "10 minutes", slide: str = "5
     )
 
 
-def sessions(stream: DataFrame, gap: str = "6 hours") -> DataFrame:
+def sessions(stream: DataFrame, gap: str = "6 hours", watermark: str = WATERMARK) -> DataFrame:
     """Runs of an entity's events without a pause longer than ``gap``."""
     return (
-        stream.withWatermark("event_time", WATERMARK)
+        stream.withWatermark("event_time", watermark)
         .groupBy(F.session_window("event_time", gap), "entity_id")
         .agg(F.count(F.lit(1)).alias("n_events"))
         .select(F.unix_micros("session_window.start").alias("start_us"), "entity_id", "n_events")
