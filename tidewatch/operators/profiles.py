@@ -15,6 +15,7 @@ from tidewatch.settings import DAY, Settings
 # Value sets up to this size travel inside the profile row; larger ones stay in
 # the long table and are looked up there.
 PACK_LIMIT = 256
+TYPE_SALTS = 16
 PACKED = ("geo", "device", "resource")
 
 PROFILED_ATTRIBUTES = {
@@ -300,13 +301,14 @@ def fit_profiles(normal_events: DataFrame) -> ProfileModel:
         lambda: materialize(profile_values(normal_events), "profile_values"),
         lambda: materialize(_moments(normal_events), "moments"),
     )
-    entity_values, type_values = values_by(values, "entity_id"), values_by(values, "entity_type")
+    entity_values, type_values = together(
+        lambda: materialize(values_by(values, "entity_id"), "entity_values"),
+        lambda: materialize(values_by(values, "entity_type"), "type_values"),
+    )
     by_entity = _with_sets(_merge(moments, "entity_id", [_first_type()]), entity_values, "entity_id")
     by_type = _with_sets(_merge(moments, "entity_type", []), type_values, "entity_type")
-    entities, types, type_values = together(
-        lambda: materialize(by_entity, "entities"),
-        lambda: materialize(by_type, "types"),
-        lambda: materialize(type_values, "type_values"),
+    entities, types = together(
+        lambda: materialize(by_entity, "entities"), lambda: materialize(by_type, "types")
     )
     return load_model_tables(entities, types, entity_values, type_values)
 
@@ -368,7 +370,8 @@ def value_counts_joined(
     """Counts of an event's value from the long table (existence join).
 
     Events that need no lookup here get a key of their own that matches
-    nothing, so they spread evenly instead of piling up on one null key.
+    nothing, so they spread evenly instead of piling up on one null key.  A type
+    has many events with the same value; they are dealt over ``TYPE_SALTS`` tasks.
     """
     key = "entity_id" if level == "entity" else "entity_type"
     values = model.entity_values if level == "entity" else model.type_values
@@ -378,7 +381,10 @@ def value_counts_joined(
     apart = F.concat(F.lit("\0"), F.col("session_id").cast("string"))
     open_ = (F.col("profile_source") == level) & F.col(f"{attr}_n").isNull()
     wanted = F.when(open_, F.col(column)).otherwise(apart)
-    return looked_up.withColumn("_wanted", wanted).join(mine, [key, "_wanted"], "left").drop("_wanted")
+    salts = TYPE_SALTS if level == "type" else 1
+    mine = mine.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    asked = looked_up.withColumns({"_wanted": wanted, "_salt": F.pmod(F.xxhash64("session_id"), F.lit(salts)).cast("int")})
+    return asked.join(mine, [key, "_wanted", "_salt"], "left").drop("_wanted", "_salt")
 
 
 def value_counts(looked_up: DataFrame, model: ProfileModel) -> DataFrame:
