@@ -3,9 +3,9 @@
 Built from DataFrame functions alone. A window is ``width`` consecutive words of
 an item (all words of a shorter item). A window that occurs in a document has all
 its words there, so one necessary word is enough to find it: the rarest, by the
-number of times that documents contain it. Documents meet windows on that word;
-the word's position bounds where the window would begin and end, and the whole
-slice is compared.
+number of places that windows have it in. Documents meet windows on that word; the
+word's position bounds where the window would begin and end, and the whole slice
+is compared.
 
 Words are runs of ASCII digits and letters (A-Z in lower case) and of all other
 non-ASCII characters. Null or wordless texts have no words and no hits; a null
@@ -43,10 +43,6 @@ def item_windows(items: DataFrame, width: int = WIDTH, id_column: str = "item_id
     return cut.groupBy("window").agg(F.collect_set("item_id").alias("items"))
 
 
-def _spread(windows: DataFrame, small: bool) -> DataFrame:
-    return F.broadcast(windows) if small else windows
-
-
 def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """print, doc_id, at, window, items: every place where a window occurs.
 
@@ -54,13 +50,12 @@ def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """
     windows = materialize(windows.withColumn("w", F.xxhash64("window")), "windows")
     small = windows.count() <= BROADCAST_WINDOWS
-    vocabulary = windows.select(F.explode("window").alias("word")).distinct()
-    plain = docs.select(F.explode("words").alias("word"))
-    count = plain.join(_spread(vocabulary, small), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    # The rarest word of each window and its first place there; words that no document has are rarest.
-    ranked = windows.select("w", F.posexplode("window").alias("offset", "word")).join(count, "word", "left")
-    rarest = ranked.groupBy("w").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "offset")).alias("r"))
-    keyed = windows.join(rarest, "w").where("r.n > 0")
+    # The rarest word of each window and its first place there; of equally rare words a longer one.
+    ranked = windows.select("w", F.posexplode("window").alias("offset", "word"))
+    count = ranked.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct("n", (-F.length("word")).alias("short"), "word", "offset")
+    rarest = ranked.join(count, "word").groupBy("w").agg(F.min(order).alias("r"))
+    keyed = windows.join(rarest, "w")
     keyed = keyed.select(F.col("r.word").alias("word"), F.col("r.offset").alias("offset"), "window", "items", "w")
     keyed = materialize(keyed, "prefixes")
     if small:
@@ -88,6 +83,7 @@ def contamination(
         F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("print"), words(F.col(text)).alias("words")
     )
     found = hits(rows, item_windows(items, width, item_column, item_text)).distinct()
+    found = materialize(found, "hits")
     covered = F.explode(F.sequence("at", F.col("at") + F.col("length") - 1))
     places = found.select("doc_id", "print", covered.alias("place")).distinct().groupBy("doc_id", "print").agg(F.count(F.lit(1)).alias("n_hit"))
     named = found.select("doc_id", "print", F.explode("items").alias("item")).groupBy("doc_id", "print").agg(F.collect_set("item").alias("items"))
