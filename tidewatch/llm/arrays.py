@@ -148,6 +148,20 @@ def distinct_in_rows(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray
     return values[keep], np.bincount(rows[keep], minlength=len(counts)).astype(np.int64)
 
 
+def distinct_together(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Like ``distinct_in_rows`` by one sort of single numbers.
+
+    The row takes the upper bits and the value loses as many lower ones, 64 less
+    the bits of the number of rows are left. Values can be compared within the call.
+    """
+    bits = np.uint64(max(1, len(counts).bit_length()))
+    rows = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
+    both = np.sort(rows << (np.uint64(64) - bits) | values >> bits)
+    both = both[np.concatenate((np.ones(min(1, len(both)), bool), both[1:] != both[:-1]))]
+    number = np.bincount((both >> (np.uint64(64) - bits)).astype(np.int64), minlength=len(counts)).astype(np.int64)
+    return both << bits, number
+
+
 def list_column(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     offsets = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offsets[1:])

@@ -14,22 +14,30 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.llm.arrays import expand, mix
 from tidewatch.llm.frames import components
 
 FANOUT = 8
+LEAF_ITEMS = 32  # sets of one leaf, compared with each other directly
 BLOCK_ITEMS, BLOCK_BYTES = 2_000, 16_000_000
 CHUNK = 100_000
 
 
-def hashes_of(content: pa.Array) -> list[np.ndarray]:
+Sets = tuple[np.ndarray, np.ndarray]  # all tokens one set after the other, and the size of each
+
+
+def hashes_of(content: pa.Array) -> Sets:
     """Token sets that are stored as bytes of sorted 64-bit hashes."""
-    return [np.frombuffer(x.as_buffer(), np.uint64) for x in content]
+    size = pc.binary_length(content).to_numpy(zero_copy_only=False).astype(np.int64)
+    _, offsets, data = content.buffers()
+    start = np.frombuffer(offsets, np.int32)[content.offset]
+    return np.frombuffer(data, np.uint8)[start : start + int(size.sum())].view(np.uint64), size // 8
 
 
-def verified_components(items: DataFrame, num: int, den: int, unpack: Callable[[pa.Array], list[np.ndarray]] = hashes_of) -> DataFrame:
+def verified_components(items: DataFrame, num: int, den: int, unpack: Callable[[pa.Array], Sets] = hashes_of) -> DataFrame:
     """node and root of items whose sets are linked, directly or over others.
 
     ``items`` has ``cluster``, ``node`` (long) and ``content`` (binary), which
@@ -58,46 +66,68 @@ def verified_components(items: DataFrame, num: int, den: int, unpack: Callable[[
 
 
 def _tiles(batches: Iterator[pa.RecordBatch], num: int, den: int, unpack) -> Iterator[pa.RecordBatch]:
-    held: list[pa.RecordBatch] = []
-    key = None
+    """Whole tiles are taken together; rows of the one still open wait for the next batch."""
+    open_ = None
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        keys = np.stack([batch.column(c).to_numpy() for c in ("cluster", "i", "j")])
+        rows = pa.Table.from_batches([batch])
+        rows = (rows if open_ is None else pa.concat_tables([open_, rows])).combine_chunks()
+        keys = np.stack([rows[c].to_numpy() for c in ("cluster", "i", "j")])
         cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-        bounds = [0, *cuts.tolist(), batch.num_rows]
-        out = []
-        for lo, hi in zip(bounds, bounds[1:], strict=False):
-            now = tuple(keys[:, lo].tolist())
-            if now != key and held:
-                out.append(_links(held, num, den, unpack))
-                held = []
-            key = now
-            held.append(batch.slice(lo, hi - lo))
-        yield from _edges(out)
-    if held:
-        yield from _edges([_links(held, num, den, unpack)])
-
-
-def _edges(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    found = [f for f in found if len(f)]
-    if found:
-        both = np.concatenate(found)
-        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-
-def _links(held: list[pa.RecordBatch], num: int, den: int, unpack) -> np.ndarray:
-    rows = pa.Table.from_batches(held).combine_chunks()
-    nodes = rows["node"].to_numpy()
-    first = np.concatenate(([True], nodes[1:] != nodes[:-1]))  # rows of one node have one set
-    tokens = unpack(rows["content"].combine_chunks().filter(pa.array(first)))
-    nodes = nodes[first]
-    if len(nodes) < 2:
+        last = int(cuts[-1]) if len(cuts) else 0
+        if last:
+            yield from _edges(_links(rows.slice(0, last), num, den, unpack))
+        open_ = rows.slice(last)
+    if open_ is not None:
+        yield from _edges(_links(open_, num, den, unpack))
+
+
+def _edges(pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if len(pairs):
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+
+def _links(rows: pa.Table, num: int, den: int, unpack) -> np.ndarray:
+    """Linking pairs of nodes in each of the tiles that the rows make up."""
+    cluster, i, j, k, node = (rows[c].to_numpy() for c in ("cluster", "i", "j", "k", "node"))
+    new_tile = np.concatenate(([True], (cluster[1:] != cluster[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+    tile = np.cumsum(new_tile) - 1
+    # Rows of one node in one tile have one set; a node that is alone has no partner.
+    keep = new_tile | np.concatenate(([True], node[1:] != node[:-1]))
+    keep &= np.bincount(tile[keep])[tile] > 1
+    if not keep.any():
+        return np.zeros((0, 2), np.int64)
+    content = rows["content"].combine_chunks()
+    content = content.chunk(0) if isinstance(content, pa.ChunkedArray) else content
+    flat, sizes = unpack(content.filter(pa.array(keep)))
+    node, tile, side, crossing = node[keep], tile[keep], k[keep], (i != j)[keep]
+    first = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1])))
+    count = np.diff(np.append(first, len(tile)))
+    begin = np.cumsum(sizes) - sizes
+    out = [_pairs(flat, sizes, begin, first[count == 2], side, crossing, num, den)]
+    for at, n in zip(first[count > 2].tolist(), count[count > 2].tolist(), strict=True):
+        own = slice(at, at + n)
+        tokens = [flat[x : x + y] for x, y in zip(begin[own].tolist(), sizes[own].tolist(), strict=True)]
+        out.append(forest(tokens, num, den, side[own] if crossing[at] else None) + at)
+    return node[np.concatenate(out)]
+
+
+def _pairs(flat, sizes, begin, first, side, crossing, num: int, den: int) -> np.ndarray:
+    """The linked ones of many tiles of two sets each, all at once."""
+    first = first[~crossing[first] | (side[first] != side[first + 1])]
+    if not len(first):
         return np.zeros((0, 2), np.int64)
-    i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
-    side = rows["k"].to_numpy()[first] if i != j else None
-    linked = forest(tokens, num, den, side)
-    return nodes[linked]
+    total = sizes[first] + sizes[first + 1]
+    values = flat[expand(begin[first], total)]  # the two sets of a tile are neighbours
+    # Tile and token in one number: the tile's bits take the place of the token's lowest.
+    bits = np.uint64(max(1, len(first).bit_length()))
+    owner = np.repeat(np.arange(len(first), dtype=np.uint64), total)
+    marked = np.sort(owner << (np.uint64(64) - bits) | values >> bits)
+    twice = marked[1:][marked[1:] == marked[:-1]]
+    both = np.bincount((twice >> (np.uint64(64) - bits)).astype(np.int64), minlength=len(first))
+    hit = first[((num + den) * both >= num * total) & (both > 0)]
+    return np.stack([hit, hit + 1], axis=1)
 
 
 def forest(tokens: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None) -> np.ndarray:
@@ -106,17 +136,14 @@ def forest(tokens: list[np.ndarray], num: int, den: int, side: np.ndarray | None
     With ``side`` only sets of different sides are compared.
     """
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    if len(tokens) == 2:
-        both = len(np.intersect1d(*tokens, assume_unique=True))
-        hit = (num + den) * both >= num * sizes.sum() and both > 0
-        return np.array([[0, 1]] if hit else np.zeros((0, 2)), np.int64)
     flat = np.concatenate(tokens)
     universe, codes = np.unique(flat, return_inverse=True)
     firsts = np.cumsum(sizes) - sizes
     label = np.arange(len(tokens))
     mark = np.zeros(len(universe), bool)
     out = []
-    for a, others in _survivors(tokens, sizes, num, den):
+    few = len(tokens) <= LEAF_ITEMS
+    for a, others in _all_pairs(sizes, num, den) if few else _survivors(tokens, sizes, num, den):
         if side is not None:
             others = others[side[others] != side[a]]
         others = others[label[others] != label[a]]
@@ -140,6 +167,13 @@ def forest(tokens: list[np.ndarray], num: int, den: int, side: np.ndarray | None
     return np.array(out, np.int64).reshape(-1, 2)
 
 
+def _all_pairs(sizes: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
+    """What one leaf holds is compared without a tree, by size alone."""
+    for a in range(len(sizes) - 1):
+        rest = sizes[a + 1 :]
+        yield a, a + 1 + np.flatnonzero((num * rest <= den * sizes[a]) & (num * sizes[a] <= den * rest))
+
+
 def _survivors(tokens: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each item the others that bitmaps and sizes do not rule out, by dual traversal."""
     n = len(tokens)
