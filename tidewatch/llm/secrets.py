@@ -30,7 +30,7 @@ KINDS = ("assign", "access", "hex", "weak")
 # Parts of the linking step.
 OPAQUE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 ENDPOINT = re.compile(r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?[A-Za-z0-9/._-]*|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]+)?(?![0-9.])", re.ASCII)
-REACH, LONGEST = 300, 128
+REACH = 300
 
 Span = tuple[int, int]
 
@@ -53,7 +53,7 @@ def opaque_spans(text: str, taken: list[Span]) -> list[Span]:
     out = []
     for m in OPAQUE.finditer(text):
         s = m[0]
-        if len(s) > LONGEST or not (any(c.isdigit() for c in s) and any(c.isupper() for c in s) and any(c.islower() for c in s)):
+        if not (any(c.isdigit() for c in s) and any(c.isupper() for c in s) and any(c.islower() for c in s)):
             continue
         k = bisect_left(starts, m.end())
         if k and reach[k - 1] > m.start():
