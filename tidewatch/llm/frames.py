@@ -22,6 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(prepare(spark), sf_dir, name)
 
 
+def first_rows(docs: DataFrame, again: DataFrame, id_column: str, text: str) -> DataFrame:
+    """``docs`` with one row for each ``doc_id, print`` of ``again``, the least by the hash of all columns."""
+    again = materialize(again, "again")
+    if again.isEmpty():
+        return docs
+    marked = docs.withColumns({"__id": F.col(id_column).cast("long"), "__print": F.xxhash64(text)})
+    keys = again.select(F.col("doc_id").alias("__again"), F.col("print").alias("__same"))
+    same = F.col("__id").eqNullSafe(F.col("__again")) & (F.col("__print") == F.col("__same"))
+    least = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row")
+    once = marked.join(keys, same, "left_semi").groupBy("__id", "__print").agg(least)
+    return marked.join(keys, same, "left_anti").select(*docs.columns).unionByName(once.select("__row.*"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 

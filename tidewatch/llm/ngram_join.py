@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.llm import arrays as A
-from tidewatch.llm.frames import components
+from tidewatch.llm.frames import components, first_rows
 from tidewatch.llm.groups import link_by_key
 from tidewatch.llm.setjoin import verified_components
 from tidewatch.session import materialize
@@ -91,6 +91,13 @@ def jaccard_components(
     docs: DataFrame, num: int = NUM, den: int = DEN, width: int = WIDTH, id_column: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """doc_id, n_shingles, component_id of every row, and ``print``, the hash of its text."""
+    return _rooted(docs, num, den, width, id_column, text).drop("root")
+
+
+def _rooted(
+    docs: DataFrame, num: int = NUM, den: int = DEN, width: int = WIDTH, id_column: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """The components, and ``root``, which tells them apart where ids are missing or repeated."""
     rows = docs.select(docs[id_column].cast("long").alias("doc_id"), F.xxhash64(docs[text]).alias("print"), docs[text].alias("text"))
 
     def sizes(batches):
@@ -125,16 +132,24 @@ def jaccard_components(
     linked = verified_components(materialize(items, "items"), num, den)
     lead = leads.join(linked, "node", "left").select("node", "lead", F.coalesce("root", "node").alias("root"))
     names = lead.groupBy("root").agg(F.min("lead").alias("component_id"))
-    name = lead.join(names, "root").select("node", "component_id")
+    name = lead.join(names, "root").select("node", "root", "component_id")
     return sized.join(name.withColumn("some", F.lit(True)), "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("some"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "print"
+        "doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("some"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "print", "root"
     )
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents without those that are linked to one with a smaller id; rows without id stay."""
-    found = jaccard_components(docs, id_column=id_column, text=text, **options)
-    gone = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("__id"), F.col("print").alias("__print")).distinct()
+    """The documents with the first row of each component, by doc_id (missing ones last), text hash and all columns.
+
+    Documents without words belong to no component and all stay.
+    """
+    found = materialize(_rooted(docs, id_column=id_column, text=text, **options).where("n_shingles > 0"), "found")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")
+    groups = found.groupBy("doc_id", "print", "root").agg(F.count(F.lit(1)).alias("n"))
+    firsts = found.groupBy("root").agg(F.min(place).alias("first")).withColumnRenamed("root", "__root")
+    placed = materialize(groups.join(firsts, F.col("root") == F.col("__root")).select("doc_id", "print", "n", (place == F.col("first")).alias("stays")), "placed")
+    gone = placed.where("not stays").select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"))
     marked = docs.withColumn("__mark", F.xxhash64(text))
-    same = (marked[id_column].cast("long") == gone["__id"]) & (marked["__mark"] == gone["__print"])
-    return marked.join(gone, same, "left_anti").select(*docs.columns)
+    same = marked[id_column].cast("long").eqNullSafe(gone["__id"]) & (marked["__mark"] == gone["__print"])
+    kept = marked.join(gone, same, "left_anti").select(*docs.columns)
+    return first_rows(kept, placed.where("stays and n > 1").select("doc_id", "print"), id_column, text)
