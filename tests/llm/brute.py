@@ -33,9 +33,9 @@ def linked(a, b, num, den):
     return both > 0 and den * both >= num * (len(a) + len(b) - both)
 
 
-def jaccard(rows, num=90, den=100):
+def jaccard(rows, num=90, den=100, width=3):
     """(doc_id, n_shingles, component_id) of every row."""
-    sets = [shingle_set(t) for _, t in rows]
+    sets = [shingle_set(t, width) for _, t in rows]
     union = Union()
     for a in range(len(rows)):
         for b in range(a):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidewatch.llm import bpe, chat, decontaminate, language, lines, ngram_join, passages, secrets, tokenfiles, topk
+from tidewatch.llm import bpe, chat, circulant, decontaminate, language, lines, ngram_join, passages, secrets, tokenfiles, topk
 from tidewatch.llm.frames import table
 from tidewatch.plans.registry import CHECKS, QUERIES
 
@@ -70,6 +70,11 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
+@corpus_query("op13_near_dedup")
+def op13_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return circulant.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @corpus_query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
