@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidewatch.llm import bpe, chat, circulant, decontaminate, language, lines, ngram_join, passages, secrets, tokenfiles, topk, trie
+from tidewatch.llm import bpe, chat, circulant, decontaminate, language, lines, ngram_join, passages, secrets, spans, tokenfiles, topk, trie
 from tidewatch.llm.frames import table
 from tidewatch.plans.registry import CHECKS, QUERIES
 
@@ -70,6 +70,11 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
+@corpus_query("op11_alignment")
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.aligned(table(spark, sf_dir, "documents"))
+
+
 @corpus_query("op12_prefix_trie", trie.SQL)
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.conversation_trie(table(spark, sf_dir, "conversations"))
