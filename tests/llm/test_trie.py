@@ -43,8 +43,8 @@ def plain(rows):
     return out
 
 
-def found(df):
-    out = trie.conversation_trie(df)
+def found(df, **options):
+    out = trie.conversation_trie(df, **options)
     assert out.columns == COLUMNS
     return Counter(tuple(r) for r in out.collect())
 
@@ -59,14 +59,13 @@ def conversations(rng, n):
 
 
 @pytest.mark.parametrize("limit", [4096, 3])
-def test_trie_equals_a_plain_one(spark, monkeypatch, limit):
-    monkeypatch.setattr(trie, "SHARD_CONVERSATIONS", limit)
+def test_trie_equals_a_plain_one(spark, limit):
     rows = conversations(random.Random(limit), 250)
     rows += [(None, 0, "user", "nobody's"), (40, None, None, None), (40, None, None, None), (41, 0, "user", "one")]
     rows += [(1000 + k, 0, "user", "the same first turn") for k in range(60)]
     rows += [(7777, k, "user", f"turn {k % 3}") for k in range(300)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
-    assert found(df) == plain(rows)
+    assert found(df, conversations=limit) == plain(rows)
 
 
 def test_extra_columns_and_nothing(spark):

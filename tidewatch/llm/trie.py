@@ -42,7 +42,8 @@ _PARTIAL = "node binary, depth long, parent binary, conv_id long, n_convs long,
 class Shard:
     """Conversations in ascending order of their ids: turn digests, words of every turn, and two weights."""
 
-    def __init__(self):
+    def __init__(self, conversations: int = SHARD_CONVERSATIONS):
+        self.most = conversations
         self.ids: list[int] = []
         self.codes: list[list[bytes]] = []
         self.words: list[list[int]] = []
@@ -50,7 +51,7 @@ class Shard:
         self.turns = 0
 
     def full(self) -> bool:
-        return len(self.ids) >= SHARD_CONVERSATIONS or self.turns >= SHARD_TURNS
+        return len(self.ids) >= self.most or self.turns >= SHARD_TURNS
 
     def postings(self) -> dict[tuple[int, bytes | None], int]:
         """(position, turn) to the bitset of conversations; the end of a conversation is the turn None."""
@@ -89,15 +90,15 @@ class Shard:
         return out
 
 
-def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
+def shards(batches: Iterator[pa.RecordBatch], conversations: int = SHARD_CONVERSATIONS) -> Iterator[Shard]:
     """Rows ``conv_id, pos, code, words, own, leaf`` in order of (conv_id, pos); rows without code are no turns."""
-    shard = Shard()
+    shard = Shard(conversations)
     for batch in batches:
         for conv, code, words, own, leaf in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "code", "words", "own", "leaf")), strict=True):
             if not shard.ids or shard.ids[-1] != conv:
                 if shard.full():
                     yield shard
-                    shard = Shard()
+                    shard = Shard(conversations)
                 shard.ids.append(conv)
                 shard.codes.append([])
                 shard.words.append([])
@@ -113,11 +114,11 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
         yield shard
 
 
-def _partial_nodes(batches):
+def _partial_nodes(batches, conversations):
     names = [c.split()[0] for c in _PARTIAL.split(", ")]
     kinds = {"binary": pa.binary(), "long": pa.int64(), "string": pa.string()}
     types = [kinds[c.split()[1]] for c in _PARTIAL.split(", ")]
-    for shard in shards(batches):
+    for shard in shards(batches, conversations):
         out, digests = [], []
         for node, depth, parent, members, ends, words, before in shard.nodes():
             digests.append(node)
@@ -131,9 +132,9 @@ def _partial_nodes(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
 
-def _subtree_sums(batches):
+def _subtree_sums(batches, conversations):
     """For every node the sums over its members of all words, of owned words and of owned leaves."""
-    for shard in shards(batches):
+    for shard in shards(batches, conversations):
         nodes, parents, sums = [], [], []
         for node, _, parent, _, ends, _, _ in shard.nodes():
             total = [0, 0, 0]
@@ -193,11 +194,11 @@ def _sharded(paths: DataFrame) -> DataFrame:
     return paths.repartitionByRange("conv_id").sortWithinPartitions("conv_id", "pos")
 
 
-def prefix_trie(paths: DataFrame) -> DataFrame:
+def prefix_trie(paths: DataFrame, conversations: int = SHARD_CONVERSATIONS) -> DataFrame:
     """One row per node of the trie of ``paths`` (``conv_id, pos, code, words``), as the module describes."""
     zero = F.lit(0).cast("long")
     paths = materialize(paths.withColumns({"own": zero, "leaf": zero}), "paths")
-    partial = materialize(_sharded(paths).mapInArrow(_partial_nodes, _PARTIAL), "partial")
+    partial = materialize(_sharded(paths).mapInArrow(lambda b: _partial_nodes(b, conversations), _PARTIAL), "partial")
     merged = partial.groupBy("node").agg(
         F.first("depth").alias("depth"), F.first("parent").alias("parent"), F.min("conv_id").alias("conv_id"), F.sum("n_convs").alias("n_convs"),
         F.first("words").alias("words"), F.first("before").alias("before"),
@@ -209,7 +210,7 @@ def prefix_trie(paths: DataFrame) -> DataFrame:
     owned = nodes.groupBy("conv_id").agg(F.sum("words").alias("own"), F.max((F.col("n_children") == 0).cast("long")).alias("leaf"))
     owned = materialize(owned, "owned")
     weights = owned.select("conv_id", F.lit(-1).cast("long").alias("pos"), F.lit(None).cast("binary").alias("code"), zero.alias("words"), "own", "leaf")
-    sums = _sharded(paths.unionByName(weights)).mapInArrow(_subtree_sums, "node binary, all_words long, owned_words long, leaves long")
+    sums = _sharded(paths.unionByName(weights)).mapInArrow(lambda b: _subtree_sums(b, conversations), "node binary, all_words long, owned_words long, leaves long")
     sums = sums.groupBy("node").agg(F.sum("all_words").alias("all_words"), F.sum("owned_words").alias("owned_words"), F.sum("leaves").alias("n_leaves"))
     ended = partial.where("ends is not null").select("node", "conv_id", "ends").repartition("node").sortWithinPartitions("node", "conv_id")
     ends = ended.mapInArrow(_digests, "node binary, digest string")
@@ -225,9 +226,9 @@ def prefix_trie(paths: DataFrame) -> DataFrame:
     )
 
 
-def conversation_trie(turns: DataFrame, group: int = GROUP, heads: int = HEADS) -> DataFrame:
+def conversation_trie(turns: DataFrame, group: int = GROUP, heads: int = HEADS, conversations: int = SHARD_CONVERSATIONS) -> DataFrame:
     """The trie of the rebuilt conversations: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
-    return prefix_trie(rebuild(turns, group, heads))
+    return prefix_trie(rebuild(turns, group, heads), conversations)
 
 
 # CRC-32 bit by bit over the decimal digits; its last inversion turns the lowest bits around.
