@@ -12,7 +12,7 @@ from tidewatch.operators.timeline import find_hot_keys
 from tidewatch.plans import runs as R
 from tidewatch.plans.oracle import DAY, OFF, clip, r
 from tidewatch.plans.registry import query
-from tidewatch.session import new_path
+from tidewatch.session import materialize, new_path
 from tidewatch.settings import HOUR, MINUTE
 from tidewatch.sources import sinks
 from tidewatch.sources.access import access_events, lost_events, order_events, read_table, turn_events
@@ -586,6 +586,17 @@ def entity_population(spark, sf):
     return P.entity_population(access_events(spark, sf))
 
 
+@query("entity_population_sketch", f"""SELECT entity_type, count(DISTINCT us//{DAY})::BIGINT AS n_days, true AS within_error FROM access GROUP BY 1
+ UNION ALL SELECT 'all', count(DISTINCT us//{DAY}), true FROM access""")
+def entity_population_sketch(spark, sf):
+    """Stored daily sketches, united over all days, against the exact numbers."""
+    events = access_events(spark, sf)
+    stored = materialize(P.population_sketches(events), "sketches")
+    estimated = P.population_estimate(stored).withColumnRenamed("n_entities", "estimate")
+    near = F.abs(col("estimate") - col("n_entities")) <= P.SKETCH_ERROR * col("n_entities")
+    return estimated.join(P.entity_population(events), "entity_type").select("entity_type", "n_days", near.alias("within_error"))
+
+
 # === windows ===================================================================
 
 

@@ -1,25 +1,31 @@
 """Streaming forms of the operators.
 
 Aggregations carry a watermark in append mode, ``Settings.watermark`` unless one is
-given: later rows are dropped, and :func:`late_rows` reports how many.
+given: later rows are dropped, and :class:`LateRows` counts them.
+
+At the end of a finite source the watermark leaves the last windows and sessions
+open.  :func:`run_to_table` reads them from the query's state and adds them, with
+the ``..._open`` function that belongs to the operator.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tidewatch import constants as C
 from tidewatch.functions import scalars as S
 from tidewatch.operators import features, scoring, sequence
-from tidewatch.operators.profiles import ProfileModel
-from tidewatch.session import ROCKSDB, new_path
+from tidewatch.operators.profiles import SKETCH_LOG_K, ProfileModel
+from tidewatch.session import ROCKSDB, materialize, new_path
 from tidewatch.settings import Settings
 from tidewatch.streaming import state
 
 WATERMARK = Settings().watermark
+State = Callable[..., DataFrame]  # reads the state of a query that has ended
 
 
 # --- per-entity state ----------------------------------------------------------
@@ -41,30 +47,63 @@ def _points(rows: DataFrame) -> DataFrame:
     return rows.withColumns(points).drop("lat", "lon", "prev_lat", "prev_lon")
 
 
-def geo_velocity(stream: DataFrame) -> DataFrame:
-    """Speed since the entity's previous event; 0 for rows that arrive out of order."""
-    placed = _placed(stream).select("session_id", "entity_id", "event_us", "lat", "lon")
-    moved = features.travelled(_points(state.remember(placed, state.PreviousEvent)))
+def _watermarked(stream: DataFrame, idle: int | None, watermark: str) -> DataFrame:
+    """Timers need a watermark; without an idle time no row is ever late."""
+    return stream if idle is None else stream.withWatermark("event_time", watermark)
+
+
+def geo_velocity(stream: DataFrame, idle: int | None = None, watermark: str = WATERMARK) -> DataFrame:
+    """Speed since the entity's previous event; 0 for rows that arrive out of order.
+
+    With ``idle`` (microseconds) an entity is forgotten after such a pause.
+    """
+    placed = _placed(_watermarked(stream, idle, watermark)).select("session_id", "entity_id", "event_time", "event_us", "lat", "lon")
+    moved = features.travelled(_points(state.remember(placed, state.PreviousEvent, idle)))
     return moved.select("session_id", "entity_id", S.round_to(F.col("kmh"), 2).alias("geo_velocity_kmh"))
 
 
-def recent_resources(stream: DataFrame) -> DataFrame:
-    wanted = stream.select("session_id", "entity_id", "entity_type", "event_us", "resource_accessed")
-    return state.remember(wanted, state.RecentResources)
+def recent_resources(stream: DataFrame, idle: int | None = None, watermark: str = WATERMARK) -> DataFrame:
+    wanted = _watermarked(stream, idle, watermark).select("session_id", "entity_id", "entity_type", "event_time", "event_us", "resource_accessed")
+    return state.remember(wanted, state.RecentResources, idle)
 
 
-def low_slow_7d(stream: DataFrame, rates: DataFrame, s: Settings = Settings()) -> DataFrame:
-    wanted = stream.select("session_id", "entity_id", "event_us", "hour", features.off_hours().alias("off_hours"))
-    counted = state.remember(wanted, state.OffHoursCount)
+def low_slow_7d(
+    stream: DataFrame, rates: DataFrame, s: Settings = Settings(), idle: int | None = None, watermark: str = WATERMARK
+) -> DataFrame:
+    """Off-hours events of the last seven days; ``idle`` of seven days or more changes no row."""
+    marked = _watermarked(stream, idle, watermark)
+    wanted = marked.select("session_id", "entity_id", "event_time", "event_us", "hour", features.off_hours().alias("off_hours"))
+    counted = state.remember(wanted, state.OffHoursCount, idle)
     rated = counted.join(rates, "entity_id", "left")
     score = features.low_slow_score(F.col("off_hours_n"), F.col("off_hours_rate"), s)
     return rated.select("session_id", "entity_id", "off_hours_n", S.round4(score).alias("low_slow_score"))
 
 
-def entity_memory(stream: DataFrame) -> DataFrame:
+def entity_memory(stream: DataFrame, idle: int | None = None, watermark: str = WATERMARK) -> DataFrame:
     """Every event with all that is remembered of its entity, in one stateful step."""
-    wanted = _placed(stream).withColumn("off_hours", features.off_hours())
-    return state.remember(wanted, state.EntityMemory)
+    wanted = _placed(_watermarked(stream, idle, watermark)).withColumn("off_hours", features.off_hours())
+    return state.remember(wanted, state.EntityMemory, idle)
+
+
+def failed_auth_5min(stream: DataFrame, window: int = Settings().fail_window, watermark: str = WATERMARK) -> DataFrame:
+    """Every failure with the entity's failures within ``window`` before and after it, once no more can come."""
+    failures = stream.filter(features.failed()).withWatermark("event_time", watermark)
+    wanted = failures.select("entity_id", "session_id", "event_time", "event_us")
+    processor = state.FailureNeighbours(wanted, window)
+    counted = wanted.groupBy("entity_id").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=processor.OUTPUT, outputMode="Append", timeMode="EventTime"
+    )
+    return counted.withColumnRenamed("fails", "failed_auth_count_5min")
+
+
+def failed_auth_5min_open(read: State, window: int = Settings().fail_window) -> DataFrame:
+    """The failures still waiting, counted with the batch operator over all times that are kept."""
+    kept = read("buckets").select(F.col("key.entity_id").alias("entity_id"), "user_map_value.*")
+    rows = kept.select("entity_id", "emitted", F.explode(F.arrays_zip("us", "ids")).alias("f")).select(
+        "entity_id", "emitted", F.col("f.ids").alias("session_id"), F.col("f.us").alias("event_us"), F.lit("fail").alias("auth_result")
+    )
+    counted = features.failed_auth_counts(rows, window).filter("not emitted")
+    return counted.select("entity_id", "session_id", "event_us", "failed_auth_count_5min")
 
 
 # --- windowed aggregations -----------------------------------------------------
@@ -81,6 +120,10 @@ def failed_auth(stream: DataFrame, width: str = "10 minutes", slide: str = "5 mi
     )
 
 
+def failed_auth_open(read: State) -> DataFrame:
+    return read().select(F.unix_micros("key.window.start").alias("start_us"), "key.entity_id", F.col("value.count").alias("n_fails"))
+
+
 def ip_concurrency(stream: DataFrame, width: str = "10 minutes", slide: str = "5 minutes", watermark: str = WATERMARK) -> DataFrame:
     """Distinct entities per address in sliding windows.
 
@@ -99,6 +142,37 @@ def ip_concurrency(stream: DataFrame, width: str = "10 minutes", slide: str = "5
     )
 
 
+def ip_concurrency_open(read: State) -> DataFrame:
+    """A window is open in the first aggregation or, with its entities counted, in the second."""
+    window = ["key.window", "key.source_ip"]
+    entities = read(lambda key: "entity_id" in key).groupBy(*window).agg(F.count(F.lit(1)).alias("n_entities"), F.sum("value.count").alias("n_events"))
+    counted = read(lambda key: "entity_id" not in key).select(*window, F.col("value.count").alias("n_entities"), F.col("value.sum").alias("n_events"))
+    both = entities.unionByName(counted).groupBy("window", "source_ip").agg(F.sum("n_entities").alias("n_entities"), F.sum("n_events").alias("n_events"))
+    return both.select(F.unix_micros("window.start").alias("start_us"), "source_ip", "n_entities", "n_events")
+
+
+def ip_concurrency_sketch(
+    stream: DataFrame, width: str = "10 minutes", slide: str = "5 minutes", watermark: str = WATERMARK, log_k: int = SKETCH_LOG_K
+) -> DataFrame:
+    """The same with a mergeable sketch of the entities: bounded state per window and address.
+
+    The sketch's relative standard error is 1.04 / sqrt(2^log_k), 1.6 % at 12; small
+    numbers are counted nearly exactly.
+    """
+    return (
+        stream.withWatermark("event_time", watermark)
+        .groupBy(F.window("event_time", width, slide), "source_ip")
+        .agg(F.hll_sketch_agg("entity_id", log_k).alias("entities"), F.count(F.lit(1)).alias("n_events"))
+        .select(F.unix_micros("window.start").alias("start_us"), "source_ip", "entities", "n_events")
+    )
+
+
+def ip_concurrency_sketch_open(read: State) -> DataFrame:
+    return read().select(
+        F.unix_micros("key.window.start").alias("start_us"), "key.source_ip", F.col("value.buf").alias("entities"), F.col("value.count").alias("n_events")
+    )
+
+
 def sessions(stream: DataFrame, gap: str = "6 hours", watermark: str = WATERMARK) -> DataFrame:
     """Runs of an entity's events without a pause longer than ``gap``."""
     return (
@@ -109,6 +183,10 @@ def sessions(stream: DataFrame, gap: str = "6 hours", watermark: str = WATERMARK
     )
 
 
+def sessions_open(read: State) -> DataFrame:
+    return read().select(F.unix_micros("value.session_window.start").alias("start_us"), "key.entity_id", F.col("value.count").alias("n_events"))
+
+
 # --- scoring against fitted tables ---------------------------------------------
 
 
@@ -151,8 +229,31 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def run_to_table(stream: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
-    """Process what is there, append it to a table in the shared folder and read that."""
+def _state_reader(spark: SparkSession, checkpoint: str) -> State:
+    """Reads the state that a query has left: by the names of its key's fields, or by state variable."""
+
+    def read(which: Callable[[list[str]], bool] | str | None = None) -> DataFrame:
+        source = spark.read.format("statestore")
+        if isinstance(which, str):
+            return source.option("stateVarName", which).load(checkpoint)
+        operators = spark.read.format("state-metadata").load(checkpoint).select("operatorId").distinct()
+        for row in sorted(operators.collect()):  # one row for each stateful operator of the plan
+            table = source.option("operatorId", row.operatorId).load(checkpoint)
+            if which is None or which(table.schema["key"].dataType.names):
+                return table
+        raise ValueError("the query has no such state")
+
+    return read
+
+
+def run_to_table(
+    stream: DataFrame, name: str, options: dict[str, str] | None = None, still_open: Callable[[State], DataFrame] | None = None
+) -> DataFrame:
+    """Process what is there, append it to a table in the shared folder and read that.
+
+    ``still_open`` turns the state that is left at the end of a finite source into the
+    rows it would still give; they are added. A query that goes on later emits them itself.
+    """
     spark = stream.sparkSession
     prepare(spark)
     path, checkpoint = new_path(spark, name), new_path(spark, f"{name}-checkpoint")
@@ -164,7 +265,11 @@ def run_to_table(stream: DataFrame, name: str, options: dict[str, str] | None =
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    emitted = spark.read.schema(stream.schema).parquet(path)
+    if still_open is None or query.lastProgress is None:  # an empty source runs no batch and has no state
+        return emitted
+    rest = still_open(_state_reader(spark, checkpoint)).select(*stream.columns)
+    return emitted.unionByName(materialize(rest, f"{name}-open"))
 
 
 def run_batches(stream: DataFrame, name: str, on_batch: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
@@ -196,13 +301,39 @@ def run_batches(stream: DataFrame, name: str, on_batch: Callable[[DataFrame], Da
     return spark.read.schema(schema).option("basePath", path).parquet(path)
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows the query has dropped because they came after the watermark."""
-    return sum(
-        op.get("numRowsDroppedByWatermark", 0)
-        for progress in query.recentProgress
-        for op in progress.get("stateOperators", [])
-    )
+class LateRows(StreamingQueryListener):
+    """Counts the rows that queries drop because they come after the watermark.
+
+    Register it with ``spark.streams.addListener`` before a query starts. It sees
+    every progress report, however many there are.
+    """
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = {}
+        self.ended: dict[str, threading.Event] = {}
+
+    def _end(self, run: str) -> threading.Event:
+        return self.ended.setdefault(run, threading.Event())
+
+    def onQueryStarted(self, event) -> None:
+        self._end(str(event.runId))
+
+    def onQueryProgress(self, event) -> None:
+        late = sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+        run = str(event.progress.runId)
+        self.dropped[run] = self.dropped.get(run, 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._end(str(event.runId)).set()
+
+    def of(self, query: StreamingQuery, seconds: float = 30) -> int:
+        """Late rows of a query that has ended; reports come in order, the end after all progress."""
+        if not self._end(str(query.runId)).wait(seconds):
+            raise TimeoutError("the query's last report has not come")
+        return self.dropped.get(str(query.runId), 0)
 
 
 def alerts_of(scored: DataFrame) -> DataFrame:

@@ -3,12 +3,17 @@
 The processors only remember and emit earlier values; every score is then
 computed from them with the same column expressions as in batch.  Rows of one
 micro-batch are handled in time order per entity.
+
+With ``idle_us`` an entity without events for longer than that starts anew: what it
+remembers from before such a pause does not count, and an
+event-time timer clears its state once the watermark has passed that time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -27,23 +32,59 @@ class Memory(StatefulProcessor):
     ADDED: str
     _kept: list[str]
 
-    def __init__(self, stream: DataFrame) -> None:
+    def __init__(self, stream: DataFrame, idle_us: int | None = None) -> None:
         """The stream's own columns are passed through."""
         kept = [f for f in stream.schema.fields if f.name != "entity_id"]
         key = stream.schema["entity_id"].dataType.simpleString()
         self._kept = [f.name for f in kept]
+        self.idle_us = idle_us
         own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
         self.OUTPUT = f"entity_id {key}, {own}, {self.ADDED}"
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        if self.idle_us is not None:
+            self.seen = handle.getValueState("seen", "us bigint")
+        self.open(handle)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _in_order(rows)
         out = batch[self._kept].reset_index(drop=True)
         out.insert(0, "entity_id", key[0])
-        for name, values in self.look_back(batch).items():
+        for name, values in self.look_back(batch, self._paused(batch)).items():
             out[name] = values
         yield out
 
-    def look_back(self, batch: pd.DataFrame) -> dict[str, object]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # A timer of an earlier event does nothing if the entity has been seen since.
+        if self.seen.exists() and self._expiry(self.seen.get()[0]) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.seen.clear()
+            self.forget()
+        yield pd.DataFrame()
+
+    def _expiry(self, us: int) -> int:
+        return (us + self.idle_us) // 1000 + 1
+
+    def _paused(self, batch: pd.DataFrame) -> np.ndarray:
+        """Whether a row comes after a pause of its entity; notes when the entity was seen."""
+        times = batch["event_us"].to_numpy(np.int64)
+        if self.idle_us is None:
+            return np.zeros(len(times), bool)
+        before = self.seen.get()[0] if self.seen.exists() else None
+        latest = int(times[-1])
+        # Rows out of order do not bring the last time back.
+        if before is None or latest > before:
+            self.seen.update((latest,))
+            self.handle.registerTimer(self._expiry(latest))
+        return np.diff(times, prepend=times[0] if before is None else before) > self.idle_us
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        raise NotImplementedError
+
+    def look_back(self, batch: pd.DataFrame, paused: np.ndarray) -> dict[str, object]:
+        raise NotImplementedError
+
+    def forget(self) -> None:
         raise NotImplementedError
 
     def close(self) -> None:
@@ -55,20 +96,26 @@ class PreviousEvent(Memory):
 
     ADDED = "prev_us bigint, prev_lat double, prev_lon double"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "us bigint, lat double, lon double")
 
-    def look_back(self, batch):
+    def forget(self):
+        self.last.clear()
+
+    def look_back(self, batch, paused):
         seen = self.last.get() if self.last.exists() else (None, None, None)
         times = [seen[0], *batch["event_us"].tolist()]
         lats, lons = ([seen[i], *batch[c].tolist()] for i, c in ((1, "lat"), (2, "lon")))
         known = [None if v is None or pd.isna(v) else float(v) for v in (lats[-1], lons[-1])]
         self.last.update((int(times[-1]), *known))
-        return {
+        out = {
             "prev_us": pd.array(times[:-1], dtype="Int64"),
             "prev_lat": pd.array(lats[:-1], dtype="Float64"),
             "prev_lon": pd.array(lons[:-1], dtype="Float64"),
         }
+        for values in out.values():
+            values[paused] = pd.NA
+        return out
 
 
 class RecentResources(Memory):
@@ -76,15 +123,21 @@ class RecentResources(Memory):
 
     ADDED = "recent array<string>"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.recent = handle.getListState("recent", "resource string")
 
-    def look_back(self, batch):
+    def forget(self):
+        self.recent.clear()
+
+    def look_back(self, batch, paused):
         before = [row[0] for row in self.recent.get()]
         path = before + batch["resource_accessed"].tolist()
-        self.recent.put([(resource,) for resource in path[-SEQUENCE_LENGTH:]])
-        ends = range(len(before) + 1, len(path) + 1)
-        return {"recent": [path[max(0, end - SEQUENCE_LENGTH) : end] for end in ends]}
+        ends = np.arange(len(before) + 1, len(path) + 1)
+        # A path begins at the last pause, if there was one.
+        starts = np.maximum.accumulate(np.where(paused, ends - 1, 0))
+        starts = np.maximum(starts, ends - SEQUENCE_LENGTH)
+        self.recent.put([(resource,) for resource in path[starts[-1] :]])
+        return {"recent": [path[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]}
 
 
 class OffHoursCount(Memory):
@@ -96,11 +149,15 @@ class OffHoursCount(Memory):
 
     ADDED = "off_hours_n bigint"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.span = handle.getValueState("span", "n bigint, oldest bigint")
         self.times = handle.getMapState("times", "hour bigint", "us array<bigint>")
 
-    def look_back(self, batch):
+    def forget(self):
+        self.span.clear()
+        self.times.clear()
+
+    def look_back(self, batch, paused):
         n, oldest = self.span.get() if self.span.exists() else (0, None)
         open_hours: dict[int, list[int]] = {}
 
@@ -145,23 +202,86 @@ class EntityMemory(Memory):
     PARTS = (PreviousEvent, RecentResources, OffHoursCount)
     ADDED = ", ".join(part.ADDED for part in PARTS)
 
-    def __init__(self, stream: DataFrame) -> None:
-        super().__init__(stream)
+    def __init__(self, stream: DataFrame, idle_us: int | None = None) -> None:
+        super().__init__(stream, idle_us)
         self.parts = [part(stream) for part in self.PARTS]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        for part in self.parts:
+            part.open(handle)
+
+    def forget(self):
         for part in self.parts:
-            part.init(handle)
+            part.forget()
 
-    def look_back(self, batch):
+    def look_back(self, batch, paused):
         found = {}
         for part in self.parts:
-            found |= part.look_back(batch)
+            found |= part.look_back(batch, paused)
         return found
 
 
-def remember(stream: DataFrame, kind: type[Memory]) -> DataFrame:
-    processor = kind(stream)
+def remember(stream: DataFrame, kind: type[Memory], idle: int | None = None) -> DataFrame:
+    """``idle`` (microseconds) needs a stream with a watermark; without it state is kept for good."""
+    if idle is not None and kind in (OffHoursCount, EntityMemory) and idle < LOW_SLOW_DAYS * DAY:
+        raise ValueError("off-hours events count for seven days, so state has to be kept as long")
+    processor = kind(stream, idle)
     return stream.groupBy("entity_id").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=processor.OUTPUT, outputMode="Append", timeMode="None"
+        statefulProcessor=processor, outputStructType=processor.OUTPUT, outputMode="Append", timeMode="None" if idle is None else "EventTime"
     )
+
+
+class FailureNeighbours(StatefulProcessor):
+    """Emits each failure with the number of the entity's failures within ``width`` of it, before and after.
+
+    Times are kept in buckets of the width. Once the watermark has passed the bucket
+    after a failure's own, no neighbour can come any more: an event-time timer then
+    emits the bucket, and one width later, when the next bucket does not need it
+    either, it is dropped. So an entity keeps a few buckets, and none when idle.
+    """
+
+    def __init__(self, stream: DataFrame, width: int) -> None:
+        if width % 1000:
+            raise ValueError("timers need a width in whole milliseconds")
+        self.width = width
+        self.kinds = {c: stream.schema[c].dataType.simpleString() for c in ("entity_id", "session_id")}
+        self.OUTPUT = ", ".join(f"{c} {kind}" for c, kind in self.kinds.items()) + ", event_us bigint, fails bigint"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.buckets = handle.getMapState("buckets", "bucket bigint", f"us array<bigint>, ids array<{self.kinds['session_id']}>, emitted boolean")
+
+    def _times(self, bucket: int) -> list[int]:
+        return list(self.buckets.getValue((bucket,))[0]) if self.buckets.containsKey((bucket,)) else []
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            times = part["event_us"].to_numpy(np.int64)
+            for bucket, at in part.groupby(times // self.width).indices.items():
+                bucket = int(bucket)
+                us, ids = times[at].tolist(), part["session_id"].iloc[at].tolist()
+                if self.buckets.containsKey((bucket,)):
+                    held = self.buckets.getValue((bucket,))
+                    us, ids = [*held[0], *us], [*held[1], *ids]
+                else:
+                    for after in (2, 3):  # emitted, then dropped
+                        self.handle.registerTimer((bucket + after) * self.width // 1000 + 1)
+                self.buckets.updateValue((bucket,), (us, ids, False))
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        edge = (expiredTimerInfo.getExpiryTimeInMs() - 1) * 1000 // self.width
+        out = pd.DataFrame()
+        if self.buckets.containsKey((edge - 2,)):
+            us, ids, _ = self.buckets.getValue((edge - 2,))
+            us = np.array(list(us), np.int64)
+            near = np.sort(np.concatenate([self._times(edge - 3), us, self._times(edge - 1)]).astype(np.int64))
+            fails = np.searchsorted(near, us + self.width, "right") - np.searchsorted(near, us - self.width, "left")
+            out = pd.DataFrame({"entity_id": key[0], "session_id": list(ids), "event_us": us, "fails": fails})
+            self.buckets.updateValue((edge - 2,), (us.tolist(), list(ids), True))
+        if self.buckets.containsKey((edge - 3,)):
+            self.buckets.removeKey((edge - 3,))
+        yield out
+
+    def close(self) -> None:
+        pass
