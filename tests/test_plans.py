@@ -3,11 +3,12 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.operators import alerts as A, features as X, profiles as P
 from tidewatch.plans import runs as R
 from tidewatch.plans.detection import score_events
-from tidewatch.settings import HOUR, MINUTE
+from tidewatch.settings import DAY, HOUR, MINUTE
 from tidewatch.sources.access import access_events
 
 
@@ -79,3 +80,37 @@ def test_alert_filter_reaches_the_scan(spark, sf):
     d = R.detection(spark, sf)
     text = plan(A.alert_filter(d.scored, A.AlertFilter(attack_type="brute_force")).select("session_id"))
     assert "EqualTo(predicted_type,brute_force)" in text
+
+
+def test_daily_refit_reads_only_its_days(spark, sf, tmp_path):
+    events = access_events(spark, sf)
+    P.write_daily(events, str(tmp_path))
+    daily = P.read_daily(spark, str(tmp_path))
+    first, last = daily.moments.agg({"day": "min"}).first()[0], daily.moments.agg({"day": "max"}).first()[0]
+    part = daily.window(last, 14)
+    for table in (part.moments, part.values):
+        text = plan(table)
+        assert re.search(r"PartitionFilters: \[[^\]]*day", text) and "events.parquet" not in text
+        files = table.inputFiles()
+        days = {int(re.search(r"day=(\d+)", f)[1]) for f in files}
+        assert first < min(days) and days == set(range(last - 14, last))
+
+
+def test_daily_tables_add_up_to_the_profiles_of_their_events(spark, sf, tmp_path):
+    events = access_events(spark, sf)
+    P.write_daily(events, str(tmp_path))
+    P.write_daily(events, str(tmp_path))  # a day that is written again replaces itself
+    daily = P.read_daily(spark, str(tmp_path))
+    last = daily.moments.agg({"day": "max"}).first()[0] - 2
+    whole = P.fit_rolling(events, F.lit(last * DAY))
+    refit = P.fit_daily(daily, last)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(refit.entity_values) == rows(whole.entity_values) and rows(refit.type_values) == rows(whole.type_values)
+    for table in ("entities", "types"):
+        a, b = (
+            rows(getattr(m, table).select(*[F.round(c, 6) if c.endswith("_std") else c for c in P.PROFILE_FIELDS], "first_us", "last_us"))
+            for m in (refit, whole)
+        )
+        assert a == b
+    model = P.fit_profiles(P.label_filter(events.filter(F.col("event_us") < 20 * DAY + daily.moments.agg({"day": "min"}).first()[0] * DAY)))
+    assert rows(P.drift_daily(daily, model, last)) == rows(P.drift_flags(events, model, F.lit(last * DAY)))

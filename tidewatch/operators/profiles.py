@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidewatch import constants as C
 from tidewatch.functions import scalars as S
@@ -57,14 +57,19 @@ def rolling_window(events: DataFrame, reference_us: Column, days: int = 14) -> D
 # --- numeric profiles ----------------------------------------------------------
 
 
-def _moments(events: DataFrame) -> DataFrame:
+def _moments(events: DataFrame, *by: str) -> DataFrame:
+    """Mergeable counts and sums per entity, its type and whatever else ``by`` names.
+
+    Durations are added up as decimals, to the microsecond: the sum is exact, so a
+    mean does not depend on how rows were dealt to tasks or to partial tables.
+    """
     hour, duration = F.col("hour").cast("long"), F.col("session_duration").cast("double")
-    return events.groupBy("entity_id", "entity_type").agg(
+    return events.groupBy(*by, "entity_id", "entity_type").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(hour).alias("sum_h"),
         F.sum(hour * hour).alias("sum_h2"),
         F.count(duration).alias("n_d"),
-        F.avg(duration).alias("mean_d"),
+        F.sum(duration.try_cast("decimal(18,6)")).alias("sum_d"),
         F.var_pop(duration).alias("var_d"),
         F.min("event_us").alias("first_us"),
         F.max("event_us").alias("last_us"),
@@ -73,17 +78,17 @@ def _moments(events: DataFrame) -> DataFrame:
 
 def _merge(moments: DataFrame, key: str, kept: list[Column]) -> DataFrame:
     """Combine moments of disjoint groups, then derive the profile numbers."""
-    n, mean, var = F.col("n_d"), F.col("mean_d"), F.col("var_d")
+    n, var = F.col("n_d"), F.col("var_d")
+    mean = F.try_divide(F.col("sum_d").cast("double"), n)
     merged = moments.groupBy(key).agg(
         F.sum("n").alias("n_observed_events"),
         F.sum("sum_h").alias("sum_h"),
         F.sum("sum_h2").alias("sum_h2"),
         F.sum(n).alias("n_d"),
-        F.try_divide(F.sum(n * mean), F.sum(n)).alias("mean_d"),
+        F.sum("sum_d").alias("sum_d"),
         F.sum(n * var).alias("within"),
         F.sum(n * mean * mean).alias("raw"),
         F.count(F.lit(1)).alias("parts"),
-        F.max("mean_d").alias("only_mean"),
         F.min("first_us").alias("first_us"),
         F.max("last_us").alias("last_us"),
         *kept,
@@ -91,10 +96,9 @@ def _merge(moments: DataFrame, key: str, kept: list[Column]) -> DataFrame:
     total = F.col("n_observed_events")
     mean_h = F.col("sum_h") / total
     std_h = F.sqrt(F.greatest(F.lit(0.0), F.col("sum_h2") / total - mean_h * mean_h))
-    single = F.col("parts") == 1
-    mean_d = F.when(single, F.col("only_mean")).otherwise(F.col("mean_d"))
-    between = F.greatest(F.lit(0.0), F.col("raw") - F.col("n_d") * F.col("mean_d") * F.col("mean_d"))
-    squares = F.col("within") + F.when(single, 0.0).otherwise(between)
+    mean_d = F.try_divide(F.col("sum_d").cast("double"), F.col("n_d"))
+    between = F.greatest(F.lit(0.0), F.col("raw") - F.col("n_d") * mean_d * mean_d)
+    squares = F.col("within") + F.when(F.col("parts") == 1, 0.0).otherwise(between)
     std_d = F.sqrt(F.try_divide(squares, F.col("n_d") - 1))
     one = F.lit(1.0)
     return merged.select(
@@ -139,11 +143,11 @@ def hour_histogram(events: DataFrame) -> DataFrame:
 # --- value profiles ------------------------------------------------------------
 
 
-def profile_values(events: DataFrame) -> DataFrame:
+def profile_values(events: DataFrame, *by: str) -> DataFrame:
     """Counts of every resource, auth method, place, address prefix and device.
 
     One pass: the five attributes are unpivoted and counted with map-side
-    combining.  ``entity_id, entity_type, attr, value, n, first_us``.
+    combining.  ``entity_id, entity_type, attr, value, n, first_us``, and ``by``.
     """
     columns = {
         attr: F.col(name) if name else S.ip_prefix(F.col("source_ip"))
@@ -153,9 +157,9 @@ def profile_values(events: DataFrame) -> DataFrame:
         *[F.struct(F.lit(a).alias("attr"), c.cast("string").alias("value")) for a, c in columns.items()]
     )
     return (
-        events.select("entity_id", "entity_type", "event_us", F.explode(pairs).alias("p"))
+        events.select(*by, "entity_id", "entity_type", "event_us", F.explode(pairs).alias("p"))
         .filter(F.col("p.value").isNotNull())
-        .groupBy("entity_id", "entity_type", F.col("p.attr").alias("attr"), F.col("p.value").alias("value"))
+        .groupBy(*by, "entity_id", "entity_type", F.col("p.attr").alias("attr"), F.col("p.value").alias("value"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("event_us").alias("first_us"))
     )
 
@@ -322,6 +326,10 @@ def fit_profiles(normal_events: DataFrame) -> ProfileModel:
         lambda: materialize(profile_values(normal_events), "profile_values"),
         lambda: materialize(_moments(normal_events), "moments"),
     )
+    return _fit(values, moments)
+
+
+def _fit(values: DataFrame, moments: DataFrame) -> ProfileModel:
     entity_values, type_values = together(
         lambda: materialize(values_by(values, "entity_id"), "entity_values"),
         lambda: materialize(values_by(values, "entity_type"), "type_values"),
@@ -339,6 +347,53 @@ def fit_rolling(events: DataFrame, reference_us: Column, s: Settings = Settings(
     return fit_profiles(label_filter(rolling_window(events, reference_us, s.rolling_days)))
 
 
+@dataclass(frozen=True)
+class DailyTables:
+    """Stored partial profiles of normal events, one partition per day.
+
+    Each day's partition holds the day's moments and value counts per entity. They
+    add up, so any run of days gives its profile without its events, and a day is
+    written once: a refit every day reads ``rolling_days`` small partitions.
+    """
+
+    moments: DataFrame
+    values: DataFrame
+
+    def window(self, last_day: int, days: int) -> DailyTables:
+        """The ``days`` days before ``last_day`` (days since 1970)."""
+        wanted = (F.col("day") >= last_day - days) & (F.col("day") < last_day)
+        return DailyTables(self.moments.filter(wanted), self.values.filter(wanted))
+
+
+DAILY = ("moments", "values")
+
+
+def write_daily(events: DataFrame, path: str) -> None:
+    """Store the partial profiles of the events' days; days that are there already are replaced.
+
+    A day has to be given whole. Only normal events are counted.
+    """
+    dated = label_filter(events).withColumn("day", F.floor(F.col("event_us") / DAY).cast("int"))
+    tables = {"moments": _moments(dated, "day"), "values": profile_values(dated, "day")}
+
+    def write(name: str) -> None:
+        out = tables[name].hint("rebalance", "day").write.mode("overwrite")
+        out.option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{path}/{name}")
+
+    together(*[lambda name=name: write(name) for name in DAILY])
+
+
+def read_daily(spark: SparkSession, path: str) -> DailyTables:
+    return DailyTables(*[spark.read.parquet(f"{path}/{name}") for name in DAILY])
+
+
+def fit_daily(daily: DailyTables, last_day: int, s: Settings = Settings()) -> ProfileModel:
+    """Profiles of the ``rolling_days`` whole days before ``last_day``, from the stored tables alone."""
+    part = daily.window(last_day, s.rolling_days)
+    values = materialize(part.values.groupBy("entity_id", "entity_type", "attr", "value").agg(F.sum("n").alias("n"), F.min("first_us").alias("first_us")), "profile_values")
+    return _fit(values, part.moments)
+
+
 def load_model_tables(entities, types, entity_values, type_values) -> ProfileModel:
     """A model over stored tables; notes which attributes have large sets."""
 
@@ -442,9 +497,19 @@ def drift_flags(
     reference time.  Fewer than three give no drift.
     """
     recent_events = label_filter(rolling_window(all_events, reference_us, s.rolling_days))
-    recent = values_by(profile_values(recent_events), "entity_id")
-    profiled = model.entities.select("entity_id", F.col("primary_auth_method").alias("old_auth"))
     n_recent = recent_events.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_recent"))
+    return _drift(values_by(profile_values(recent_events), "entity_id"), n_recent, model)
+
+
+def drift_daily(daily: DailyTables, model: ProfileModel, last_day: int, s: Settings = Settings()) -> DataFrame:
+    """The same for the ``rolling_days`` whole days before ``last_day``, without their events."""
+    part = daily.window(last_day, s.rolling_days)
+    n_recent = part.moments.groupBy("entity_id").agg(F.sum("n").alias("n_recent"))
+    return _drift(values_by(part.values, "entity_id"), n_recent, model)
+
+
+def _drift(recent: DataFrame, n_recent: DataFrame, model: ProfileModel) -> DataFrame:
+    profiled = model.entities.select("entity_id", F.col("primary_auth_method").alias("old_auth"))
     fresh = (
         new_values(recent.filter(F.col("attr").isin("resource", "geo")), model.entity_values)
         .groupBy("entity_id")

@@ -71,9 +71,10 @@ def profile_blocks(p: str, source: str, days: int) -> None:
     b[f"{p}_train"] = f"SELECT * FROM {source} WHERE us < (SELECT c FROM {p}_cut)"
     b[f"{p}_test"] = f"SELECT * FROM {source} WHERE us >= (SELECT c FROM {p}_cut)"
     b[f"{p}_norm"] = f"SELECT * FROM {p}_train WHERE label='normal'"
+    # Durations are summed exactly: a mean of cents often lies on a rounding edge.
     numbers = """count(*)::BIGINT AS n, avg(hr) AS hour_mean,
   CASE WHEN count(*)>1 THEN greatest(1.0::DOUBLE, stddev_pop(hr)) ELSE 6.0 END::DOUBLE AS hour_std,
-  avg(dur) AS dur_mean,
+  sum(dur::DECIMAL(18,6))::DOUBLE/count(dur) AS dur_mean,
   CASE WHEN count(*)>1 THEN greatest(1.0::DOUBLE, stddev_samp(dur)) ELSE greatest(1.0::DOUBLE, avg(dur)*0.3) END::DOUBLE AS dur_std,
   min(us) AS first_us, max(us) AS last_us"""
     b[f"{p}_num_e"] = f"SELECT entity_id, min(entity_type) AS entity_type, {numbers} FROM {p}_norm GROUP BY entity_id"
@@ -351,9 +352,10 @@ UNION ALL SELECT 'slice_recall', CASE WHEN is_cold_start THEN 'cold_start' ELSE
 UNION ALL SELECT 'attack_distribution_'||side, value, n::DOUBLE FROM shares"""
 
 
-def drift_blocks(p: str, source: str, window_days: int) -> None:
+def drift_blocks(p: str, source: str, window_days: int, model: str | None = None, end: str | None = None) -> None:
+    """Drift of ``source`` against the profiles ``model``, in the days before ``end``."""
     b = BLOCKS
-    end = f"(SELECT max(us) FROM {p}_test)"
+    model, end = model or p, end or f"(SELECT max(us) FROM {p}_test)"
     b[f"{p}_recent"] = (
         f"SELECT * FROM {source} WHERE label='normal' AND us>={end}-{window_days}*{DAY} AND us<{end}"
     )
@@ -363,7 +365,7 @@ UNION ALL SELECT entity_id, 'geo', geo, count(*), min(us) FROM {p}_recent GROUP
 UNION ALL SELECT entity_id, 'auth', auth, count(*), min(us) FROM {p}_recent GROUP BY ALL"""
     b[f"{p}_new"] = f"""
 SELECT * FROM {p}_rvals r WHERE attr IN ('resource','geo') AND NOT EXISTS
-  (SELECT 1 FROM {p}_val_e v WHERE v.entity_id=r.entity_id AND v.attr=r.attr AND v.value=r.value)"""
+  (SELECT 1 FROM {model}_val_e v WHERE v.entity_id=r.entity_id AND v.attr=r.attr AND v.value=r.value)"""
     b[f"{p}_drift"] = f"""
 SELECT entity_id, n_recent, new_resources, new_geos,
   n_recent>=3 AND (new_resources/greatest(old_resources,1)::DOUBLE>0.3::DOUBLE OR new_geos>0 OR main IS DISTINCT FROM recent_main) AS is_drift_flagged FROM (
@@ -371,13 +373,15 @@ SELECT entity_id, n_recent, new_resources, new_geos,
     (SELECT count(*) FROM {p}_recent r WHERE r.entity_id=e.entity_id) AS n_recent,
     (SELECT count(*) FROM {p}_new w WHERE w.entity_id=e.entity_id AND attr='resource') AS new_resources,
     (SELECT count(*) FROM {p}_new w WHERE w.entity_id=e.entity_id AND attr='geo') AS new_geos,
-    (SELECT count(*) FROM {p}_val_e v WHERE v.entity_id=e.entity_id AND attr='resource') AS old_resources, recent_main
-  FROM {p}_auth_e e LEFT JOIN (SELECT entity_id, value AS recent_main FROM {p}_rvals WHERE attr='auth'
+    (SELECT count(*) FROM {model}_val_e v WHERE v.entity_id=e.entity_id AND attr='resource') AS old_resources, recent_main
+  FROM {model}_auth_e e LEFT JOIN (SELECT entity_id, value AS recent_main FROM {p}_rvals WHERE attr='auth'
     QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY n DESC, first_us, value)=1) USING (entity_id))"""
 
 
 drift_blocks("a", "access", 14)
 drift_blocks("o", "purchase", 2000)
+# Whole days: the window ends at the last midnight.
+drift_blocks("d", "access", 14, "a", f"(SELECT max(us)//{DAY}*{DAY} FROM access)")
 
 BLOCKS["all_moved"] = travel("access")
 BLOCKS["doc_auc"] = pr_block("doc_hist")

@@ -923,6 +923,33 @@ def fit_rolling(spark, sf):
     return _numbers(model.entities, "entity_id").drop("hour_std", "duration_std")
 
 
+def _daily(spark, sf):
+    """Stored daily tables of the log, and its last day."""
+    def make():
+        path = new_path(spark, "daily")
+        P.write_daily(access_events(spark, sf), path)
+        return path
+
+    last = access_events(spark, sf).agg(F.floor(F.max("event_us") / DAY)).first()[0]
+    return P.read_daily(spark, R.kept(spark, sf, "daily", make)), last
+
+
+@query("drift_daily", _DRIFT.format(p="d"))
+def drift_daily(spark, sf):
+    daily, last = _daily(spark, sf)
+    return P.drift_daily(daily, R.access_model(spark, sf)[0], last, R.ACCESS)
+
+
+@query("fit_daily", f"""SELECT entity_id, count(*)::BIGINT AS n_observed_events, {r('avg(hr)')} AS hour_mean, {r('sum(dur::DECIMAL(18,6))::DOUBLE', 2)} AS duration_total,
+ {r('CASE WHEN count(*)>1 THEN greatest(1.0::DOUBLE, stddev_pop(hr)) ELSE 6.0 END::DOUBLE')} AS hour_std,
+ {r('CASE WHEN count(*)>1 THEN greatest(1.0::DOUBLE, stddev_samp(dur)) ELSE greatest(1.0::DOUBLE, avg(dur)*0.3) END::DOUBLE')} AS duration_std,
+ min(us) AS first_us, max(us) AS last_us FROM d_recent GROUP BY entity_id""")
+def fit_daily(spark, sf):
+    """A refit of 14 whole days from their stored tables."""
+    daily, last = _daily(spark, sf)
+    return _numbers(P.fit_daily(daily, last, R.ACCESS).entities, "entity_id")
+
+
 # === learning, evaluation ======================================================
 
 
