@@ -409,3 +409,27 @@ def test_missing_values_do_not_become_extremes(spark):
     train = events(spark, *history(3), (T0 + DAY, {"session_duration": None}))
     row = P.entity_numeric(train).first()
     assert (row.n_observed_events, row.session_duration_mean, row.session_duration_std) == (4, 100.0, 1.0)
+
+
+def test_forest_without_small_splits(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = spark.range(200).select(F.rand(1).alias("a"), F.rand(2).alias("b")).withColumn("target", (F.col("a") + F.col("b") > 1).cast("double"))
+    rows = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows)
+    forest = RandomForestClassifier(labelCol="target", numTrees=4, maxDepth=6, seed=3).fit(rows)
+    assert K.cut_back(forest, 2) is forest
+    sizes = [sum(t.numNodes for t in K.cut_back(forest, n).trees) for n in (3, 8, 40, 10**6)]
+    assert sum(t.numNodes for t in forest.trees) > sizes[0] > sizes[1] > sizes[2] > sizes[3] == 4
+    # Rows whose path has no small node get the same answer as before.
+    deep, cut = (m.transform(rows).select("a", "prediction").collect() for m in (forest, K.cut_back(forest, 8)))
+    assert sum(x.prediction == y.prediction for x, y in zip(sorted(deep), sorted(cut), strict=True)) >= 190
+
+
+def test_deep_pages_keep_the_order(spark):
+    rows = [(k, round((k * 7 % 10) / 10, 4)) for k in range(103)]
+    table = spark.createDataFrame(rows, "session_id long, risk_score double")
+    want = sorted(rows, key=lambda r: (-r[1], r[0]))
+    for page in range(1, 17):
+        got = [(r.session_id, r.risk_score) for r in A.alerts_page(table, table, page=page, limit=7).collect()]
+        assert got == want[7 * (page - 1) : 7 * page]

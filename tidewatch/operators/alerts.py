@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch import constants as C
 from tidewatch.functions import scalars as S
@@ -75,14 +75,37 @@ def page_of(df: DataFrame, order: list[Column], page: int, limit: int) -> DataFr
     return df.orderBy(*order).offset((page - 1) * limit).limit(limit)
 
 
+def scores_of_page(matching: DataFrame, page: int, limit: int) -> tuple[float, float, int, int] | None:
+    """Highest and lowest risk on a page, how many rows are above the highest, and how many match at all.
+
+    From the histogram of the risk, which has at most 10,001 values however many rows match.
+    """
+    skip = (page - 1) * limit
+    bins = matching.groupBy("risk_score").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.orderBy(F.desc("risk_score")))
+    above = F.col("upto") - F.col("n")
+    hit = (F.col("upto") > skip) & (above < skip + limit)
+    score = F.when(hit, F.col("risk_score"))
+    high, low, before, total = bins.withColumn("upto", upto).agg(F.max(score), F.min(score), F.min(F.when(hit, above)), F.sum("n")).first()
+    return None if high is None else (high, low, before, total)
+
+
 def alerts_page(
     alerts: DataFrame, scored: DataFrame, f: AlertFilter = AlertFilter(), page: int = 1, limit: int = 20
 ) -> DataFrame:
-    """One page of the queue, each row with the number of matching alerts."""
+    """One page of the queue, each row with the number of matching alerts.
+
+    The page's scores are looked up first; only rows with those scores are put in
+    order, so a deep page costs no more than the first one.
+    """
     matching = alert_filter(alerts, f, scored)
-    total = matching.agg(F.count(F.lit(1))).scalar()
-    rows = page_of(matching, [F.desc("risk_score"), F.col("session_id")], page, limit)
-    return rows.withColumn("total", total)
+    found = scores_of_page(matching, page, limit)
+    if found is None:
+        return matching.limit(0).withColumn("total", F.lit(0).cast("long"))
+    high, low, above, total = found
+    near = matching.filter(F.col("risk_score").between(low, high))
+    rows = near.orderBy(F.desc("risk_score"), "session_id").offset((page - 1) * limit - above).limit(limit)
+    return rows.withColumn("total", F.lit(total).cast("long"))
 
 
 def export_alerts(alerts: DataFrame, scored: DataFrame, f: AlertFilter = AlertFilter()) -> DataFrame:

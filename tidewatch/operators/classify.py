@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from tidewatch import constants as C
 from tidewatch.functions import scalars as S
 from tidewatch.operators.scoring import flag_gate
+from tidewatch.session import new_path
 
 LABELS = sorted(C.ATTACK_LABELS)
+LABELS_WITH_NORMAL = [*LABELS, C.NORMAL]
+MIN_ROWS_TO_SPLIT = 5
 
 
 def rule_verdict() -> Column:
@@ -45,8 +48,8 @@ def rule_verdict() -> Column:
 
 
 def label_index(label: Column) -> Column:
-    """Position of an attack label in alphabetical order, from 0."""
-    return (F.array_position(F.array(*map(F.lit, LABELS)), label) - 1).cast("double")
+    """Position of an attack label in alphabetical order, from 0; normal comes last."""
+    return (F.array_position(F.array(*map(F.lit, LABELS_WITH_NORMAL)), label) - 1).cast("double")
 
 
 def class_weights(rows: DataFrame) -> DataFrame:
@@ -80,19 +83,64 @@ class Classifier:
         return cls(RandomForestClassificationModel.load(path))
 
 
-def fit_classifier(scored: DataFrame) -> Classifier | None:
-    """Train on the attacks among the rows; ``None`` with fewer than ten."""
+def fit_classifier(scored: DataFrame, with_normals: bool = False, min_rows_to_split: int = MIN_ROWS_TO_SPLIT) -> Classifier | None:
+    """Train on the attacks among the rows; ``None`` with fewer than ten.
+
+    By default the forest knows attacks only, so it names one for every event it is
+    asked about. ``with_normals`` trains it with the normal rows as well; it can then
+    answer that a flagged event is normal after all. Nodes with fewer than
+    ``min_rows_to_split`` training rows are leaves.
+    """
     attacks = scored.filter(F.col("label").isin(LABELS))
     if attacks.limit(C.MIN_TRAINING_ROWS).count() < C.MIN_TRAINING_ROWS:
         return None
-    weights = F.broadcast(class_weights(attacks))  # one row per label, at most seven
-    rows = feature_matrix(attacks).join(weights, "label").withColumn("target", label_index(F.col("label")))
+    known = scored.filter(F.col("label").isin(LABELS_WITH_NORMAL)) if with_normals else attacks
+    weights = F.broadcast(class_weights(known))  # one row per label, at most eight
+    rows = feature_matrix(known).join(weights, "label").withColumn("target", label_index(F.col("label")))
     rows = rows.repartition("session_id")
     forest = RandomForestClassifier(
         featuresCol="features", labelCol="target", weightCol="weight",
         numTrees=100, maxDepth=10, minInstancesPerNode=2, seed=42,
     )
-    return Classifier(forest.fit(rows.select("features", "target", "weight")))
+    return Classifier(cut_back(forest.fit(rows.select("features", "target", "weight")), min_rows_to_split))
+
+
+def cut_back(forest: RandomForestClassificationModel, min_rows: int) -> RandomForestClassificationModel:
+    """The forest as if nodes with fewer than ``min_rows`` training rows had not been split.
+
+    The trainer has no such limit of its own, but a node's split does not depend on
+    what happens below it, so dropping the subtrees afterwards gives the same trees.
+    The nodes are rewritten in the model's stored form; their number is bounded by
+    trees and depth, not by the data.
+    """
+    if min_rows <= 2:
+        return forest
+    spark = SparkSession.active()
+    path = new_path(spark, "forest")
+    forest.write().save(path)
+    stored = spark.read.parquet(f"{path}/data")
+    trees: dict[int, dict[int, dict]] = {}
+    for row in stored.collect():
+        trees.setdefault(row.treeID, {})[row.nodeData.id] = row.nodeData.asDict()
+    out = []
+    for tree, nodes in sorted(trees.items()):
+        # Children come after their parents, the left one first, as the loader expects.
+        kept, stack = [], [(0, None, None)]
+        while stack:
+            old, parent, side = stack.pop()
+            node = dict(nodes[old], id=len(kept))
+            if parent is not None:
+                kept[parent][side] = node["id"]
+            kept.append(node)
+            if node["leftChild"] < 0:
+                continue
+            if node["rawCount"] < min_rows:
+                node.update(leftChild=-1, rightChild=-1, gain=-1.0, split=(-1, [], -1))
+            else:
+                stack += [(node["rightChild"], node["id"], "rightChild"), (node["leftChild"], node["id"], "leftChild")]
+        out += [(tree, tuple(n[f.name] for f in stored.schema["nodeData"].dataType)) for n in kept]
+    spark.createDataFrame(out, stored.schema).write.mode("overwrite").parquet(f"{path}/data")
+    return RandomForestClassificationModel.load(path)
 
 
 def rf_predict(scored: DataFrame, classifier: Classifier) -> DataFrame:
@@ -100,7 +148,7 @@ def rf_predict(scored: DataFrame, classifier: Classifier) -> DataFrame:
     model = classifier.forest.copy({classifier.forest.rawPredictionCol: ""})
     voted = model.transform(feature_matrix(scored)).withColumn("_p", vector_to_array("probability"))
     best = F.array_max("_p")
-    names = F.array(*map(F.lit, LABELS))
+    names = F.array(*map(F.lit, LABELS_WITH_NORMAL))
     return voted.withColumns(
         {
             "ml_type": F.element_at(names, F.array_position("_p", best).cast("int")),
@@ -136,6 +184,20 @@ def top_features(importances: dict[str, float], n: int = 5) -> Column:
     )
 
 
+def raw_features(top: str = "top_features") -> Column:
+    """The same features with the event's own values: ``feature``, ``contribution`` and ``value``.
+
+    A contribution is importance times value; a text that names a speed or a count
+    has to take the value itself.
+    """
+    pairs = [part for name in C.MODEL_FEATURES for part in (F.lit(name), F.coalesce(F.col(name).cast("double"), F.lit(0.0)))]
+    own = F.create_map(*pairs)
+    return F.transform(
+        top,
+        lambda e: F.struct(e["feature"].alias("feature"), e["value"].alias("contribution"), F.element_at(own, e["feature"]).alias("value")),
+    )
+
+
 # --- classification ------------------------------------------------------------
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch import constants as C
 from tidewatch.functions import scalars as S
+from tidewatch.operators.classify import raw_features
 
 
 def rule_text() -> Column:
@@ -56,17 +57,20 @@ def feature_text(feature: Column, value: Column) -> Column:
     )
 
 
-def model_text() -> Column:
-    """Top three contributions followed by what the attack type means."""
+def model_text(raw: bool = False) -> Column:
+    """Top three contributions followed by what the attack type means.
+
+    ``raw`` prints the features' own values in place of the contributions.
+    """
     described = F.try_element_at(S.text_map(C.ATTACK_DESCRIPTIONS), F.col("predicted_type"))
     plain = F.coalesce(described, F.concat(F.lit("Classified as "), F.col("predicted_type")))
-    top = F.slice("top_features", 1, 3)
+    top = F.slice(raw_features() if raw else F.col("top_features"), 1, 3)
     reasons = F.array_join(F.transform(top, lambda f: feature_text(f["feature"], f["value"])), " + ")
     suffix = F.coalesce(F.concat(F.lit(". "), described), F.lit(""))
     return F.when(F.size(top) == 0, plain).otherwise(F.concat(F.lit("Flagged due to "), reasons, suffix))
 
 
-def explanations(classified: DataFrame) -> DataFrame:
+def explanations(classified: DataFrame, raw: bool = False) -> DataFrame:
     """Adds ``explanation_text``; empty for normal events."""
-    text = F.when(F.col("predicted_type") == C.NORMAL, "").otherwise(F.coalesce(rule_text(), model_text()))
+    text = F.when(F.col("predicted_type") == C.NORMAL, "").otherwise(F.coalesce(rule_text(), model_text(raw)))
     return classified.withColumn("explanation_text", text)

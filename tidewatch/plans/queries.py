@@ -10,6 +10,7 @@ from tidewatch.operators import alerts as A, classify as K, evaluate as E, expla
 from tidewatch.operators import histogram as H, profiles as P, scoring as Z, sequence as Q
 from tidewatch.operators.timeline import find_hot_keys
 from tidewatch.plans import runs as R
+from tidewatch.plans.detection import score_events
 from tidewatch.plans.oracle import DAY, OFF, clip, r
 from tidewatch.plans.registry import query
 from tidewatch.session import materialize, new_path
@@ -741,6 +742,29 @@ def top_features(spark, sf):
     )
 
 
+_RAW = "CASE feature " + " ".join(f"WHEN '{f}' THEN x.{f}" for f in C.MODEL_FEATURES) + " END"
+
+
+@query("top_features_raw", f"""SELECT session_id, rank::BIGINT AS rank, feature, t.value AS contribution, {r(_RAW)} AS value
+ FROM top5 t JOIN scores x USING (session_id)""")
+def top_features_raw(spark, sf):
+    """The contributions beside the event's own values."""
+    found = R.detection(spark, sf).scored.select("session_id", F.posexplode(K.raw_features()).alias("pos", "f"))
+    return found.select(
+        "session_id", (col("pos") + 1).cast("long").alias("rank"), col("f.feature").alias("feature"),
+        col("f.contribution").alias("contribution"), S.round4(col("f.value")).alias("value"),
+    )
+
+
+@query("alerts_page_deep", """SELECT session_id, risk_score, (SELECT count(*) FROM alerts)::BIGINT AS total
+ FROM alerts ORDER BY risk_score DESC, session_id LIMIT 7 OFFSET 7*((SELECT count(*) FROM alerts)//7-2)""")
+def alerts_page_deep(spark, sf):
+    """A page near the end of the whole queue."""
+    d = R.detection(spark, sf)
+    page = d.alerts.count() // 7 - 1
+    return A.alerts_page(d.alerts, d.scored, page=page, limit=7).select("session_id", "risk_score", "total")
+
+
 @query("recent_events", f"""SELECT session_id, us AS event_us FROM scored WHERE entity_id={_BUSIEST} ORDER BY us DESC, session_id DESC LIMIT 100""")
 def recent_events(spark, sf):
     d = R.detection(spark, sf)
@@ -987,6 +1011,22 @@ def rf_predict(spark, sf):
     )
 
 
+@query("rf_fit_normals", "SELECT label, count(*)::BIGINT AS n, true AS known, true AS no_small_split FROM a_train GROUP BY label")
+def rf_fit_normals(spark, sf):
+    """A forest that knows normal events as well; no node below five rows is split."""
+    frame, sequences = R.access_split(spark, sf)[0], R.access_model(spark, sf)
+    scored = R.kept(spark, sf, "train_scores", lambda: materialize(score_events(frame, *sequences, R.ACCESS), "train_scores"))
+    forest = R.kept(spark, sf, "forest_normals", lambda: K.fit_classifier(scored, with_normals=True))
+    path = new_path(spark, "forest")
+    forest.save(path)
+    node = col("nodeData")
+    small = spark.read.parquet(f"{path}/data").filter((node["leftChild"] >= 0) & (node["rawCount"] < K.MIN_ROWS_TO_SPLIT)).isEmpty()
+    voted = K.rf_predict(scored, forest)
+    return voted.groupBy("label").agg(
+        F.count(lit(1)).alias("n"), F.bool_and(col("ml_type").isin(K.LABELS_WITH_NORMAL)).alias("known"), lit(small).alias("no_small_split")
+    )
+
+
 @query("detect_learned", """SELECT session_id, risk_score, flagged AS is_flagged, rule AS rule_fired, true AS consistent FROM (
  SELECT session_id, risk_score, flagged, CASE WHEN flagged THEN rule END AS rule FROM risky)""")
 def detect_learned(spark, sf):
