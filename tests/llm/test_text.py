@@ -1,5 +1,6 @@
 """Encoding, token files, decontamination, chat, secrets, language and search."""
 
+import random
 import hashlib
 import math
 import os
@@ -281,3 +282,21 @@ def test_long_weak_parts_count_like_others():
         spans, links = secrets.scan(f"{key} {weak} https://a.example/x")
         assert spans["weak"] == [(21, 21 + n)] and [k[1] for k in links] == [(21, 21 + n)]
         assert secrets.scan(weak)[0]["weak"] == []
+
+
+def test_repeated_query_rows_are_each_answered(spark):
+    rng = random.Random(6)
+    vector = lambda: [rng.uniform(-1, 1) for _ in range(6)]
+    rows = [(k, vector()) for k in range(40)]
+    rows += [(20, rows[20][1])] * 2 + [(0, vector())] + [(7, rows[7][1])] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = sorted(tuple(r) for r in topk.search(df, every=20, k=10).collect())
+    assert got == best_by_hand(rows, 20, 10) and len([r for r in got if r[0] == 20]) == 30
+
+
+def test_wide_vectors_are_dealt_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(topk, "TILE_BYTES", 2_000)
+    rng = random.Random(8)
+    rows = [(k, [rng.uniform(-1, 1) for _ in range(50)]) for k in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.search(df, every=20).collect()) == best_by_hand(rows, 20, 10)

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidewatch.llm.frames import keyed, same_text, unkeyed
 from tidewatch.session import materialize
 
 WIDTH = 10
@@ -107,10 +108,9 @@ def contamination(
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """The documents in which no window of an item occurs."""
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("print"), words(F.col(text)).alias("words"))
-    bad = hits(rows, item_windows(items, width)).select(F.col("doc_id").alias("__id"), F.col("print").alias("__print")).distinct()
-    marked = docs.withColumn("__mark", F.xxhash64(text))
-    gone = marked[id_column].cast("long").eqNullSafe(bad["__id"]) & (marked["__mark"] == bad["__print"])
-    return marked.join(bad, gone, "left_anti").select(*docs.columns)
+    bad = hits(rows, item_windows(items, width)).select("doc_id", F.col("print").alias("mark")).distinct()
+    mine = keyed(docs, id_column, text)
+    return unkeyed(mine.join(bad, same_text(mine, bad), "left_anti"))
 
 
 SQL = rf"""

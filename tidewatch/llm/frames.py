@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from tidewatch.session import configure, materialize
 from tidewatch.sources.access import read_table
@@ -22,17 +23,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(prepare(spark), sf_dir, name)
 
 
-def first_rows(docs: DataFrame, again: DataFrame, id_column: str, text: str) -> DataFrame:
-    """``docs`` with one row for each ``doc_id, print`` of ``again``, the least by the hash of all columns."""
-    again = materialize(again, "again")
+def keyed(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    """``row``, all columns of the caller as one struct, ``id`` and ``print``, the hash of the text.
+
+    Whatever the caller's columns are called, they meet no name of the library's own.
+    """
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    return docs.select(row, docs[id_column].cast("long").alias("id"), F.xxhash64(docs[text]).alias("print"))
+
+
+def unkeyed(rows: DataFrame) -> DataFrame:
+    """Back to the caller's columns."""
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in rows.schema["row"].dataType.names])
+
+
+def same_text(rows: DataFrame, marked: DataFrame) -> Column:
+    """The join of ``keyed`` rows with ``doc_id`` and ``mark``, where missing ids are equal."""
+    return rows["id"].eqNullSafe(marked["doc_id"]) & (rows["print"] == marked["mark"])
+
+
+def _holds_map(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return any(_holds_map(f.dataType) for f in kind)
+    return isinstance(kind, MapType) or (isinstance(kind, ArrayType) and _holds_map(kind.elementType))
+
+
+def first_rows(rows: DataFrame, again: DataFrame) -> DataFrame:
+    """``keyed`` rows with one row for each ``doc_id, print`` of ``again``, the least by the hash of all columns."""
+    again = materialize(again.select("doc_id", F.col("print").alias("mark")), "again")
     if again.isEmpty():
-        return docs
-    marked = docs.withColumns({"__id": F.col(id_column).cast("long"), "__print": F.xxhash64(text)})
-    keys = again.select(F.col("doc_id").alias("__again"), F.col("print").alias("__same"))
-    same = F.col("__id").eqNullSafe(F.col("__again")) & (F.col("__print") == F.col("__same"))
-    least = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row")
-    once = marked.join(keys, same, "left_semi").groupBy("__id", "__print").agg(least)
-    return marked.join(keys, same, "left_anti").select(*docs.columns).unionByName(once.select("__row.*"))
+        return rows
+    fields = [(F.col("row").getField(f.name), f.dataType) for f in rows.schema["row"].dataType]
+    # Maps cannot be hashed; their text can.
+    place = F.xxhash64(*[F.to_json(F.struct(c)) if _holds_map(kind) else c for c, kind in fields])
+    once = rows.join(again, same_text(rows, again), "left_semi").groupBy("id", "print").agg(F.min_by("row", place).alias("row"))
+    return rows.join(again, same_text(rows, again), "left_anti").unionByName(once.select("row", "id", "print"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.llm import arrays as A
-from tidewatch.llm.frames import components, first_rows
+from tidewatch.llm.frames import components, first_rows, keyed, same_text, unkeyed
 from tidewatch.llm.groups import link_by_key
 from tidewatch.llm.setjoin import verified_components
 from tidewatch.session import materialize
@@ -28,7 +28,6 @@ from tidewatch.session import materialize
 NUM, DEN, WIDTH = 90, 100, 3
 _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
-NO_ID = -(2**63)
 
 
 def shingle_sets(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -118,17 +117,17 @@ def _rooted(
         for batch in batches:
             for part in A.pieces_of(batch, "text"):
                 values, counts = shingle_sets(part.column("text"), width)
-                right = set_ids(values, counts) == part.column("node").to_numpy()
                 offsets = np.concatenate(([0], np.cumsum(counts) * 8)).astype(np.int32)
                 sets = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
-                out = pa.RecordBatch.from_arrays([part.column("cluster"), part.column("node"), sets], ["cluster", "node", "content"])
-                yield out.filter(pa.array(right))
+                yield pa.RecordBatch.from_arrays([part.column("cluster"), part.column("node"), sets], ["cluster", "node", "content"])
 
     sized = materialize(rows.mapInArrow(sizes, "doc_id long, print long, n long, node long"), "sizes")
     near = components(link_by_key(rows.select("text").mapInArrow(keys, "key long, node long")))
-    leads = sized.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("lead"))
-    wanted = near.join(leads, "node").select(F.coalesce("lead", F.lit(NO_ID)).alias("id"), F.col("root").alias("cluster"), "node")
-    items = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text").join(wanted, "id").mapInArrow(tokens, "cluster long, node long, content binary")
+    # One row stands for each node: its id alone may be missing or repeated, so its text's hash goes with it.
+    leads = sized.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("lead"), F.min(F.struct("doc_id", "print")).alias("row"))
+    wanted = near.join(leads, "node").select(F.col("row.doc_id").alias("id"), F.col("row.print").alias("mark"), F.col("root").alias("cluster"), "node")
+    chosen = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["id"]) & (rows["print"] == wanted["mark"]))
+    items = chosen.select("cluster", "node", "text").mapInArrow(tokens, "cluster long, node long, content binary")
     linked = verified_components(materialize(items, "items"), num, den)
     lead = leads.join(linked, "node", "left").select("node", "lead", F.coalesce("root", "node").alias("root"))
     names = lead.groupBy("root").agg(F.min("lead").alias("component_id"))
@@ -148,8 +147,7 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **o
     groups = found.groupBy("doc_id", "print", "root").agg(F.count(F.lit(1)).alias("n"))
     firsts = found.groupBy("root").agg(F.min(place).alias("first")).withColumnRenamed("root", "__root")
     placed = materialize(groups.join(firsts, F.col("root") == F.col("__root")).select("doc_id", "print", "n", (place == F.col("first")).alias("stays")), "placed")
-    gone = placed.where("not stays").select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"))
-    marked = docs.withColumn("__mark", F.xxhash64(text))
-    same = marked[id_column].cast("long").eqNullSafe(gone["__id"]) & (marked["__mark"] == gone["__print"])
-    kept = marked.join(gone, same, "left_anti").select(*docs.columns)
-    return first_rows(kept, placed.where("stays and n > 1").select("doc_id", "print"), id_column, text)
+    gone = placed.where("not stays").select("doc_id", F.col("print").alias("mark"))
+    rows = keyed(docs, id_column, text)
+    kept = rows.join(gone, same_text(rows, gone), "left_anti")
+    return unkeyed(first_rows(kept, placed.where("stays and n > 1")))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 K, SCALE, EVERY = 10, 1024, 100
-TILE_QUERIES, TILE_ROWS = 8_192, 8_192
+TILE_QUERIES, TILE_ROWS, TILE_BYTES = 8_192, 8_192, 64_000_000
 SEGMENTS = (4, 16)
 CHUNK = 128
 _EXACT = float(2**52)
@@ -114,19 +114,26 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K, id_column: str =
     sound = F.forall("x", lambda c: F.coalesce((F.abs(c) < float("inf")) & ~F.isnan(c), F.lit(False)))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & sound).withColumn("dim", F.size("x"))
     is_query = F.col("vec_id") % every == 0
-    n, asked = rows.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
-    parts, blocks = max(1, -(-n // TILE_ROWS)), max(1, -(-asked // TILE_QUERIES))
+    # A tile is bounded in rows and, for wide vectors, in bytes.
+    n, wide, asked, wide_asked = rows.agg(
+        F.count(F.lit(1)), F.sum("dim"), F.count(F.when(is_query, 1)), F.sum(F.when(is_query, F.col("dim")))
+    ).first()
+    parts = max(1, -(-n // TILE_ROWS), -(-8 * (wide or 0) // TILE_BYTES))
+    blocks = max(1, -(-asked // TILE_QUERIES), -(-8 * (wide_asked or 0) // TILE_BYTES))
     key = F.xxhash64("vec_id", "x")
     candidates = rows.withColumn("part", F.pmod(key, F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # Rows that repeat id and vector ask the same: they are searched once and answered each.
     queries = (
         rows.where(is_query)
+        .groupBy("vec_id", "x", "dim")
+        .agg(F.count(F.lit(1)).alias("copies"))
         .withColumn("query", key)
         .withColumn("block", F.pmod(key, F.lit(blocks)).cast("int"))
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     )
 
     def tile(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["query_id", "query", "vec_id", "score"]
+        names = ["query_id", "query", "copies", "vec_id", "score"]
         if not left.num_rows or not right.num_rows:
             return pa.table({c: pa.array([], pa.int64()) for c in names})
         left, right = left.combine_chunks(), right.combine_chunks()
@@ -134,12 +141,14 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K, id_column: str =
         q_ids, v_ids = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
         q, v = (_vectors(t["x"].combine_chunks(), dim) for t in (left, right))
         a, b, score = tile_top(q, q_ids, v, v_ids, k)
-        return pa.table({"query_id": q_ids[a], "query": left["query"].to_numpy()[a], "vec_id": v_ids[b], "score": score})
+        return pa.table({"query_id": q_ids[a], "query": left["query"].to_numpy()[a], "copies": left["copies"].to_numpy()[a], "vec_id": v_ids[b], "score": score})
 
     keys = ("dim", "block", "part")
-    found = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(tile, "query_id long, query long, vec_id long, score long")
+    found = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(tile, "query_id long, query long, copies long, vec_id long, score long")
     order = "row_number() over (partition by query_id, query order by score desc, vec_id)"
-    return found.withColumn("rank", F.expr(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    best = found.withColumn("rank", F.expr(order)).where(F.col("rank") <= k)
+    each = best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return each.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 SQL = f"""
