@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from tidewatch.session import configure, materialize
@@ -77,13 +77,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     links = materialize(links, "links")
     before = None
     while True:
-        links = materialize(_small_star(_large_star(links)), "links")
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
+        seen = Observation()
+        round_ = _small_star(_large_star(links)).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("sum"))
+        links = materialize(round_, "links")
+        now = seen.get["n"], seen.get["sum"]
+        if now == before:
             return links.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(
                 links.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()
             )
-        before = tuple(now)
+        before = now
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -93,7 +95,7 @@ def _large_star(links: DataFrame) -> DataFrame:
     )
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     larger = links.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
-    return larger.join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+    return larger.join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:

@@ -125,11 +125,12 @@ def _rooted(
     near = components(link_by_key(rows.select("text").mapInArrow(keys, "key long, node long")))
     # One row stands for each node: its id alone may be missing or repeated, so its text's hash goes with it.
     leads = sized.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("lead"), F.min(F.struct("doc_id", "print")).alias("row"))
+    leads = materialize(leads, "nodes")
     wanted = near.join(leads, "node").select(F.col("row.doc_id").alias("id"), F.col("row.print").alias("mark"), F.col("root").alias("cluster"), "node")
     chosen = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["id"]) & (rows["print"] == wanted["mark"]))
     items = chosen.select("cluster", "node", "text").mapInArrow(tokens, "cluster long, node long, content binary")
     linked = verified_components(materialize(items, "items"), num, den)
-    lead = leads.join(linked, "node", "left").select("node", "lead", F.coalesce("root", "node").alias("root"))
+    lead = leads.drop("row").join(linked, "node", "left").select("node", "lead", F.coalesce("root", "node").alias("root"))
     names = lead.groupBy("root").agg(F.min("lead").alias("component_id"))
     name = lead.join(names, "root").select("node", "root", "component_id")
     return sized.join(name.withColumn("some", F.lit(True)), "node", "left").select(
