@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE_BYTES = 3_000_000
+CACHE_BYTES = 1_000_000  # for work of many steps on wide numbers, which is faster near the processor
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
