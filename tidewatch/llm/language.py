@@ -9,7 +9,9 @@ The prediction is the largest proportion of the chosen set, ties to the name tha
 comes first, and the score is that proportion.
 
 Text that is null or has no letter is ``und`` with score 0, as is everything if
-nothing is learned. A null lang teaches nothing. A null doc_id counts as an empty
+nothing is learned. A null lang teaches nothing. There may be any number of
+languages: the model has one number for each bucket that a language uses, so it
+grows with the labels and not with the documents. A null doc_id counts as an empty
 text in the fold. Repeated rows count again. Other columns are ignored.
 """
 
@@ -29,7 +31,8 @@ SMOOTHING = 0.5
 FOLDS = 5
 ROUNDS = 12
 PENALTY = 2.0  # times half the log of the number of trigrams, per language after the first
-MOST_LANGUAGES = 500  # the model has a row of 65,536 numbers for each and goes to every task
+DENSE_LANGUAGES = 128  # up to here the model is one table, beyond it holds only the counts that are not 0
+MOST_HELD = 2_000_000  # counts that a task holds before it sums them
 UNKNOWN = "und"
 LEAST_SHARE = 0.5
 
@@ -70,15 +73,30 @@ def held_out(id_column: Column) -> Column:
 class Model:
     """Names of the languages and the probability of every trigram bucket in each."""
 
-    def __init__(self, names: list[str], counts: np.ndarray):
+    def __init__(self, names: list[str], k: np.ndarray, bucket: np.ndarray, n: np.ndarray):
+        """From the count ``n`` of each language ``k`` and bucket that occur together."""
         self.names = names
-        smooth = counts + SMOOTHING
-        self.table = np.ascontiguousarray((smooth / smooth.sum(axis=1, keepdims=True)).T) if names else np.zeros((BUCKETS, 0))
+        self.total = np.bincount(k, n, len(names)) + SMOOTHING * BUCKETS
+        order = np.argsort(bucket, kind="stable")
+        self.k, self.n = k[order].astype(np.int32), n[order].astype(np.float64)
+        self.starts = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+        self.table = None
+        if len(names) <= DENSE_LANGUAGES:
+            self.table = self.sparse(np.arange(BUCKETS))
+            self.k = self.n = self.starts = None
+
+    def sparse(self, buckets: np.ndarray) -> np.ndarray:
+        """The probabilities of some buckets, one column for each language."""
+        begin, count = self.starts[buckets], self.starts[buckets + 1] - self.starts[buckets]
+        p = np.full((len(buckets), len(self.names)), SMOOTHING)
+        at = A.expand(begin, count)
+        p[np.repeat(np.arange(len(buckets)), count), self.k[at]] += self.n[at]
+        return p / self.total
 
     def infer(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The chosen languages and their proportions."""
         seen, n = np.unique(grams, return_counts=True)
-        p, n = self.table[seen], n.astype(float)
+        p, n = self.sparse(seen) if self.table is None else self.table[seen], n.astype(float)
         total = n.sum()
         single = n @ np.log(p)
         best = np.array([int(np.argmax(single))])
@@ -116,27 +134,32 @@ def train(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang:
     rows = docs.where(~held_out(F.col(id_column)) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")
     )
-    names = sorted(r[0] for r in rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} language labels")
+    names = sorted(r[0] for r in rows.select("lang").distinct().collect())
 
     def count(batches):
-        sums = np.zeros((len(names), BUCKETS), np.int64)
+        held, size = [], 0  # code and count of a label's buckets, summed whenever they are many
         for batch in batches:
             for part in A.pieces_of(batch, "text"):
                 grams, number, _ = trigrams(part.column("text"))
                 label = np.searchsorted(names, part.column("lang").to_numpy(zero_copy_only=False).astype(str))
-                flat = np.bincount(np.repeat(label, number) * BUCKETS + grams, minlength=len(names) * BUCKETS)
-                sums += flat.reshape(sums.shape)
-        k, bucket = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(sums[k, bucket])], ["k", "bucket", "n"])
-
-    counts = np.zeros((len(names), BUCKETS), np.int64)
-    if names:
-        # At most 65,536 sums for each language reach the driver.
-        found = rows.mapInArrow(count, "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow()
-        counts[found["k"].to_numpy(), found["bucket"].to_numpy()] = found["n"].to_numpy()
-    return Model(names, counts)
+                held.append(np.unique(np.repeat(label, number) * BUCKETS + grams, return_counts=True))
+                size += len(held[-1][0])
+                if size > MOST_HELD:
+                    yield summed(held)
+                    held, size = [], 0
+        if held:
+            yield summed(held)
+
+    found = rows.mapInArrow(count, "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    # At most 65,536 sums for each language reach the driver, however many documents there are.
+    return Model(names, *(found[c].to_numpy() for c in ("k", "bucket", "n")))
+
+
+def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    codes, inverse = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+    n = np.bincount(inverse, np.concatenate([n for _, n in held]), len(codes)).astype(np.int64)
+    k, bucket = codes // BUCKETS, codes % BUCKETS
+    return pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(n)], ["k", "bucket", "n"])
 
 
 def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text") -> DataFrame:
