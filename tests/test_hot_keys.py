@@ -92,6 +92,31 @@ def test_last_ten(skewed, small_slices):
     both(small_slices, 30, make)
 
 
+def test_steps(spark, skewed, small_slices):
+    """Frequent steps are salted by their counts; missing resources and types are steps of their own."""
+    gaps = skewed.withColumns(
+        {
+            "resource_accessed": F.when(F.col("session_id") % 7 > 0, F.col("resource_accessed")),
+            "entity_type": F.when(F.col("session_id") % 11 > 0, F.col("entity_type")),
+        }
+    )
+    model = Q.fit_sequences(P.label_filter(gaps))
+    events = X.with_previous_resource(gaps)
+    names = ["session_id", "log_trans", "log_start"]
+    direct = table(Q.step_logs(events, model).select(*names))
+    salted = []
+
+    def make():
+        found = Q.transition_lookup(events, model).select(*names)
+        salted.append("explode(sequence" in found._jdf.queryExecution().optimizedPlan().toString())
+        return found
+
+    assert both(small_slices, 20, make) == direct
+    assert salted == [False, True]
+    narrow = events.select(*Q.STEP)
+    assert table(Q.transition_lookup(events, model, narrow).select(*names)) == direct
+
+
 def test_scores(skewed, small_slices):
     train, test = P.time_split(skewed, 6)
     normal = P.label_filter(train)
@@ -99,7 +124,7 @@ def test_scores(skewed, small_slices):
     both(small_slices, 50, lambda: score_events(test, model, sequences, S))
 
 
-def test_value_sets_above_the_limit(skewed, monkeypatch):
+def test_value_sets_above_the_limit(skewed, small_slices, monkeypatch):
     """Sets too large for the profile row are looked up in the long table."""
     train, test = P.time_split(skewed, 6)
     normal = P.label_filter(train)
@@ -109,6 +134,9 @@ def test_value_sets_above_the_limit(skewed, monkeypatch):
     model = P.fit_profiles(normal)
     assert model.large
     assert table(Z.baseline_scores(test, model, s)) == packed
+    small_slices(40)
+    hot = find_hot_keys(test, ["entity_id"])
+    assert hot is not None and table(Z.baseline_scores(test, model, s, hot)) == packed
 
 
 def test_rows_without_a_key_are_one_group(skewed, small_slices):

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import alerts as A, features as X, profiles as P
+from tidewatch.operators import alerts as A, features as X, profiles as P, sequence as Q
 from tidewatch.plans import runs as R
 from tidewatch.plans.detection import score_events
 from tidewatch.settings import DAY, HOUR, MINUTE
@@ -57,6 +57,21 @@ def test_address_windows_share_one_exchange(spark, sf):
     assert text.count("Exchange") == 1
 
 
+def test_steps_cost_the_events_one_join(spark, sf):
+    """Even if nothing may be broadcast, events are exchanged by entity and by step, no more."""
+    _, sequences = R.access_model(spark, sf)
+    test = R.access_test(spark, sf)
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        text = plan(Q.transition_lookup(X.with_previous_resource(test), sequences))
+    finally:
+        spark.conf.set(name, before)
+    assert text.count("SortMergeJoin") == 1
+    assert text.count("Exchange hashpartitioning") == 3  # the third one is that of the resolved steps
+
+
 def test_scan_reads_only_what_is_needed(spark, sf):
     text = plan(P.hour_histogram(access_events(spark, sf)))
     schema = re.search(r"ReadSchema: struct<([^>]*)>", text).group(1)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidewatch import constants as C
 from tidewatch.functions import scalars as S
-from tidewatch.operators.timeline import HotKeys, join_by_key
+from tidewatch.operators.timeline import HotKeys, dealt, join_by_key
 from tidewatch.session import materialize, together
 from tidewatch.settings import DAY, Settings
 
@@ -441,13 +441,14 @@ def profile_lookup(
 
 
 def value_counts_joined(
-    looked_up: DataFrame, model: ProfileModel, attr: str, column: str, level: str
+    looked_up: DataFrame, model: ProfileModel, attr: str, column: str, level: str, hot: HotKeys | None = None
 ) -> DataFrame:
     """Counts of an event's value from the long table (existence join).
 
     Events that need no lookup here get a key of their own that matches
     nothing, so they spread evenly instead of piling up on one null key.  A type
-    has many events with the same value; they are dealt over ``TYPE_SALTS`` tasks.
+    has many events with the same value; they are dealt over ``TYPE_SALTS`` tasks,
+    those of a hot entity over as many as its size calls for.
     """
     key = "entity_id" if level == "entity" else "entity_type"
     values = model.entity_values if level == "entity" else model.type_values
@@ -457,13 +458,17 @@ def value_counts_joined(
     apart = F.concat(F.lit("\0"), F.col("session_id").cast("string"))
     open_ = (F.col("profile_source") == level) & F.col(f"{attr}_n").isNull()
     wanted = F.when(open_, F.col(column)).otherwise(apart)
-    salts = TYPE_SALTS if level == "type" else 1
-    mine = mine.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    asked = looked_up.withColumns({"_wanted": wanted, "_salt": F.pmod(F.xxhash64("session_id"), F.lit(salts)).cast("int")})
-    return asked.join(mine, [key, "_wanted", "_salt"], "left").drop("_wanted", "_salt")
+    asked = looked_up.withColumn("_wanted", wanted)
+    if level == "type":
+        mine = mine.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(TYPE_SALTS - 1))))
+        asked = asked.withColumn("_salt", F.pmod(F.xxhash64("session_id"), F.lit(TYPE_SALTS)).cast("int"))
+    elif hot is not None:
+        asked, mine = dealt(asked, mine, [key], hot.table)
+    salt = [c for c in asked.columns if c == "_salt"]
+    return asked.join(mine, [key, "_wanted", *salt], "left").drop("_wanted", *salt)
 
 
-def value_counts(looked_up: DataFrame, model: ProfileModel) -> DataFrame:
+def value_counts(looked_up: DataFrame, model: ProfileModel, hot: HotKeys | None = None) -> DataFrame:
     """``geo_n``, ``device_n``, ``resource_n``: how often the profile saw the value.
 
     Sets inside the profile row need no further join.  The long table is joined
@@ -479,7 +484,7 @@ def value_counts(looked_up: DataFrame, model: ProfileModel) -> DataFrame:
     out = looked_up.withColumns(found).drop(*[f"{a}_counts" for a in PACKED])
     extra = []
     for level, attr in sorted(model.large):
-        out = value_counts_joined(out, model, attr, columns[attr], level)
+        out = value_counts_joined(out, model, attr, columns[attr], level, hot)
         extra.append(f"_{level}_{attr}_n")
         out = out.withColumn(f"{attr}_n", F.coalesce(f"{attr}_n", extra[-1]))
     return out.drop(*extra).fillna(0, subset=list(found))

@@ -42,7 +42,7 @@ def baseline_scores(
     """
     if s.use_velocity and "prev_us" not in events.columns:
         events = with_previous(events, hot)
-    found = value_counts(profile_lookup(events, model, s, hot), model)
+    found = value_counts(profile_lookup(events, model, s, hot), model, hot)
     has_profile = F.col("profile_source").isNotNull()
     duration = F.col("session_duration").cast("double")
     damping = F.when(F.col("is_cold_start"), C.COLD_DAMPING).otherwise(1.0)

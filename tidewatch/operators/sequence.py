@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidewatch import constants as C
 from tidewatch.functions import scalars as S
 from tidewatch.operators.features import ORDER, off_hours_rate, with_previous_resource
-from tidewatch.operators.timeline import HotKeys, find_hot_keys, join_by_key, rows_back, running
+from tidewatch.operators.timeline import HotKeys, join_by_key, join_counted, rows_back, running
 from tidewatch.session import materialize, together
 
 N = C.SEQUENCE_LENGTH
+STEP = ["entity_type", "prev_resource", "resource_accessed"]
 
 
 # --- fitting -------------------------------------------------------------------
@@ -158,8 +159,8 @@ def log_probabilities(model: SequenceTables) -> DataFrame:
     return observed.unionByName(unseen).unionByName(start).unionByName(outside)
 
 
-def transition_lookup(events: DataFrame, model: SequenceTables) -> DataFrame:
-    """Attach ``log_trans`` of (previous, current) and ``log_start`` of the current resource.
+def step_logs(steps: DataFrame, model: SequenceTables) -> DataFrame:
+    """``log_trans`` of (previous, current) and ``log_start`` of the current resource, row by row.
 
     An unseen pair inside the vocabulary is smoothed; a pair with a resource
     outside it has the type's default.  Both are null when the type has no
@@ -171,8 +172,8 @@ def transition_lookup(events: DataFrame, model: SequenceTables) -> DataFrame:
     leaving = model.states.select("entity_type", F.col("resource").alias("prev_resource"), "t")
     arriving = model.states.select("entity_type", F.col("resource").alias("resource_accessed"), "starts")
     joined = (
-        events.join(model.stats, "entity_type", "left")
-        .join(pairs, ["entity_type", "prev_resource", "resource_accessed"], "left")
+        steps.join(model.stats, "entity_type", "left")
+        .join(pairs, STEP, "left")
         .join(leaving, ["entity_type", "prev_resource"], "left")
         .join(arriving, ["entity_type", "resource_accessed"], "left")
     )
@@ -189,6 +190,19 @@ def transition_lookup(events: DataFrame, model: SequenceTables) -> DataFrame:
     ).drop("v", "n_seq", "c", "t", "starts")
 
 
+def transition_lookup(events: DataFrame, model: SequenceTables, steps: DataFrame | None = None) -> DataFrame:
+    """Attach ``log_trans`` and ``log_start`` (see :func:`step_logs`) to events.
+
+    The distinct steps are counted first, combined before the shuffle, and resolved
+    against the model once each. The events meet that one table in one join, in
+    which frequent steps are salted by their counts. ``steps`` may give the events'
+    types, previous and current resources from a narrower plan than ``events``.
+    """
+    counted = (events if steps is None else steps).groupBy(*STEP).agg(F.count(F.lit(1)).alias("n"))
+    resolved = step_logs(counted, model).select(*STEP, "n", "log_trans", "log_start")
+    return join_counted(events, materialize(resolved, "steps"), STEP)
+
+
 # --- scores --------------------------------------------------------------------
 
 
@@ -198,12 +212,12 @@ def markov_columns(nll: Column) -> dict[str, Column]:
 
 
 def markov_last_transition(
-    events: DataFrame, model: SequenceTables, hot: HotKeys | None = None
+    events: DataFrame, model: SequenceTables, hot: HotKeys | None = None, steps: DataFrame | None = None
 ) -> DataFrame:
     """Negative log-likelihood of the step from the previous resource; 0 for the first."""
     if "prev_resource" not in events.columns:
         events = with_previous_resource(events, hot)
-    looked_up = transition_lookup(events, model)
+    looked_up = transition_lookup(events, model, steps)
     nll = F.coalesce(-F.col("log_trans"), F.lit(0.0))
     return looked_up.withColumns(markov_columns(nll)).drop("log_trans", "log_start")
 
@@ -239,7 +253,7 @@ def arrays_nll(recent: DataFrame, model: SequenceTables) -> DataFrame:
     paired = recent.select(
         "session_id", "entity_type", F.size("recent").alias("length"), F.explode(steps).alias("s")
     ).select("session_id", "entity_type", "length", "s.*")
-    looked_up = transition_lookup(paired, model)
+    looked_up = step_logs(paired, model)
     cost = F.when(F.col("prev_resource").isNull(), F.col("log_start")).otherwise(F.col("log_trans"))
     length = F.max("length")
     nll = F.when((length >= 2) & F.sum(cost).isNotNull(), -F.sum(cost) / length).otherwise(0.0)

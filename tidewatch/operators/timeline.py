@@ -276,23 +276,38 @@ def rows_back(
     return done.filter(~F.col("_halo")).drop("_row", "_b", "_block", "_halo")
 
 
-def join_by_key(events: DataFrame, table: DataFrame, key: str, hot: HotKeys | None = None) -> DataFrame:
-    """Left join to a table with one row per key; hot keys are salted.
+def dealt(events: DataFrame, table: DataFrame, keys: Sequence[str], salts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a lookup with a ``_salt``: the table's rows of hot keys are repeated once per salt.
 
-    The table's rows of hot keys are repeated once per salt, so the events of a
-    hot key spread over as many tasks as its size calls for.
+    ``salts`` has ``keys..., n_salts`` and at most ``MAX_HOT_KEYS`` rows. The events
+    of a hot key then spread over as many tasks as its size calls for.
     """
+    few = F.broadcast(salts.select(*keys, "n_salts"))
+    many = F.coalesce("n_salts", F.lit(1))
+    salted = join_null_safe(events, few, keys).withColumn("_salt", F.pmod(F.xxhash64("session_id"), many).cast("int"))
+    spread = join_null_safe(table, few, keys).withColumn("_salt", F.explode(F.sequence(F.lit(0), many - 1)))
+    return salted.drop("n_salts"), spread.drop("n_salts")
+
+
+def join_by_key(events: DataFrame, table: DataFrame, key: str, hot: HotKeys | None = None) -> DataFrame:
+    """Left join to a table with one row per key; hot keys are salted."""
     if hot is None:
         return events.join(table, key, "left")
-    salts = F.broadcast(hot.table.select(key, "n_salts"))
-    spread = (
-        table.join(salts, key, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("n_salts", F.lit(1)) - 1)))
-        .drop("n_salts")
-    )
-    salted = (
-        join_null_safe(events, salts, [key])
-        .withColumn("_salt", F.pmod(F.xxhash64("session_id"), F.coalesce("n_salts", F.lit(1))).cast("int"))
-        .drop("n_salts")
-    )
+    salted, spread = dealt(events, table, [key], hot.table)
     return salted.join(spread, [key, "_salt"], "left").drop("_salt")
+
+
+def join_counted(events: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join to a stored table with one row per ``keys`` and in ``n`` how many events ask for it.
+
+    Missing keys match each other. The planner knows the table's size and broadcasts
+    it if it is small; otherwise the rows that more events than the limit ask for
+    are salted by that measured number.
+    """
+    limit = slice_rows(events)
+    wanted, plain = table.filter(F.col("n") > limit), table.drop("n")
+    if wanted.isEmpty():
+        return join_null_safe(events, plain, keys)
+    salts = wanted.orderBy(F.desc("n")).limit(MAX_HOT_KEYS).withColumn("n_salts", F.ceil(F.col("n") / F.lit(limit)).cast("int"))
+    salted, spread = dealt(events, plain, keys, salts)
+    return join_null_safe(salted, spread, [*keys, "_salt"]).drop("_salt")

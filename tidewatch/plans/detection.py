@@ -29,7 +29,10 @@ def score_events(
     context = features.entity_context(on_ip, sequences.rates, s, hot["entity"], frame)
     # Lookups by entity come first, while the rows are still partitioned by it.
     based = scoring.baseline_scores(context, model, s, hot["entity"])
-    stepped = sequence.markov_last_transition(based, sequences, hot["entity"])
+    # The steps to look up follow from a few columns of the frame.
+    narrow = frame.select("entity_id", "entity_type", *features.ORDER, "resource_accessed")
+    steps = features.with_previous_resource(narrow, hot["entity"])
+    stepped = sequence.markov_last_transition(based, sequences, hot["entity"], steps)
     combined = scoring.sequence_score(F.col("markov_raw"), F.col("low_slow_raw"))
     scored = stepped.withColumns(
         {

@@ -296,7 +296,8 @@ def profile_lookup(spark, sf):
 def membership_flags(spark, sf):
     _, test = R.order_split(spark, sf)
     model = R.order_profiles(spark, sf)
-    found = P.value_counts(P.profile_lookup(test, model, R.ORDERS, find_hot_keys(test, ["entity_id"])), model)
+    hot = find_hot_keys(test, ["entity_id"])
+    found = P.value_counts(P.profile_lookup(test, model, R.ORDERS, hot), model, hot)
     return found.select(
         "session_id",
         (col("geo_n") > 0).alias("geo_known"),
@@ -309,7 +310,8 @@ def membership_flags(spark, sf):
 def resource_frequency_lookup(spark, sf):
     test = R.access_test(spark, sf)
     model, _ = R.access_model(spark, sf)
-    found = P.value_counts(P.profile_lookup(test, model, R.ACCESS, find_hot_keys(test, ["entity_id"])), model)
+    hot = find_hot_keys(test, ["entity_id"])
+    found = P.value_counts(P.profile_lookup(test, model, R.ACCESS, hot), model, hot)
     share = S.round4(col("resource_n") / col("n_observed_events"))
     return found.select("session_id", "resource_n", share.alias("frequency"))
 
