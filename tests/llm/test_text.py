@@ -98,6 +98,29 @@ def test_token_files(spark, corpus, library, monkeypatch):
     assert [(r.doc_id, r.ids[:-1]) for r in found] == [(9, ids_of(library, [r.text for r in corpus.collect() if r.doc_id == 9][0]))]
 
 
+def test_token_files_open_again(spark, corpus, nothing, library, tmp_path, monkeypatch):
+    """Another session reads them from the folder alone, by buckets, and leaves no name in the catalogue."""
+    monkeypatch.setattr(tokenfiles, "SHARD_CHARS", 4_000)
+    monkeypatch.setattr(tokenfiles, "GROUP_KEYS", 5)
+    folder = str(tmp_path / "it's a folder")
+    written = tokenfiles.write_tokens(corpus, folder)
+    assert written.groups > 1
+    other = spark.newSession()
+    opened = tokenfiles.open_tokens(other, folder)
+    rows = lambda df: sorted(map(str, df.collect()))
+    asked = corpus.select("doc_id").unionByName(spark.createDataFrame([(12345,), (-9,)], "doc_id long"))
+    again = other.createDataFrame(asked.collect(), "doc_id long")
+    assert rows(opened.digest(again)) == rows(written.digest(asked))
+    assert rows(opened.fetch(again)) == rows(written.fetch(asked))
+    text = opened.blocks().groupBy("shard").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text and "Bucketed: true" in text
+    assert not [t.name for s in (spark, other) for t in s.catalog.listTables() if t.name.startswith("tokens_")]
+    with pytest.raises(Exception, match="manifest"):
+        tokenfiles.open_tokens(other, str(tmp_path))
+    empty = tokenfiles.write_tokens(nothing, str(tmp_path / "empty"))
+    assert empty.digest(asked).count() == tokenfiles.open_tokens(other, empty.folder).digest(again).count() == 0
+
+
 def test_token_files_of_nothing(nothing):
     assert tokenfiles.round_trip(nothing).count() == 0
 

@@ -1,6 +1,6 @@
 """Operator 2, token ids in binary shards with a minimal perfect hash index.
 
-``write_tokens`` encodes all texts and writes two tables below one folder:
+``write_tokens`` encodes all texts and writes these tables below one folder:
 
 * ``payload``: the raw ids as little-endian unsigned integers of two bytes (four
   if the vocabulary needs them), in blocks of whole documents in ascending
@@ -10,6 +10,9 @@
 * ``index``: for every group of keys one row with a minimal perfect hash: a
   pilot per small bucket sends each key to its own slot, and slot arrays hold a
   fingerprint, shard, block, offset, length and start of the document there.
+* ``manifest``: one row with the version, the width of an id, and the numbers of
+  buckets and groups. It is written last, so a folder that has it is whole, and
+  ``open_tokens`` needs nothing else to read the files in another session.
 
 A lookup hashes the key to its group, reads one pilot, goes to one slot, and
 compares the fingerprint. Constant work per key; unknown keys are told apart by
@@ -42,8 +45,9 @@ BLOCK_IDS = 100_000  # ids per block, unless one document has more
 WORDS = 2_000  # words per call of the library
 GROUP_KEYS = 20_000  # keys per perfect hash
 NULL_KEY = -(2**63)
-PAYLOAD = "shard int, block int, payload binary"
-PLACE = "doc_id long, shard int, block int, offset long, n_tokens long"
+BLOCKS = "shard int, block int, payload binary, keys array<long>, offsets array<long>, sizes array<long>"
+PLACES = {"shard": pa.int32(), "block": pa.int32(), "offset": pa.int64(), "n_tokens": pa.int64(), "start": pa.int64(), "rows": pa.int64()}
+VERSION = 1
 
 
 @lru_cache(maxsize=2)
@@ -122,18 +126,42 @@ def write_tokens(docs: DataFrame, folder: str, id_column: str = "doc_id", text:
     blocks = (
         rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
-        .mapInArrow(encode, PAYLOAD + ", keys array<long>, offsets array<long>, sizes array<long>")
+        .mapInArrow(encode, BLOCKS)
     )
-    name = "tokens_" + uuid.uuid4().hex
+    name, buckets = _new_name(), 2 * shards
     (
         blocks.write.option("path", f"{folder}/payload").option("compression", "zstd")
-        .bucketBy(2 * shards, "shard").sortBy("block").format("parquet").saveAsTable(name)
+        .bucketBy(buckets, "shard").sortBy("block").format("parquet").saveAsTable(name)
     )
-    files = TokenFiles(spark, folder, name, width)
+    spark.sql(f"DROP TABLE {name}")  # the files stay
+    files = TokenFiles(spark, folder, width, buckets)
     files.build_index()
+    facts = {"version": VERSION, "id_bytes": np.dtype(width).itemsize, "buckets": buckets, "groups": files.groups}
+    spark.range(1).select(*[F.lit(v).alias(k) for k, v in facts.items()]).write.json(f"{folder}/manifest")
     return files
 
 
+def open_tokens(spark: SparkSession, folder: str) -> TokenFiles:
+    """The reader of files that another session may have written; a folder without a manifest is an error."""
+    facts = spark.read.schema("version int, id_bytes int, buckets int, groups int").json(f"{folder}/manifest").first()
+    if facts is None or facts["version"] != VERSION:
+        raise ValueError(f"{folder} holds no token files of version {VERSION}")
+    return TokenFiles(spark, folder, {2: np.uint16, 4: np.uint32}[facts["id_bytes"]], facts["buckets"], facts["groups"])
+
+
+def _new_name() -> str:
+    return "tokens_" + uuid.uuid4().hex
+
+
+def _bucketed(spark: SparkSession, path: str, buckets: int) -> DataFrame:
+    """The payload with its buckets known; the catalogue has its name only while it is looked up."""
+    name, quoted = _new_name(), path.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {name} ({BLOCKS}) USING parquet CLUSTERED BY (shard) SORTED BY (block) INTO {buckets} BUCKETS LOCATION '{quoted}'")
+    blocks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return blocks
+
+
 def hash_key(keys: np.ndarray) -> np.ndarray:
     return mix(keys.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
 
@@ -176,13 +204,14 @@ def perfect_hash(hashes: np.ndarray) -> np.ndarray:
 
 
 class TokenFiles:
-    """Reader of the files that ``write_tokens`` writes."""
+    """Reader of the files that ``write_tokens`` writes; see ``open_tokens``."""
 
-    def __init__(self, spark: SparkSession, folder: str, name: str, width: type):
-        self.spark, self.folder, self.name, self.width = spark, folder, name, width
+    def __init__(self, spark: SparkSession, folder: str, width: type, buckets: int, groups: int = 1):
+        self.spark, self.folder, self.width, self.groups = spark, folder, width, groups
+        self._blocks = _bucketed(spark, f"{folder}/payload", buckets)
 
     def blocks(self) -> DataFrame:
-        return self.spark.table(self.name)
+        return self._blocks
 
     def index(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/index")
@@ -245,18 +274,17 @@ class TokenFiles:
         joined = grouped.join(self.index(), "grp")
 
         def find(batches):
+            # The lists are read as buffers: one pilot and one slot are touched for a key.
             for batch in batches:
-                for row in batch.to_pylist():
-                    keys = np.array(row["keys"], np.int64)
+                lists = dict(zip(batch.schema.names, batch.columns, strict=True))
+                for k in range(batch.num_rows):
+                    at_row = lambda c: lists[c][k].values.to_numpy()  # noqa: B023, E731
+                    keys, prints = at_row("keys"), at_row("prints")
                     hashes = hash_key(keys)
-                    at = slots(hashes, np.array(row["pilots"], np.int64), len(row["prints"]))
-                    known = np.array(row["prints"], np.int64)[at] == mix(hashes).view(np.int64)
-                    at = at[known]
-                    columns = [pa.array(keys[known])] + [
-                        pa.array(np.array(row[c], np.int64)[at]).cast(kind)
-                        for c, kind in (("shard", pa.int32()), ("block", pa.int32()), ("offset", pa.int64()), ("n_tokens", pa.int64()), ("start", pa.int64()), ("rows", pa.int64()))
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, ["key", "shard", "block", "offset", "n_tokens", "start", "rows"])
+                    at = slots(hashes, at_row("pilots"), len(prints))
+                    known = prints[at] == mix(hashes).view(np.int64)
+                    columns = [pa.array(keys[known])] + [pa.array(at_row(c)[at[known]], kind) for c, kind in PLACES.items()]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", *PLACES])
 
         kinds = "key long, shard int, block int, offset long, n_tokens long, start long"
         found = joined.mapInArrow(find, kinds + ", rows long")
