@@ -4,8 +4,8 @@ A window partitioned by entity (or address) puts a whole key in one task.  Keys
 above a row limit are therefore cut into time slices: windows run per
 ``(key, slice)``, each slice's totals are aggregated separately, and every slice
 starts from the totals of the earlier ones.  Results are the same as those of
-the plain window.  The slice width is chosen per key from its own time
-histogram, so bursts are cut more finely.
+the plain window.  A key has one slice width, the widest of a list at which no
+slice of it exceeds the limit, so one burst makes all slices of its key narrow.
 """
 
 from __future__ import annotations
