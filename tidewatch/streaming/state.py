@@ -11,6 +11,7 @@ event-time timer clears its state once the watermark has passed that time.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -144,7 +145,9 @@ class OffHoursCount(Memory):
     """Adds how many off-hours events the entity had within the last seven days.
 
     Times are kept per hour, oldest hours first to go, so a micro-batch reads
-    only the hour that is arriving and the hour that is leaving the window.
+    only the hour that is arriving and the hour that is leaving the window. Every
+    call to the state is a message to the JVM: the hours that are kept are asked for
+    once, and hours without events, however long a pause, are never asked for.
     """
 
     ADDED = "off_hours_n bigint"
@@ -159,12 +162,13 @@ class OffHoursCount(Memory):
 
     def look_back(self, batch, paused):
         n, oldest = self.span.get() if self.span.exists() else (0, None)
+        stored = {key[0] for key in self.times.keys()} if n else set()
+        filled = sorted(stored)  # a heap of the hours that may hold times
         open_hours: dict[int, list[int]] = {}
 
         def hour(h: int) -> list[int]:
             if h not in open_hours:
-                stored = self.times.getValue((h,)) if self.times.containsKey((h,)) else None
-                open_hours[h] = list(stored[0]) if stored is not None else []
+                open_hours[h] = list(self.times.getValue((h,))[0]) if h in stored else []
             return open_hours[h]
 
         counts = []
@@ -173,14 +177,17 @@ class OffHoursCount(Memory):
                 counts.append(0)
                 continue
             h = us // HOUR
+            if not hour(h):
+                heapq.heappush(filled, h)
             hour(h).append(us)
             n += 1
             oldest = h if oldest is None else min(oldest, h)
             start = us - LOW_SLOW_DAYS * DAY
-            while oldest < start // HOUR:
-                n -= len(hour(oldest))
-                open_hours[oldest] = []
-                oldest += 1
+            while filled[0] < start // HOUR:
+                gone = heapq.heappop(filled)
+                n -= len(hour(gone))
+                open_hours[gone] = []
+            oldest = max(oldest, start // HOUR)
             if oldest == start // HOUR:
                 kept = [t for t in hour(oldest) if t >= start]
                 n -= len(hour(oldest)) - len(kept)
@@ -189,7 +196,7 @@ class OffHoursCount(Memory):
         for h, times in open_hours.items():
             if times:
                 self.times.updateValue((h,), (times,))
-            elif self.times.containsKey((h,)):
+            elif h in stored:
                 self.times.removeKey((h,))
         if oldest is not None:
             self.span.update((n, oldest))
@@ -236,8 +243,8 @@ class FailureNeighbours(StatefulProcessor):
 
     Times are kept in buckets of the width. Once the watermark has passed the bucket
     after a failure's own, no neighbour can come any more: an event-time timer then
-    emits the bucket, and one width later, when the next bucket does not need it
-    either, it is dropped. So an entity keeps a few buckets, and none when idle.
+    emits the bucket and drops those before it. The last one gets a timer of its own,
+    one width later. So an entity keeps a few buckets, and none when idle.
     """
 
     def __init__(self, stream: DataFrame, width: int) -> None:
@@ -251,36 +258,43 @@ class FailureNeighbours(StatefulProcessor):
         self.handle = handle
         self.buckets = handle.getMapState("buckets", "bucket bigint", f"us array<bigint>, ids array<{self.kinds['session_id']}>, emitted boolean")
 
-    def _times(self, bucket: int) -> list[int]:
-        return list(self.buckets.getValue((bucket,))[0]) if self.buckets.containsKey((bucket,)) else []
+    def _held(self) -> set[int]:
+        """The buckets that are kept, asked for in one call."""
+        return {key[0] for key in self.buckets.keys()}
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = self._held()
         for part in rows:
             times = part["event_us"].to_numpy(np.int64)
             for bucket, at in part.groupby(times // self.width).indices.items():
                 bucket = int(bucket)
                 us, ids = times[at].tolist(), part["session_id"].iloc[at].tolist()
-                if self.buckets.containsKey((bucket,)):
+                if bucket in known:
                     held = self.buckets.getValue((bucket,))
                     us, ids = [*held[0], *us], [*held[1], *ids]
                 else:
-                    for after in (2, 3):  # emitted, then dropped
-                        self.handle.registerTimer((bucket + after) * self.width // 1000 + 1)
+                    known.add(bucket)
+                    self.handle.registerTimer((bucket + 2) * self.width // 1000 + 1)
                 self.buckets.updateValue((bucket,), (us, ids, False))
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         edge = (expiredTimerInfo.getExpiryTimeInMs() - 1) * 1000 // self.width
         out = pd.DataFrame()
-        if self.buckets.containsKey((edge - 2,)):
+        known = self._held()
+        if edge - 2 in known:
             us, ids, _ = self.buckets.getValue((edge - 2,))
             us = np.array(list(us), np.int64)
-            near = np.sort(np.concatenate([self._times(edge - 3), us, self._times(edge - 1)]).astype(np.int64))
+            beside = [list(self.buckets.getValue((b,))[0]) for b in (edge - 3, edge - 1) if b in known]
+            near = np.sort(np.concatenate([us, *beside]).astype(np.int64))
             fails = np.searchsorted(near, us + self.width, "right") - np.searchsorted(near, us - self.width, "left")
             out = pd.DataFrame({"entity_id": key[0], "session_id": list(ids), "event_us": us, "fails": fails})
             self.buckets.updateValue((edge - 2,), (us.tolist(), list(ids), True))
-        if self.buckets.containsKey((edge - 3,)):
-            self.buckets.removeKey((edge - 3,))
+            if max(known) == edge - 2:
+                self.handle.registerTimer((edge + 1) * self.width // 1000 + 1)
+        for bucket in known:
+            if bucket < edge - 2:
+                self.buckets.removeKey((bucket,))
         yield out
 
     def close(self) -> None:
