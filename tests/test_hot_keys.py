@@ -139,6 +139,27 @@ def test_value_sets_above_the_limit(skewed, small_slices, monkeypatch):
     assert hot is not None and table(Z.baseline_scores(test, model, s, hot)) == packed
 
 
+def test_only_busy_values_of_a_type_are_repeated(skewed, small_slices, monkeypatch):
+    """A type's value table is not multiplied, whatever it holds; values that many events share are dealt."""
+    train, test = P.time_split(skewed, 6)
+    normal = P.label_filter(train)
+    s = S.with_(use_velocity=False, cold_start_events=10**9)  # everything is looked up by type
+    packed = table(Z.baseline_scores(test, P.fit_profiles(normal), s))
+    monkeypatch.setattr(P, "PACK_LIMIT", 1)
+    model = P.fit_profiles(normal)
+    assert ("type", "device") in model.large
+    small_slices(10**9)
+    for frame in (None, test):
+        plain = Z.baseline_scores(test, model, s, frame=frame)
+        assert "_salt" not in plain._jdf.queryExecution().optimizedPlan().toString()
+        assert table(plain) == packed
+    small_slices(40)
+    for frame in (None, test):
+        dealt = Z.baseline_scores(test, model, s, frame=frame)
+        assert "_salt" in dealt._jdf.queryExecution().optimizedPlan().toString()
+        assert table(dealt) == packed
+
+
 def test_rows_without_a_key_are_one_group(skewed, small_slices):
     """Missing addresses and entities may be as frequent as any hot key."""
     odd = F.col("session_id") % 2 == 1
