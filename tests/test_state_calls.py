@@ -73,3 +73,23 @@ def test_leaving_hours_and_late_rows():
     assert counted(memory, [2 * DAY]) == [3]
     assert counted(memory, [17 * DAY + 6]) == [2]
     assert {h: list(us) for (h,), (us,) in memory.times.held.items()} == {17 * 24: [17 * DAY + 3, 17 * DAY + 6]}
+
+
+def test_entities_of_a_bucket_share_a_call():
+    """Two hundred entities, one frame out; each goes on from its own resources, the one without a name too."""
+    memory = state.BucketResources.__new__(state.BucketResources)
+    memory._kept, memory.recent = ["session_id", "event_us", "resource_accessed"], Names()
+    names = [None, *(f"u{i}" for i in range(199))]
+    for turn in range(12):
+        rows = [(n, t, 10 * t, f"{n}/{t}") for t in (2 * turn + 1, 2 * turn) for n in names]
+        frame = pd.DataFrame(rows, columns=["entity_id", "session_id", "event_us", "resource_accessed"])
+        (out,) = memory.handleInputRows((7,), iter([frame[:150], frame[150:]]), None)
+        assert len(out) == 400
+        for row in out.itertuples():
+            name = row.entity_id if isinstance(row.entity_id, str) else None
+            assert row.recent == [f"{name}/{i}" for i in range(max(0, row.session_id - 9), row.session_id + 1)]
+
+
+class Names(Map):
+    def getValue(self, key):
+        return self.held.get(key)

@@ -16,15 +16,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import IntegralType, StringType, TimestampType
 
 from tidewatch.constants import LOW_SLOW_DAYS, SEQUENCE_LENGTH
 from tidewatch.settings import DAY, HOUR
 
+# Part of the state's key: a query that goes on needs the number it began with.
+BUCKETS = 1024
+FRAME_ROWS = 10_000
+
 
 def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(["event_us", "session_id"])
+    """An entity's rows by time, then id. Most entities have a few rows, so every step on a frame counts."""
+    parts = list(rows)
+    batch = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+    times = batch["event_us"].to_numpy()
+    if times.dtype == np.int64:  # without gaps and ties the times alone tell the order
+        if (times[1:] > times[:-1]).all():
+            return batch
+        order = np.argsort(times, kind="stable")
+        if (np.diff(times[order]) > 0).all():
+            return batch.take(order)
+    return batch.sort_values(["event_us", "session_id"])
 
 
 class Memory(StatefulProcessor):
@@ -50,11 +65,8 @@ class Memory(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _in_order(rows)
-        out = batch[self._kept].reset_index(drop=True)
-        out.insert(0, "entity_id", key[0])
-        for name, values in self.look_back(batch, self._paused(batch)).items():
-            out[name] = values
-        yield out
+        own = {name: batch[name].array for name in self._kept}
+        yield pd.DataFrame({"entity_id": [key[0]] * len(batch), **own, **self.look_back(batch, self._paused(batch))})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # A timer of an earlier event does nothing if the entity has been seen since.
@@ -141,6 +153,36 @@ class RecentResources(Memory):
         return {"recent": [path[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]}
 
 
+class BucketResources(RecentResources):
+    """The same for all entities of a bucket at once, for streams whose state is kept for good.
+
+    Every call of a processor makes frames and an Arrow batch of its own, which for an
+    entity of a few dozen rows costs far more than the rows. A bucket's entities share
+    them; each still has its own ten resources in the state, found by its name.
+    """
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.recent = handle.getMapState("recent", "entity_id string", "resources array<string>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows), ignore_index=True)
+        batch["_entity"] = pd.factorize(batch["entity_id"], use_na_sentinel=False)[0]
+        batch = batch.sort_values(["_entity", "event_us", "session_id"])
+        names, resources = batch["entity_id"].tolist(), batch["resource_accessed"].tolist()
+        edges = [0, *(np.flatnonzero(np.diff(batch["_entity"].to_numpy())) + 1).tolist(), len(batch)]
+        recent: list[list] = []
+        for a, b in zip(edges, edges[1:]):
+            held = self.recent.getValue((names[a],))
+            before = list(held[0]) if held is not None else []
+            path = before + resources[a:b]
+            recent += [path[max(0, end - SEQUENCE_LENGTH) : end] for end in range(len(before) + 1, len(path) + 1)]
+            self.recent.updateValue((names[a],), (path[-SEQUENCE_LENGTH:],))
+        for a in range(0, len(batch), FRAME_ROWS):
+            part = batch.iloc[a : a + FRAME_ROWS]
+            own = {name: part[name].array for name in self._kept}
+            yield pd.DataFrame({"entity_id": names[a : a + FRAME_ROWS], **own, "recent": recent[a : a + FRAME_ROWS]})
+
+
 class OffHoursCount(Memory):
     """Adds how many off-hours events the entity had within the last seven days.
 
@@ -232,9 +274,25 @@ def remember(stream: DataFrame, kind: type[Memory], idle: int | None = None) ->
     """``idle`` (microseconds) needs a stream with a watermark; without it state is kept for good."""
     if idle is not None and kind in (OffHoursCount, EntityMemory) and idle < LOW_SLOW_DAYS * DAY:
         raise ValueError("off-hours events count for seven days, so state has to be kept as long")
-    processor = kind(stream, idle)
-    return stream.groupBy("entity_id").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=processor.OUTPUT, outputMode="Append", timeMode="None" if idle is None else "EventTime"
+    if idle is not None:
+        return _remembered(stream, kind(stream, idle), "EventTime")
+    # Without timers nothing in the processor needs timestamps: as numbers they cost each frame less.
+    times = [f.name for f in stream.schema.fields if isinstance(f.dataType, TimestampType)]
+    plain = stream.withColumns({c: F.unix_micros(c) for c in times})
+    own = stream.schema["entity_id"].dataType
+    if kind is RecentResources and isinstance(own, (StringType, IntegralType)):
+        # Names as text, so that missing ones do not turn numbers into floats.
+        named = plain.withColumn("entity_id", F.col("entity_id").cast("string"))
+        dealt = named.withColumn("_bucket", F.pmod(F.xxhash64("entity_id"), F.lit(BUCKETS)))
+        out = _remembered(dealt, BucketResources(named), "None", "_bucket").withColumn("entity_id", F.col("entity_id").cast(own))
+    else:
+        out = _remembered(plain, kind(plain), "None")
+    return out.withColumns({c: F.timestamp_micros(c) for c in times})
+
+
+def _remembered(stream: DataFrame, processor: Memory, time_mode: str, key: str = "entity_id") -> DataFrame:
+    return stream.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=processor.OUTPUT, outputMode="Append", timeMode=time_mode
     )
 
 
