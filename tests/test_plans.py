@@ -46,6 +46,13 @@ def test_events_are_exchanged_once_per_key(scoring):
     assert keys.count("entity_id") <= 6
 
 
+def test_entity_profiles_are_dealt_and_not_sent_whole(scoring):
+    """A table that is small as stored may be many times as large in every task."""
+    main = scoring.split("Subquery")[0]
+    sent = re.findall(r"BroadcastHashJoin \[entity_id#", main)
+    assert len(sent) == 1  # the off-hours rates, one number for each entity
+
+
 def test_entity_windows_share_one_sort(spark, sf):
     events = access_events(spark, sf)
     text = plan(X.failed_auth_counts(events, HOUR))
