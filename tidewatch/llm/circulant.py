@@ -130,7 +130,7 @@ def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN, width: int
     wanted = near.join(leads, "node").select(F.col("row.doc_id").alias("id"), F.col("row.print").alias("mark"), F.col("root").alias("cluster"), "node")
     chosen = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["id"]) & (rows["print"] == wanted["mark"]))
     items = chosen.select("cluster", "node", "text").mapInArrow(_contents(width), "cluster long, node long, content binary")
-    linked = verified_components(materialize(items, "items"), num, den)
+    linked = verified_components(items, num, den)
     rooted = leads.select("node", "lead").join(linked, "node", "left").select("node", "lead", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("lead").alias("component"))
     named = rooted.join(least, "root").select("node", "component", F.lit(True).alias("some"))
