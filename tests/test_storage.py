@@ -1,12 +1,14 @@
 """Reading logs, and writing and reading back outputs and models."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import alerts as A, evaluate as E, profiles as P
 from tidewatch.plans import runs as R
 from tidewatch.plans.detection import detect, score_events
-from tidewatch.session import new_path
+from tidewatch.session import FILE_CLEANUP, materialize, new_path
 from tidewatch.settings import PLAIN_BATCH
 from tidewatch.sources import access, sinks
 
@@ -108,3 +110,16 @@ def test_export_of_a_model_is_that_of_its_events(spark, sf):
     model, _ = R.access_model(spark, sf)
     rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
     assert rows(P.export_model(model)) == rows(P.profile_export(R.access_normal(spark, sf)))
+
+
+def test_storing_a_table_leaves_no_shuffle_files(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    names = lambda: {f.rsplit("/", 1)[-1] for f in blocks.getAllFiles().mkString(" ").split()}
+    before = names()
+    stored = materialize(spark.range(1000).withColumn("k", F.col("id") % 7).repartition(5, "k").groupBy("id").count(), "dealt")
+    end = time.time() + 5
+    while (left := [n for n in names() - before if n.startswith("shuffle_")]) and time.time() < end:
+        time.sleep(0.1)
+    assert not left
+    assert spark.conf.get(FILE_CLEANUP) == "false"  # other executions keep theirs
+    assert stored.count() == 1000
