@@ -2,7 +2,7 @@
 
 import pandas as pd
 
-from tidewatch.settings import DAY, HOUR
+from tidewatch.settings import DAY, HOUR, MINUTE
 from tidewatch.streaming import state
 
 
@@ -93,3 +93,73 @@ def test_entities_of_a_bucket_share_a_call():
 class Names(Map):
     def getValue(self, key):
         return self.held.get(key)
+
+
+class Timers:
+    def __init__(self):
+        self.set, self.calls, self.now = set(), 0, 0
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.set.add(ms)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+    def getExpiryTimeInMs(self):
+        return self.at
+
+    def fire(self, memory, now):
+        """All timers up to a new watermark, one after the other; returns what was emitted."""
+        self.now, out = now, []
+        for self.at in sorted(t for t in self.set if t <= now):
+            self.set.remove(self.at)
+            out += [f for f in memory.handleExpiredTimer((7,), self, self) if len(f)]
+        return [tuple(r) for f in out for r in f[["entity_id", "session_id", "fails"]].itertuples(index=False)]
+
+
+class Cleared(Value):
+    def clear(self):
+        self.value = None
+
+
+def failure_neighbours(width):
+    memory = state.FailureNeighbours.__new__(state.FailureNeighbours)
+    memory.width, memory.slots, memory.due, memory.handle = width, Names(), Cleared(), Timers()
+    return memory, memory.handle
+
+
+def failures(*rows):
+    return pd.DataFrame(rows, columns=["entity_id", "session_id", "event_us"])
+
+
+def test_failures_of_a_bucket_share_a_timer():
+    """Failures of 200 entities over a day: one timer and one call settle all, none is left behind."""
+    memory, timers = failure_neighbours(5 * MINUTE)
+    names = [None, *(f"u{i}" for i in range(199))]
+    rows = [(n, f"{n}/{k}", DAY + k * 4 * MINUTE + 7) for k in range(300) for n in names]
+    list(memory.handleInputRows((7,), iter([failures(*rows)]), None))
+    assert timers.calls == 1 and memory.slots.calls <= 4
+    got = timers.fire(memory, 10 * DAY // 1000)
+    assert sorted(s for _, s, _ in got) == sorted(s for _, s, _ in rows)
+    assert {n for s, n in ((s, n) for _, s, n in got) if not s.endswith(("/0", "/299"))} == {3}
+    assert {n for _, s, n in got if s.endswith(("/0", "/299"))} == {2}
+    assert {e is None for e, s, _ in got if s.startswith("None/")} == {True}
+    assert memory.slots.held == {} and memory.due.value is None and not timers.set
+
+
+def test_failures_are_emitted_when_no_neighbour_can_come():
+    """The span after a failure's own has to pass; what the next span needs stays a width longer."""
+    width, base = 5 * MINUTE, state.SLOT_SPANS * 5 * MINUTE * 100
+    ms = lambda us: us // 1000
+    memory, timers = failure_neighbours(width)
+    edge = base - MINUTE  # the last span of one slot and the first of the next
+    list(memory.handleInputRows((7,), iter([failures(("a", "1", edge), ("b", "2", edge + 2 * MINUTE))]), None))
+    assert timers.fire(memory, ms(base + width)) == []
+    list(memory.handleInputRows((7,), iter([failures(("a", "3", base + MINUTE), ("a", "4", base + width + MINUTE))]), None))
+    assert timers.fire(memory, ms(base + width) + 1) == [("a", "1", 2)]
+    assert timers.fire(memory, ms(base + 2 * width)) == []
+    assert sorted(timers.fire(memory, ms(base + 2 * width) + 1)) == [("a", "3", 3), ("b", "2", 1)]
+    assert [list(v[1]) for v in memory.slots.held.values()] == [["2", "3", "4"]]
+    assert timers.fire(memory, ms(base + 9 * width)) == [("a", "4", 2)]
+    assert memory.slots.held == {} and not timers.set

@@ -15,6 +15,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.types import IntegralType
 
 from tidewatch import constants as C
 from tidewatch.functions import scalars as S
@@ -89,18 +90,21 @@ def failed_auth_5min(stream: DataFrame, window: int = Settings().fail_window, wa
     """Every failure with the entity's failures within ``window`` before and after it, once no more can come."""
     failures = stream.filter(features.failed()).withWatermark("event_time", watermark)
     wanted = failures.select("entity_id", "session_id", "event_time", "event_us")
-    processor = state.FailureNeighbours(wanted, window)
-    counted = wanted.groupBy("entity_id").transformWithStateInPandas(
+    # Numbers travel as text, so that missing ones do not turn the others into floats.
+    own = {f.name: f.dataType for f in wanted.schema.fields if f.name in {"entity_id", "session_id"} and isinstance(f.dataType, IntegralType)}
+    named = wanted.withColumns({c: F.col(c).cast("string") for c in own})
+    processor = state.FailureNeighbours(named, window)
+    counted = state.dealt(named).groupBy("_bucket").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=processor.OUTPUT, outputMode="Append", timeMode="EventTime"
     )
-    return counted.withColumnRenamed("fails", "failed_auth_count_5min")
+    return counted.withColumns({c: F.col(c).cast(kind) for c, kind in own.items()}).withColumnRenamed("fails", "failed_auth_count_5min")
 
 
 def failed_auth_5min_open(read: State, window: int = Settings().fail_window) -> DataFrame:
     """The failures still waiting, counted with the batch operator over all times that are kept."""
-    kept = read("buckets").select(F.col("key.entity_id").alias("entity_id"), "user_map_value.*")
-    rows = kept.select("entity_id", "emitted", F.explode(F.arrays_zip("us", "ids")).alias("f")).select(
-        "entity_id", "emitted", F.col("f.ids").alias("session_id"), F.col("f.us").alias("event_us"), F.lit("fail").alias("auth_result")
+    kept = read("slots").select(F.explode(F.arrays_zip(*[F.col(f"user_map_value.{c}").alias(c) for c in ("names", "ids", "us", "emitted")])).alias("f"))
+    rows = kept.select(
+        F.col("f.names").alias("entity_id"), "f.emitted", F.col("f.ids").alias("session_id"), F.col("f.us").alias("event_us"), F.lit("fail").alias("auth_result")
     )
     counted = features.failed_auth_counts(rows, window).filter("not emitted")
     return counted.select("entity_id", "session_id", "event_us", "failed_auth_count_5min")
@@ -268,7 +272,7 @@ def run_to_table(
     emitted = spark.read.schema(stream.schema).parquet(path)
     if still_open is None or query.lastProgress is None:  # an empty source runs no batch and has no state
         return emitted
-    rest = still_open(_state_reader(spark, checkpoint)).select(*stream.columns)
+    rest = still_open(_state_reader(spark, checkpoint)).select(*[F.col(f.name).cast(f.dataType) for f in stream.schema.fields])
     return emitted.unionByName(materialize(rest, f"{name}-open"))
 
 

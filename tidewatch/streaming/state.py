@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,7 @@ from tidewatch.settings import DAY, HOUR
 # Part of the state's key: a query that goes on needs the number it began with.
 BUCKETS = 1024
 FRAME_ROWS = 10_000
+SLOT_SPANS = 288  # a day of five minutes
 
 
 def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -283,13 +285,16 @@ def remember(stream: DataFrame, kind: type[Memory], idle: int | None = None) ->
     if kind is RecentResources and isinstance(own, (StringType, IntegralType)):
         # Names as text, so that missing ones do not turn numbers into floats.
         named = plain.withColumn("entity_id", F.col("entity_id").cast("string"))
-        dealt = named.withColumn("_bucket", F.pmod(F.xxhash64("entity_id"), F.lit(BUCKETS)))
-        out = _remembered(dealt, BucketResources(named), "None", "_bucket").withColumn("entity_id", F.col("entity_id").cast(own))
+        out = _remembered(dealt(named), BucketResources(named), "None", "_bucket").withColumn("entity_id", F.col("entity_id").cast(own))
     else:
         out = _remembered(plain, kind(plain), "None")
     return out.withColumns({c: F.timestamp_micros(c) for c in times})
 
 
+def dealt(stream: DataFrame) -> DataFrame:
+    return stream.withColumn("_bucket", F.pmod(F.xxhash64("entity_id"), F.lit(BUCKETS)))
+
+
 def _remembered(stream: DataFrame, processor: Memory, time_mode: str, key: str = "entity_id") -> DataFrame:
     return stream.groupBy(key).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=processor.OUTPUT, outputMode="Append", timeMode=time_mode
@@ -297,12 +302,17 @@ def _remembered(stream: DataFrame, processor: Memory, time_mode: str, key: str =
 
 
 class FailureNeighbours(StatefulProcessor):
-    """Emits each failure with the number of the entity's failures within ``width`` of it, before and after.
+    """Emits each failure with the number of its entity's failures within ``width`` of it, before and after.
+
+    Time is cut into spans of the width. Once the watermark has passed the span after a
+    failure's own, no neighbour can come any more and the failure is emitted; one
+    width later, when the next span does not need it either, it is dropped. So
+    an entity keeps a few spans, and none when idle.
 
-    Times are kept in buckets of the width. Once the watermark has passed the bucket
-    after a failure's own, no neighbour can come any more: an event-time timer then
-    emits the bucket, and one width later, when the next bucket does not need it
-    either, it is dropped. So an entity keeps a few buckets, and none when idle.
+    A key is a bucket of entities, as in :class:`BucketResources`. It has one event-time
+    timer, for whatever comes first, and a call settles all that is due by then. Rows
+    are stored by slots of many spans, so neither the calls to the state nor
+    the timers grow with the failures.
     """
 
     def __init__(self, stream: DataFrame, width: int) -> None:
@@ -314,39 +324,95 @@ class FailureNeighbours(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.buckets = handle.getMapState("buckets", "bucket bigint", f"us array<bigint>, ids array<{self.kinds['session_id']}>, emitted boolean")
+        names, ids = (f"array<{self.kinds[c]}>" for c in ("entity_id", "session_id"))
+        self.slots = handle.getMapState("slots", "slot bigint", f"names {names}, ids {ids}, us array<bigint>, emitted array<boolean>")
+        self.due = handle.getValueState("due", "ms bigint")
 
-    def _times(self, bucket: int) -> list[int]:
-        return list(self.buckets.getValue((bucket,))[0]) if self.buckets.containsKey((bucket,)) else []
+    def _expiry(self, span: int) -> int:
+        return int(span) * self.width // 1000 + 1
+
+    def _wake(self, ms: int) -> None:
+        self.due.update((ms,))
+        self.handle.registerTimer(ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        due = self.due.get()[0] if self.due.exists() else None
+        soonest = due
         for part in rows:
-            times = part["event_us"].to_numpy(np.int64)
-            for bucket, at in part.groupby(times // self.width).indices.items():
-                bucket = int(bucket)
-                us, ids = times[at].tolist(), part["session_id"].iloc[at].tolist()
-                if self.buckets.containsKey((bucket,)):
-                    held = self.buckets.getValue((bucket,))
-                    us, ids = [*held[0], *us], [*held[1], *ids]
-                else:
-                    for after in (2, 3):  # emitted, then dropped
-                        self.handle.registerTimer((bucket + after) * self.width // 1000 + 1)
-                self.buckets.updateValue((bucket,), (us, ids, False))
+            us = part["event_us"].to_numpy(np.int64)
+            columns = [part["entity_id"], part["session_id"], pd.Series(us)]
+            for slot, at in part.groupby(us // self.width // SLOT_SPANS).indices.items():
+                slot = int(slot)
+                new = [c.iloc[at].tolist() for c in columns] + [[False] * len(at)]
+                held = self.slots.getValue((slot,))
+                if held is not None:
+                    new = [[*old, *more] for old, more in zip(held, new, strict=True)]
+                self.slots.updateValue((slot,), tuple(new))
+            first = self._expiry(us.min() // self.width + 2)
+            soonest = first if soonest is None else min(first, soonest)
+        if soonest != due:
+            self._wake(soonest)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        edge = (expiredTimerInfo.getExpiryTimeInMs() - 1) * 1000 // self.width
-        out = pd.DataFrame()
-        if self.buckets.containsKey((edge - 2,)):
-            us, ids, _ = self.buckets.getValue((edge - 2,))
-            us = np.array(list(us), np.int64)
-            near = np.sort(np.concatenate([self._times(edge - 3), us, self._times(edge - 1)]).astype(np.int64))
-            fails = np.searchsorted(near, us + self.width, "right") - np.searchsorted(near, us - self.width, "left")
-            out = pd.DataFrame({"entity_id": key[0], "session_id": list(ids), "event_us": us, "fails": fails})
-            self.buckets.updateValue((edge - 2,), (us.tolist(), list(ids), True))
-        if self.buckets.containsKey((edge - 3,)):
-            self.buckets.removeKey((edge - 3,))
-        yield out
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        if not self.due.exists() or self.due.get()[0] > now:  # an earlier call has done it
+            yield pd.DataFrame()
+            return
+        edge = (now - 1) * 1000 // self.width  # failures are due up to the span two before it
+        stored = sorted(k[0] for k in self.slots.keys())
+        slots = [s for s in stored if s <= (edge - 1) // SLOT_SPANS]
+        wake = [self._expiry(s * SLOT_SPANS + 2) for s in stored[len(slots) : len(slots) + 1]]
+        read: dict[int, list] = {}
+        begin = 0
+        while begin < len(slots):
+            # Some slots at once, with their neighbours as they were.
+            end, n = begin, 0
+            while end < len(slots) and n < FRAME_ROWS:
+                n += len(self._read(read, slots[end])[2])
+                end += 1
+            around = slots[max(0, begin - 1) : end + 1]
+            names, ids, us, emitted = (list(chain.from_iterable(self._read(read, s)[k] for s in around)) for k in range(4))
+            slot = np.repeat(around, [len(read[s][2]) for s in around])
+            us, emitted = np.array(us, np.int64), np.array(emitted, bool)
+            span = us // self.width
+            own = (slot >= slots[begin]) & (slot <= slots[end - 1])
+            out = np.flatnonzero(own & ~emitted & (span <= edge - 2))
+            fails = neighbours(pd.factorize(np.array(names, object), use_na_sentinel=False)[0], us, self.width)
+            for a in range(0, len(out), FRAME_ROWS):
+                at = out[a : a + FRAME_ROWS]
+                yield pd.DataFrame({"entity_id": [names[k] for k in at], "session_id": [ids[k] for k in at], "event_us": us[at], "fails": fails[at]})
+            emitted[out] = True
+            needed = own & (span >= edge - 2)
+            for s in slots[begin:end]:
+                kept = np.flatnonzero(needed & (slot == s)) if s >= (edge - 2) // SLOT_SPANS else ()
+                if len(kept):
+                    self.slots.updateValue((s,), ([names[k] for k in kept], [ids[k] for k in kept], us[kept].tolist(), emitted[kept].tolist()))
+                    wake.append(self._expiry((span[kept] + np.where(emitted[kept], 3, 2)).min()))
+                else:
+                    self.slots.removeKey((s,))
+            begin = end
+            for s in [s for s in read if begin < len(slots) and s < slots[begin - 1]]:
+                del read[s]
+        if wake:
+            self._wake(min(wake))
+        else:
+            self.due.clear()
+        yield pd.DataFrame()
+
+    def _read(self, read: dict[int, list], slot: int) -> list:
+        if slot not in read:
+            read[slot] = [list(x) for x in self.slots.getValue((slot,))]
+        return read[slot]
 
     def close(self) -> None:
         pass
+
+
+def neighbours(entity: np.ndarray, us: np.ndarray, width: int) -> np.ndarray:
+    """How many rows of the same entity lie within ``width`` of each row, itself included."""
+    times = np.unique(us)
+    base = entity * (len(times) + 1)
+    low, high = np.searchsorted(times, us - width, "left"), np.searchsorted(times, us + width, "right")
+    placed = np.sort(base + np.searchsorted(times, us))
+    return np.searchsorted(placed, base + high) - np.searchsorted(placed, base + np.minimum(low, high))
