@@ -3,6 +3,7 @@
 import os
 import uuid
 
+import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import pytest
@@ -194,3 +195,16 @@ def test_rows_out_of_order_across_batches(spark, tmp_path, sf):
     pair = events_as_access(spark.read.parquet(f"{sf}/events.parquet")).filter(F.col("session_id").isin(ids[2], ids[6]))
     want = {r.session_id: r.geo_velocity_kmh for r in X.geo_velocity(pair).collect()}
     assert got[ids[6]] == want[ids[6]]
+
+
+def test_failures_without_an_entity_stay_apart(spark, tmp_path, sf):
+    """Rows without an entity are one entity of their own and take no failures from the others."""
+    table = pq.read_table(f"{sf}/events.parquet").sort_by("ts")
+    users = [None if k % 9 == 0 else u for k, u in enumerate(table["user_id"].to_pylist())]
+    table = table.set_column(table.schema.get_field_index("user_id"), "user_id", pa.array(users, pa.int64()))
+    path = in_files(table, tmp_path, [table.slice(k * 400, 400) for k in range(-(-table.num_rows // 400))])
+    width = 6 * HOUR
+    got = O.run_to_table(O.failed_auth_5min(access_stream(spark, path), width), "near", still_open=lambda read: O.failed_auth_5min_open(read, width))
+    events = events_as_access(spark.read.parquet(f"{path}/event*.parquet"))
+    rows = lambda df: sorted(map(str, df.select("session_id", "entity_id", F.col("failed_auth_count_5min").cast("long")).collect()))
+    assert rows(got) == rows(X.failed_auth_counts(events, width).filter("auth_result = 'fail'"))
